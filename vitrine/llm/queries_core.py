@@ -38,3 +38,57 @@ SQL = {
     "p1_found": P1_SQL + "SELECT ranking, query_id, product_id FROM ranked WHERE rank_in_group <= 10",
     "p1_rankings": P1_SQL + "SELECT ranking, query_id, product_id, score, best_source_rank, CAST(rank_in_group AS INTEGER) AS rank_in_group FROM ranked WHERE rank_in_group <= 10",
 }
+
+
+def _p4_mapping(spark: SparkSession, sf: str) -> DataFrame:
+    from vitrine.llm import canonical as C
+
+    products = _read(spark, sf, "products")
+    brand = C.map_column(products, "product_id", "brand", C.brand_key_sql, C.brand_reference(_read(spark, sf, "canonical_brands")))
+    color = C.map_column(products, "product_id", "color", C.color_key_sql, C.color_reference(_read(spark, sf, "canonical_colors")))
+    return brand.withColumn("field_name", F.lit("brand")).unionByName(color.withColumn("field_name", F.lit("color")))
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Brand and colour values that are not a canonical name, with the entry they mean or 0."""
+    mapped = _p4_mapping(spark, sf)
+    names = _read(spark, sf, "canonical_brands").select(F.lit("brand").alias("field_name"), F.col("brand_name").alias("val"))
+    names = names.unionByName(_read(spark, sf, "canonical_colors").select(F.lit("color").alias("field_name"), F.col("color_name").alias("val")))
+    return mapped.join(names, ["field_name", "val"], "left_anti").select("product_id", "field_name", F.col("entry_id").cast("bigint").alias("entry_id"))
+
+
+def p4_unmatched(spark: SparkSession, sf: str) -> DataFrame:
+    """The report of entered values that mean no entry, with their numbers of rows."""
+    return _p4_mapping(spark, sf).filter("entry_id = 0").groupBy("field_name", "val").agg(F.count(F.lit(1)).alias("rows_entered"))
+
+
+def _p4_sql() -> str:
+    from vitrine.llm import canonical as C
+
+    k = C.edits_sql("length(ref_key)")
+    swap = r"regexp_replace(brand_name, '^(\S+)\s+(?:&\s+)?(\S+)$', '\2 \1')"
+    return f"""
+WITH entered AS (
+  SELECT product_id, 'brand' AS field_name, brand AS val, {C.brand_key_sql("brand", False)} AS val_key FROM products WHERE brand IS NOT NULL
+  UNION ALL SELECT product_id, 'color', color, {C.color_key_sql("color", False)} FROM products WHERE color IS NOT NULL),
+refs AS (
+  SELECT 'brand' AS field_name, brand_id AS entry_id, {C.brand_key_sql("brand_name", False)} AS ref_key FROM canonical_brands
+  UNION SELECT 'brand', brand_id, {C.brand_key_sql(swap, False)} FROM canonical_brands
+  UNION SELECT 'color', color_id, {C.color_key_sql("name", False)} FROM (
+    SELECT color_id, color_name AS name FROM canonical_colors UNION ALL SELECT color_id, unnest(other_names) FROM canonical_colors)),
+near AS (
+  SELECT v.field_name, val_key, entry_id, min(levenshtein(val_key, ref_key)) AS edits
+  FROM (SELECT DISTINCT field_name, val_key FROM entered WHERE val_key <> '') v JOIN refs r ON r.field_name = v.field_name AND ref_key <> ''
+  WHERE abs(length(val_key) - length(ref_key)) <= {k} AND levenshtein(val_key, ref_key) <= {k} GROUP BY ALL),
+best AS (SELECT field_name, val_key, entry_id FROM near QUALIFY row_number() OVER (PARTITION BY field_name, val_key ORDER BY edits, entry_id) = 1),
+mapped AS (SELECT e.product_id, e.field_name, e.val, coalesce(b.entry_id, 0) AS entry_id FROM entered e LEFT JOIN best b USING (field_name, val_key))
+"""
+
+
+QUERIES |= {"p4_found": p4_found, "p4_unmatched": p4_unmatched}
+SQL |= {
+    "p4_found": _p4_sql()
+    + """SELECT product_id, field_name, CAST(entry_id AS BIGINT) AS entry_id FROM mapped
+WHERE NOT (field_name = 'brand' AND val IN (SELECT brand_name FROM canonical_brands)) AND NOT (field_name = 'color' AND val IN (SELECT color_name FROM canonical_colors))""",
+    "p4_unmatched": _p4_sql() + "SELECT field_name, val, count(*) AS rows_entered FROM mapped WHERE entry_id = 0 GROUP BY field_name, val",
+}
