@@ -92,3 +92,91 @@ SQL |= {
 WHERE NOT (field_name = 'brand' AND val IN (SELECT brand_name FROM canonical_brands)) AND NOT (field_name = 'color' AND val IN (SELECT color_name FROM canonical_colors))""",
     "p4_unmatched": _p4_sql() + "SELECT field_name, val, count(*) AS rows_entered FROM mapped WHERE entry_id = 0 GROUP BY field_name, val",
 }
+
+
+def _p3_assignment(spark: SparkSession, sf: str) -> DataFrame:
+    from vitrine.functions.text import normalize_query_udf
+    from vitrine.llm.splits import assign_splits
+    from vitrine.operators.skewjoin import heavy_light_join
+    from vitrine.scratch import materialize
+
+    texts = _read(spark, sf, "query_records").select("query_id", "locale", "query", F.col("normalized_query_sha256").alias("record_sha"))
+    # each spelling is normalized once, however many records have it
+    spelled = texts.filter("query IS NOT NULL").groupBy("query").agg(F.count(F.lit(1)).alias("spelled")).withColumn("text", normalize_query_udf("query"))
+    records = _read(spark, sf, "query_assignments").select("query_id", "project_split", F.col("normalized_query_sha256").alias("sha"))
+    records = heavy_light_join(records.join(texts, "query_id", "left"), materialize(spelled, "spelled"), ["query"], "spelled")
+    records = records.withColumn("text_key", F.concat_ws("\u0000", "locale", "text")).withColumn("text_key", F.when(F.col("text").isNotNull() & F.col("locale").isNotNull(), F.col("text_key")))
+    return assign_splits(records.withColumn("sha", F.coalesce("sha", "record_sha")), "query_id", ["sha", "text_key"], "project_split")[0]
+
+
+def p3_splits(spark: SparkSession, sf: str) -> DataFrame:
+    """The split of every record, equal within a group; groups that hold several now are quarantined."""
+    return _p3_assignment(spark, sf).select("query_id", "old_split", "new_split", "status")
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Records whose split is train, validation or test in a group that holds more than one of these."""
+    return _p3_assignment(spark, sf).filter("status = 'quarantined' AND old_split IS NOT NULL").select("query_id")
+
+
+def p3_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """Records and share of each new split."""
+    done = _p3_assignment(spark, sf).groupBy("new_split", "status").agg(F.count(F.lit(1)).alias("records"))
+    return done
+
+
+QUERIES |= {"p3_found": p3_found, "p3_splits": p3_splits, "p3_shares": p3_shares}
+
+
+def _p6_scores():
+    from vitrine.llm.fused import Score
+
+    return [
+        Score("sparse_score", ("sparse_retriever_id", "sparse_index_id"), 1, 0.0, "sparse_rank"),
+        Score("dense_score", ("dense_retriever_id", "dense_index_id"), 1, 0.0, "dense_rank"),
+        Score("rrf_score", (), 1, 0.5),
+    ]
+
+
+def p6_ranking(spark: SparkSession, sf: str) -> DataFrame:
+    """One ranking of every query of candidates from its three scores."""
+    from vitrine.llm.fused import fused_ranking
+
+    return fused_ranking(_read(spark, sf, "candidates"), ["query_id"], "product_id", "retrieved_at", _p6_scores())
+
+
+def _p7_records(spark: SparkSession, sf: str) -> DataFrame:
+    from vitrine.functions.text import strip_tags_sql
+
+    products = _read(spark, sf, "products").select(F.lit("product").alias("kind"), F.col("product_id").alias("record_id"), F.expr(strip_tags_sql("concat_ws(' ', title, bullets)")).alias("text"))
+    asked = _read(spark, sf, "query_records").select(F.lit("query").alias("kind"), F.col("query_id").cast("string").alias("record_id"), F.col("query").alias("text"))
+    return products.unionByName(asked)
+
+
+def p7_terms(spark: SparkSession, sf: str) -> DataFrame:
+    """Every term of every product (title, bullets) and query with its z-score."""
+    from vitrine.llm.distinctive import term_scores
+
+    scored = term_scores(_p7_records(spark, sf), ["kind", "record_id"], "text")
+    return scored.withColumn("z_score", F.round("z_score", 6))
+
+
+def _p7_sql() -> str:
+    from vitrine.functions.text import strip_tags_sql, tokens_sql
+    from vitrine.llm.distinctive import z_sql
+
+    text = strip_tags_sql("concat_ws(' ', title, bullets)", False)
+    return f"""
+WITH records AS (SELECT 'product' AS kind, product_id AS record_id, {text} AS text FROM products
+  UNION ALL SELECT 'query', CAST(query_id AS VARCHAR), query FROM query_records),
+words AS (SELECT kind, record_id, unnest({tokens_sql("text", False)}) AS term FROM records WHERE text IS NOT NULL),
+counted AS (SELECT kind, record_id, term, count(*) AS occurrences FROM words GROUP BY ALL),
+sized AS (SELECT *, CAST(sum(occurrences) OVER (PARTITION BY kind, record_id) AS DOUBLE) AS n FROM counted),
+totals AS (SELECT term, CAST(count(*) AS DOUBLE) AS total FROM words GROUP BY term),
+g AS (SELECT CAST(count(*) AS DOUBLE) AS grand FROM words)
+SELECT kind, record_id, s.term, occurrences, round({z_sql("occurrences", "n", "total", "grand")}, 6) AS z_score
+FROM sized s JOIN totals t ON t.term = s.term, g"""
+
+
+QUERIES |= {"p6_ranking": p6_ranking, "p7_terms": p7_terms}
+SQL |= {"p7_terms": _p7_sql()}
