@@ -1,5 +1,5 @@
 """The query modules for training data."""
 
-from vitrine.llm import queries_core
+from vitrine.llm import queries_core, queries_text
 
-MODULES = [queries_core]
+MODULES = [queries_core, queries_text]
