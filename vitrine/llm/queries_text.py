@@ -37,5 +37,31 @@ def p10_piles(spark: SparkSession, sf: str) -> DataFrame:
     return find_piles(_read(spark, sf, "documents"), "doc_id", "text", "lang")
 
 
-QUERIES = {"p10_found": p10_found, "p10_piles": p10_piles, "p9_selection": p9_selection, "p9_shares": p9_shares}
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that hold a passage of a test item, with the item."""
+    return p8_leaks(spark, sf).select("doc_id", "item_id").distinct()
+
+
+def p8_leaks(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with the part of the item that the document holds."""
+    from vitrine.llm.leaks import find_leaks
+
+    return find_leaks(_read(spark, sf, "documents"), _read(spark, sf, "eval_items"))
+
+
+def p8_longest(spark: SparkSession, sf: str) -> DataFrame:
+    """The longest verbatim match of every test suffix and a place of it."""
+    from vitrine.llm.leaks import longest_matches
+
+    return longest_matches(_read(spark, sf, "documents"), _read(spark, sf, "eval_items"))
+
+
+def p8_clean(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents without those that leak."""
+    from vitrine.llm.leaks import without_leaks
+
+    return without_leaks(_read(spark, sf, "documents"), p8_found(spark, sf))
+
+
+QUERIES = {"p8_found": p8_found, "p8_leaks": p8_leaks, "p8_longest": p8_longest, "p8_clean": p8_clean, "p10_found": p10_found, "p10_piles": p10_piles, "p9_selection": p9_selection, "p9_shares": p9_shares}
 SQL: dict[str, str] = {}
