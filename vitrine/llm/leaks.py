@@ -4,7 +4,7 @@ Every task turns its documents into shards of word numbers, sorts the suffixes o
 and binary-searches every suffix of every test item in it. The ranges give all places where a test suffix
 starts to match, the neighbours its longest verbatim match. From the rarest starts in every stretch of an item
 come candidate (document, item) pairs; their verbatim runs are chained over single changed words to running
-passages, and a pair counts if one or two passages in order hold enough of the item's words.
+passages, and a pair counts if one or two passages hold enough of the item's words.
 """
 
 from __future__ import annotations
@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Part of the item's words, without the task instruction, that a document must hold.
-COVER = 0.45
+COVER = 0.48
+#: A pair is aligned if the document has this part of the item's starts; passages with every sixth word changed keep more.
+STARTS_COVER = 0.2
 #: Words with which a match starts.
 START = 4
 #: In every stretch of this many starts of an item, the one that the fewest items share is looked up.
@@ -170,18 +172,20 @@ def passages(item: np.ndarray, doc: np.ndarray) -> list[tuple[int, int, int, int
 
 
 def cover(item: np.ndarray, doc: np.ndarray) -> float:
-    """The part of the item's words in its best passage, or best two in the same order in both."""
+    """The part of the item's words in its best passage, or in two that overlap neither in the item nor in the text."""
     found = sorted((p for p in passages(item, doc) if p[4] >= PASSAGE), key=lambda p: p[2])
     if not found:
         return 0.0
     ends = sorted(found, key=lambda p: p[3])
-    reach = np.zeros(len(item) + 1, dtype=np.int64)  # best passage that ends at or before an item position
+    # best earlier passage of the text that ends before, or begins after, a position of the item
+    until, since = np.zeros(len(item) + 1, dtype=np.int64), np.zeros(len(item) + 1, dtype=np.int64)
     best, k = 0, 0
-    for i0, _i1, j0, _j1, m in found:
+    for i0, i1, j0, _j1, m in found:
         while k < len(ends) and ends[k][3] <= j0:
-            np.maximum(reach[ends[k][1] :], ends[k][4], out=reach[ends[k][1] :])
+            np.maximum(until[ends[k][1] :], ends[k][4], out=until[ends[k][1] :])
+            np.maximum(since[: ends[k][0] + 1], ends[k][4], out=since[: ends[k][0] + 1])
             k += 1
-        best = max(best, m + int(reach[i0]))
+        best = max(best, m + int(until[i0]), m + int(since[i1]))
     return best / len(item)
 
 
@@ -213,7 +217,7 @@ def _scan_shard(items: TestItems, texts: list[np.ndarray]) -> tuple[list[tuple[i
         present = np.zeros(items.gram_count, dtype=bool)
         present[inside] = True
         for n in candidates:
-            if present[items.grams[n]].mean() >= COVER / 3:
+            if present[items.grams[n]].mean() >= STARTS_COVER:
                 share = cover(items.words[n], texts[d])
                 if share >= COVER:
                     pairs.append((d, n, share))
