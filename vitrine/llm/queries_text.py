@@ -63,5 +63,18 @@ def p8_clean(spark: SparkSession, sf: str) -> DataFrame:
     return without_leaks(_read(spark, sf, "documents"), p8_found(spark, sf))
 
 
-QUERIES = {"p8_found": p8_found, "p8_leaks": p8_leaks, "p8_longest": p8_longest, "p8_clean": p8_clean, "p10_found": p10_found, "p10_piles": p10_piles, "p9_selection": p9_selection, "p9_shares": p9_shares}
+def p5_clean(spark: SparkSession, sf: str) -> DataFrame:
+    """Clean description and bullets of every product, and whether they held markup."""
+    from vitrine.llm.markup import clean_markup
+
+    return clean_markup(_read(spark, sf, "products"), "product_id", ["description", "bullets"])
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    """The fields that held markup."""
+    marked = p5_clean(spark, sf).selectExpr("product_id", "stack(2, 'description', description_markup, 'bullets', bullets_markup) AS (field_name, found)")
+    return marked.filter("found").select("product_id", "field_name")
+
+
+QUERIES = {"p5_found": p5_found, "p5_clean": p5_clean, "p8_found": p8_found, "p8_leaks": p8_leaks, "p8_longest": p8_longest, "p8_clean": p8_clean, "p10_found": p10_found, "p10_piles": p10_piles, "p9_selection": p9_selection, "p9_shares": p9_shares}
 SQL: dict[str, str] = {}
