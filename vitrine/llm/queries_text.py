@@ -76,5 +76,20 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return marked.filter("found").select("product_id", "field_name")
 
 
-QUERIES = {"p5_found": p5_found, "p5_clean": p5_clean, "p8_found": p8_found, "p8_leaks": p8_leaks, "p8_longest": p8_longest, "p8_clean": p8_clean, "p10_found": p10_found, "p10_piles": p10_piles, "p9_selection": p9_selection, "p9_shares": p9_shares}
+def p2_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Every listing with the product that it offers."""
+    from vitrine.llm.listings import same_products
+
+    return same_products(_read(spark, sf, "products"), _read(spark, sf, "canonical_brands"), _read(spark, sf, "canonical_colors"))
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Every pair of listings of the same product."""
+    from vitrine.llm.listings import pairs
+    from vitrine.scratch import materialize
+
+    return pairs(materialize(p2_groups(spark, sf), "groups"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_groups": p2_groups, "p5_found": p5_found, "p5_clean": p5_clean, "p8_found": p8_found, "p8_leaks": p8_leaks, "p8_longest": p8_longest, "p8_clean": p8_clean, "p10_found": p10_found, "p10_piles": p10_piles, "p9_selection": p9_selection, "p9_shares": p9_shares}
 SQL: dict[str, str] = {}
