@@ -1,3 +1,5 @@
 """The query modules of the engine."""
 
-MODULES: list = []
+from vitrine.plans import foundation
+
+MODULES = [foundation]
