@@ -24,9 +24,10 @@ DEFAULT_LIMIT = 2_000_000
 def _flag_hot(df: DataFrame, groups: Sequence[str], limit: int) -> tuple[DataFrame, DataFrame]:
     """(cold, hot) rows. The table of large groups has at most rows / limit entries."""
     hot = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > limit)
-    hot = materialize(hot.select(*[F.col(g).alias(f"_h_{g}") for g in groups]), "hotgroups")
+    hot = hot.select(*[F.col(g).alias(f"_h_{g}") for g in groups])
     if hot.isEmpty():
         return df, df.limit(0)
+    hot = materialize(hot, "hotgroups")
     on = None
     for g in groups:
         eq = F.col(g).eqNullSafe(F.col(f"_h_{g}"))
@@ -97,6 +98,8 @@ def running_before(df: DataFrame, groups: Sequence[str], order: Sequence[Column]
     cold, hot = _flag_hot(df, groups, limit)
     w = Window.partitionBy(*groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     small = cold.withColumn(out, F.coalesce(F.sum(value).over(w), F.lit(0.0)))
+    if cold is df:
+        return small
     large = _range_positions(hot, groups, order, value).withColumnRenamed("_before", out)
     return small.unionByName(large.select(small.columns))
 
@@ -105,6 +108,8 @@ def row_number(df: DataFrame, groups: Sequence[str], order: Sequence[Column], ou
     """Adds ``out`` (long): 1, 2, ... within each group by the total order ``order``."""
     cold, hot = _flag_hot(df, groups, limit)
     small = cold.withColumn(out, F.row_number().over(Window.partitionBy(*groups).orderBy(*order)).cast("long"))
+    if cold is df:
+        return small
     large = _range_positions(hot.withColumn("_one", F.lit(1.0)), groups, order, "_one")
     large = large.withColumn(out, (F.col("_before") + 1).cast("long")).drop("_before", "_one")
     return small.unionByName(large.select(small.columns))

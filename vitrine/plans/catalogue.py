@@ -1,5 +1,5 @@
 """The query modules of the engine."""
 
-from vitrine.plans import foundation
+from vitrine.plans import evaluation, foundation, retrieval
 
-MODULES = [foundation]
+MODULES = [foundation, retrieval, evaluation]
