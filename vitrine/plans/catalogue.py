@@ -1,5 +1,5 @@
 """The query modules of the engine."""
 
-from vitrine.plans import evaluation, foundation, retrieval
+from vitrine.plans import evaluation, foundation, retrieval, understanding
 
-MODULES = [foundation, retrieval, evaluation]
+MODULES = [foundation, retrieval, evaluation, understanding]

@@ -47,9 +47,13 @@ def bm25_pair_scores(spark: SparkSession, sf: str) -> DataFrame:
     return sparse.score_pairs(_docs(spark, sf), asked, pairs, "product_id", "text", "query_id", "asked_text").withColumn("score", F.round("score", 6))
 
 
-def query_lexical_specificity(spark: SparkSession, sf: str) -> DataFrame:
+def specificity(spark: SparkSession, sf: str) -> DataFrame:
     asked = table(spark, sf, "query_records").select("query_id", F.col("query").alias("asked_text"))
-    return sparse.lexical_specificity(_docs(spark, sf), asked, "product_id", "text", "query_id", "asked_text").withColumn("specificity", F.round("specificity", 6))
+    return sparse.lexical_specificity(_docs(spark, sf), asked, "product_id", "text", "query_id", "asked_text")
+
+
+def query_lexical_specificity(spark: SparkSession, sf: str) -> DataFrame:
+    return specificity(spark, sf).withColumn("specificity", F.round("specificity", 6))
 
 
 def dense_norm_check(spark: SparkSession, sf: str) -> DataFrame:
