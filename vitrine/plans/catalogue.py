@@ -1,5 +1,5 @@
 """The query modules of the engine."""
 
-from vitrine.plans import evaluation, foundation, retrieval, understanding
+from vitrine.plans import evaluation, foundation, learning, retrieval, understanding
 
-MODULES = [foundation, retrieval, evaluation, understanding]
+MODULES = [foundation, retrieval, evaluation, understanding, learning]
