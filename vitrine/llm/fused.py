@@ -41,7 +41,8 @@ def _shares_small(df: DataFrame, group: Sequence[str], scores: Sequence[Score])
         part = Window.partitionBy(*group, *s.scale, _known(s))
         order = part.orderBy(F.col(s.column))
         share = (F.percent_rank().over(order) * (F.count(F.lit(1)).over(part) - 1) / F.count(F.lit(1)).over(part) + F.cume_dist().over(order)) / 2
-        df = df.withColumn(f"_share{i}", F.when(_known(s), share)).withColumn(f"_found{i}", F.count(F.lit(1)).over(part))
+        df = df.withColumn(f"_share{i}", F.when(_known(s), share))
+        df = df.withColumn(f"_found{i}", F.sum(_known(s).cast("long")).over(Window.partitionBy(*group, *s.scale)))
     return df
 
 
@@ -56,8 +57,10 @@ def _shares_large(df: DataFrame, group: Sequence[str], scores: Sequence[Score],
         placed = running_before(counts, keys, [F.col("_v")], "_cnt", "_lower", limit)
         sizes = counts.groupBy(*keys).agg(F.sum("_cnt").alias("_size"))
         placed = placed.join(sizes, keys).withColumn(f"_share{i}", (F.col("_lower") + F.col("_cnt") / 2) / F.col("_size"))
-        placed = materialize(placed.select(*keys, "_v", "_cnt", f"_share{i}", F.col("_size").cast("long").alias(f"_found{i}")), "shares")
-        df = heavy_light_join(df, placed, [*keys, "_v"], "_cnt").drop(*keys, "_v")
+        placed = materialize(placed.select(*keys, "_v", "_cnt", f"_share{i}"), "shares")
+        df = heavy_light_join(df, placed, [*keys, "_v"], "_cnt")
+        # large groups are few, by their bound, and each has a handful of scales
+        df = df.join(F.broadcast(sizes.select(*keys, F.col("_size").cast("long").alias(f"_found{i}"))), keys, "left").withColumn(f"_found{i}", F.coalesce(f"_found{i}", F.lit(0))).drop(*keys, "_v")
     return df
 
 
@@ -95,13 +98,14 @@ def loadings(shares: DataFrame, scores: Sequence[Score]) -> tuple[np.ndarray, np
         aggs += [F.avg(f"s{i}").alias(f"m{i}"), F.stddev_pop(f"s{i}").alias(f"d{i}")]
         for j in range(i + 1, m):
             both = F.col(f"k{i}") & F.col(f"k{j}")
-            aggs.append(F.corr(F.when(both, F.col(f"s{i}")), F.when(both, F.col(f"s{j}"))).alias(f"c{i}_{j}"))
+            x, y = F.when(both, F.col(f"s{i}")), F.when(both, F.col(f"s{j}"))
+            aggs += [F.covar_pop(x, y).alias(f"c{i}_{j}"), F.stddev_pop(x).alias(f"x{i}_{j}"), F.stddev_pop(y).alias(f"y{i}_{j}")]
     row = shares.agg(*aggs).first()
     corr = np.eye(m)
     for i in range(m):
         for j in range(i + 1, m):
-            c = row[f"c{i}_{j}"]
-            corr[i, j] = corr[j, i] = 0.0 if c is None or np.isnan(c) else c
+            spread = (row[f"x{i}_{j}"] or 0.0) * (row[f"y{i}_{j}"] or 0.0)
+            corr[i, j] = corr[j, i] = row[f"c{i}_{j}"] / spread if spread > 1e-12 else 0.0
     first = np.linalg.eigh(corr)[1][:, -1]
     first = np.abs(first) * np.array([s.direction for s in scores])
     clean = lambda prefix, default: np.array([default if row[f"{prefix}{i}"] is None else row[f"{prefix}{i}"] for i in range(m)], dtype=float)

@@ -23,8 +23,9 @@ from vitrine.llm import canonical as C
 from vitrine.llm.splits import components
 from vitrine.scratch import materialize
 
-#: A title word in more than this part of the titles of a locale (and five titles) is vocabulary, not a name.
-VOCABULARY = 0.004
+#: A title word that stands with more than this part of a locale's part numbers, and with at least so many, is
+#: vocabulary (what it is, how it is praised), not a name.
+VOCABULARY, LEAST_NUMBERS = 0.004, 5
 #: Brands entered in more than this part of the rows are looked for in titles, besides the canonical ones.
 BRAND_SHARE = 1e-4
 #: Sizes of a range that differ by less than this factor are one size (units are rounded).
@@ -48,6 +49,7 @@ _SIZE = re.compile(r"(?<![\w.,*<>$~/])(\d+(?:[.,]\d+)?)\s*-?\s*(fl\.?\s*oz|" + "
 _PACK = re.compile(r"(?<!\[)\(?\b(?:(\d{1,3})\s*-?\s*(?:packs?|counts?|ct|pcs|pieces|piezas|unidades|個|枚)\b|(?:set|packs?|juego|paquete|box|lote) (?:of|de) (\d{1,3})\b)\)?(?!\])", re.I)
 _VERSION = re.compile(r"\b(?:v|ver\.?|version|gen(?:eration)?\.?|mk\.?|mark)\s*-?(\d{1,2}|i{1,3}|iv|vi{0,3})\b|\b(\d{1,2})(?:st|nd|rd|th)\s+gen(?:eration)?\b", re.I)
 _PART_NUMBER = re.compile(r"(?<![\w])([A-Za-z]{2,4})([-_ ]?)(\d{3,6})(?![\w])")
+_NUMBER_SQL = r"\b([a-z]{2,4})[-_ ]?(\d{3,6})\b"
 _GTIN = re.compile(r"(?<!\d)(\d{8}|\d{12,14})(?!\d)")
 _ROMAN = {"i": 1, "ii": 2, "iii": 3, "iv": 4, "v": 5, "vi": 6, "vii": 7, "viii": 8}
 _TAG = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^<>]*>|\\[a-z]+(?=[{ ])|[{}]", re.S | re.I)
@@ -241,13 +243,17 @@ READ = T.StructType(
 
 
 def learn(products: DataFrame, brands: DataFrame, colors: DataFrame) -> Reader:
-    """Dictionaries of bounded size: at most 1 / VOCABULARY words per word of a title and locale, and at most
-    1 / BRAND_SHARE entered brands besides the canonical ones."""
+    """Dictionaries of bounded size: as the share of a locale's vocabulary words over its part numbers is bounded
+    below, there are at most 1 / VOCABULARY of them per word of a title; and at most 1 / BRAND_SHARE entered
+    brands besides the canonical ones."""
+    # counted per part number, not per title, so a range with very many listings has no more say than others
     title = F.lower(F.translate("title", C.FOLD_FROM, C.FOLD_TO))
-    words = products.filter("title IS NOT NULL").select(F.coalesce("locale", F.lit("")).alias("locale"), F.array_distinct(F.split(title, r"[^\p{L}\p{N}]+")).alias("w"))
-    counts = words.groupBy("locale").agg(F.count(F.lit(1)).alias("titles"))
-    common = words.select("locale", F.explode("w").alias("word")).groupBy("locale", "word").agg(F.count(F.lit(1)).alias("n"))
-    common = common.join(counts, "locale").filter((F.col("n") >= 5) & (F.col("n") > VOCABULARY * F.col("titles")) & (F.length("word") > 2))
+    number = F.concat(F.regexp_extract(title, _NUMBER_SQL, 1), F.regexp_extract(title, _NUMBER_SQL, 2))
+    words = products.filter("title IS NOT NULL").select(F.coalesce("locale", F.lit("")).alias("locale"), number.alias("number"), F.explode(F.array_distinct(F.split(title, r"[^\p{L}\p{N}]+"))).alias("word"))
+    words = materialize(words.filter("number <> '' AND length(word) > 2").distinct(), "words")
+    counts = words.groupBy("locale").agg(F.countDistinct("number").alias("numbers"))
+    common = words.groupBy("locale", "word").agg(F.count(F.lit(1)).alias("n")).join(counts, "locale")
+    common = common.filter((F.col("n") >= LEAST_NUMBERS) & (F.col("n") > VOCABULARY * F.col("numbers")))
     vocabulary: dict[str, set[str]] = {}
     for r in common.toLocalIterator():
         vocabulary.setdefault(r["locale"], set()).add(r["word"])

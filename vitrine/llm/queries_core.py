@@ -27,7 +27,7 @@ P1_SQL = """
 WITH rows AS (
   SELECT 'hybrid' AS ranking, query_id, product_id, rrf_score AS score, best_source_rank FROM candidates
   UNION ALL SELECT model_id, query_id, product_id, score, NULL FROM predictions),
-good AS (SELECT DISTINCT ranking, query_id, product_id, score, best_source_rank FROM rows WHERE score IS NOT NULL AND NOT isnan(score)),
+good AS (SELECT DISTINCT ranking, query_id, product_id, score, best_source_rank FROM rows WHERE score IS NOT NULL AND CAST(score AS VARCHAR) <> 'nan'),
 once AS (SELECT *, row_number() OVER (PARTITION BY ranking, query_id, product_id ORDER BY score DESC, best_source_rank) AS k FROM good),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY ranking, query_id ORDER BY score DESC, best_source_rank NULLS LAST, product_id) AS rank_in_group
   FROM once WHERE k = 1)
