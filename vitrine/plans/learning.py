@@ -89,7 +89,7 @@ QUERIES = {
 _FOUND = """
 m AS (SELECT query_id, product_id, min(sparse_rank) AS s, min(dense_rank) AS d FROM candidates GROUP BY ALL),
 fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(coalesce(1.0::DOUBLE / (60 + s), 0) + coalesce(1.0::DOUBLE / (60 + d), 0), 9) DESC, least(s, d), product_id) AS h FROM m WHERE coalesce(s, d) IS NOT NULL QUALIFY h <= 200),
-sc AS (SELECT query_id, product_id, max(score) FILTER (WHERE model_id = 'pointwise') AS pw, max(score) FILTER (WHERE model_id = 'lambdamart') AS lm FROM predictions WHERE score IS NOT NULL AND NOT isnan(score) GROUP BY ALL),
+sc AS (SELECT query_id, product_id, max(score) FILTER (WHERE model_id = 'pointwise') AS pw, max(score) FILTER (WHERE model_id = 'lambdamart') AS lm FROM predictions WHERE score IS NOT NULL AND CAST(score AS VARCHAR) <> 'nan' GROUP BY ALL),
 j AS (SELECT f.*, pw, lm FROM fused f LEFT JOIN sc USING (query_id, product_id)),
 longm AS (SELECT query_id, product_id, h, 'active' AS mode, lm AS k, 'ranker_unavailable' AS reason, 'lambdamart' AS st FROM j UNION ALL SELECT query_id, product_id, h, 'bm25', -s, 'sparse_unavailable', 'bm25' FROM j
   UNION ALL SELECT query_id, product_id, h, 'dense', -d, 'dense_unavailable', 'dense' FROM j UNION ALL SELECT query_id, product_id, h, 'hybrid', -h, 'fusion_unavailable', 'hybrid' FROM j

@@ -173,7 +173,7 @@ SELECT query_id, product_id, sparse_rank, dense_rank, (sparse_rank IS NOT NULL):
   row_number() OVER (PARTITION BY query_id ORDER BY round(coalesce(dense_score, '-infinity'::DOUBLE), 9) DESC, product_id) AS dense_score_rank FROM merged)
 SELECT *, round(1.0::DOUBLE / (60 + sparse_score_rank) + 1.0::DOUBLE / (60 + dense_score_rank), 9) AS closed_rrf FROM r""",
     "rank_fractions": """
-WITH p AS (SELECT model_id, query_id, product_id, max(score) FILTER (WHERE NOT isnan(score)) AS score FROM predictions GROUP BY ALL),
+WITH p AS (SELECT model_id, query_id, product_id, max(score) FILTER (WHERE CAST(score AS VARCHAR) <> 'nan') AS score FROM predictions GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY model_id, query_id ORDER BY round(coalesce(score, '-infinity'::DOUBLE), 9) DESC, product_id) AS r, count(*) OVER (PARTITION BY model_id, query_id) AS n FROM p)
 SELECT model_id, query_id, product_id, round(((r - 1)::DOUBLE / greatest(n - 1, 1))::FLOAT::DOUBLE, 6) AS rank_fraction FROM r""",
     "candidate_provenance": f"""WITH {_MERGED}, p AS (SELECT query_id,

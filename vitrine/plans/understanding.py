@@ -190,7 +190,7 @@ FROM color_hit c FULL JOIN alias_hit a USING (query_id)""",
     "category_codes_train_only": f"WITH {_TRAIN} SELECT p.product_id, CAST(b AS INTEGER) AS brand_code, CAST(c AS INTEGER) AS color_code FROM (SELECT p.product_id, {_CODES.format(p='p').replace('brand_code', 'b').replace('color_code', 'c')} FROM products p LEFT JOIN bc ON bc.v = p.normalized_brand LEFT JOIN cc ON cc.v = p.normalized_color) p",
     "ltr_features": _features_sql(),
     "feature_distribution": " UNION ALL ".join(
-        f"SELECT '{c}' AS feature, count(*) AS row_count, count(*) - count(v) AS nulls, round(avg(v), 6) AS mean, round(coalesce(stddev_pop(v), 0), 6) AS std_pop, round(min(v), 6) AS minimum, round(max(v), 6) AS maximum FROM (SELECT CASE WHEN NOT isnan({c}::DOUBLE) THEN {c}::DOUBLE END AS v FROM candidates)"
+        f"SELECT '{c}' AS feature, count(*) AS row_count, count(*) - count(v) AS nulls, round(avg(v), 6) AS mean, round(coalesce(stddev_pop(v), 0), 6) AS std_pop, round(min(v), 6) AS minimum, round(max(v), 6) AS maximum FROM (SELECT CASE WHEN CAST({c}::DOUBLE AS VARCHAR) <> 'nan' THEN {c}::DOUBLE END AS v FROM candidates)"
         for c in ("rrf_score", "sparse_score", "dense_score", "sparse_rank", "dense_rank", "best_source_rank", "source_count")
     ),
 }
