@@ -1,5 +1,5 @@
 """The query modules of the engine."""
 
-from vitrine.plans import evaluation, events, foundation, learning, retrieval, understanding
+from vitrine.plans import evaluation, events, foundation, learning, reporting, retrieval, understanding
 
-MODULES = [foundation, retrieval, evaluation, understanding, learning, events]
+MODULES = [foundation, retrieval, evaluation, understanding, learning, events, reporting]
