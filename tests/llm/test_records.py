@@ -270,6 +270,16 @@ def test_term_scores_by_hand(spark, monkeypatch):
     assert got[("r1", "red")] > got[("r1", "shoe")]
 
 
+def test_long_and_short_texts_count_alike(spark, monkeypatch):
+    rng = random.Random(1)
+    rows = [(f"r{i % 25}", " ".join(rng.choices("a bb ccc dddd eeeee ff".split(), k=rng.randint(0, 40)))) for i in range(30)]
+    df = frame(spark, rows, "id string, text string")
+    score = lambda: Counter((r.id, r.term, r.occurrences, round(r.z_score, 9)) for r in distinctive.term_scores(df, ["id"], "text").collect())
+    short = score()
+    monkeypatch.setattr(distinctive, "ROW_CHARS", 0)
+    assert short == score() and sum(short.values()) == sum(len(set(t.split())) for _, t in rows)
+
+
 def test_terms_of_one_word_and_of_nothing(spark):
     got = distinctive.term_scores(frame(spark, [("a", "x"), ("b", "x")], "id string, text string"), ["id"], "text").collect()
     assert len(got) == 2 and all(math.isfinite(r.z_score) for r in got)

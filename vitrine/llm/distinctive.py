@@ -13,6 +13,8 @@ from vitrine.scratch import materialize
 PRIOR = 500.0
 #: Terms with more than 1 / HEAVY_TERMS of all occurrences are joined by broadcast, so fewer than this many are.
 HEAVY_TERMS = 50_000
+#: Up to this length the terms of a text are counted inside its row; longer texts are counted by a group-by.
+ROW_CHARS = 2_000
 
 
 def term_scores(records: DataFrame, ids: list[str], text: str, prior: float = PRIOR) -> DataFrame:
@@ -21,7 +23,7 @@ def term_scores(records: DataFrame, ids: list[str], text: str, prior: float = PR
     With y the occurrences of the term in the record, n the record's terms, Y and N those of the collection
     and a = prior * Y / N: the log-odds ``log((y+a)/(n+prior-y-a)) - log((Y-y+a)/(N-n+prior-Y+y-a))`` is divided
     by the root of ``1/(y+a) + 1/(Y-y+a)``. A term that only this record has still has the prior in the rest.
-    A record with null or empty text has no rows. Rows with the same ids count as one record. If the whole
+    A record with null or empty text has no rows. Rows with the same ids are records of their own. If the whole
     collection is one term, the z-score is 0. Whole texts are read, however long.
     """
     spread = records.select(*ids, text).filter(F.col(text).isNotNull())
@@ -30,10 +32,16 @@ def term_scores(records: DataFrame, ids: list[str], text: str, prior: float = PR
     totals = materialize(totals, "terms")
     grand = totals.agg(F.coalesce(F.sum("_rows"), F.lit(0)).alias("n")).first()["n"]
 
-    # placed by record once, as text: the counts per record and term then need no further exchange
-    placed = spread.repartition(*ids).select(*ids, F.expr(tokens_sql(text)).alias("_terms"))
-    counted = placed.select(*ids, F.size("_terms").alias("_size"), F.explode("_terms").alias("term"))
-    counted = counted.groupBy(*ids, "term").agg(F.count(F.lit(1)).alias("occurrences"), F.max("_size").alias("_n"))
+    # a text of bounded length is counted where it is read: what a term's removal takes away is its number
+    listed = F.expr(tokens_sql(text)).alias("_terms")
+    short = spread.filter(F.char_length(text) <= ROW_CHARS).select(*ids, listed).select(*ids, "_terms", F.array_distinct("_terms").alias("_once"))
+    number = F.expr("CASE WHEN size(_once) = size(_terms) THEN transform(_once, x -> 1) ELSE transform(_once, x -> size(_terms) - size(array_remove(_terms, x))) END")
+    short = short.select(*ids, F.size("_terms").alias("_n"), F.explode(F.arrays_zip(F.col("_once").alias("t"), number.alias("k"))).alias("_p"))
+    short = short.select(*ids, F.col("_p.t").alias("term"), F.col("_p.k").cast("bigint").alias("occurrences"), "_n")
+    # longer ones are placed by record once, as text: the group-by then needs no further exchange
+    long = spread.filter(F.char_length(text) > ROW_CHARS).withColumn("_row", F.monotonically_increasing_id()).repartition(*ids).select(*ids, "_row", listed)
+    long = long.select(*ids, "_row", F.size("_terms").alias("_n"), F.explode("_terms").alias("term")).groupBy(*ids, "_row", "term", "_n").agg(F.count(F.lit(1)).alias("occurrences"))
+    counted = short.unionByName(long.select(short.columns))
     joined = heavy_light_join(counted, totals.withColumn("_total", F.col("_rows")), ["term"], "_rows", HEAVY_TERMS)
     return joined.select(*ids, "term", "occurrences", F.expr(z_sql("occurrences", "_n", "_total", f"{grand}D", prior)).alias("z_score"))
 
