@@ -276,7 +276,7 @@ def test_long_and_short_texts_count_alike(spark, monkeypatch):
     df = frame(spark, rows, "id string, text string")
     score = lambda: Counter((r.id, r.term, r.occurrences, round(r.z_score, 9)) for r in distinctive.term_scores(df, ["id"], "text").collect())
     short = score()
-    monkeypatch.setattr(distinctive, "ROW_CHARS", 0)
+    monkeypatch.setattr(distinctive, "ROW_TERMS", 0)
     assert short == score() and sum(short.values()) == sum(len(set(t.split())) for _, t in rows)
 
 

@@ -13,8 +13,8 @@ from vitrine.scratch import materialize
 PRIOR = 500.0
 #: Terms with more than 1 / HEAVY_TERMS of all occurrences are joined by broadcast, so fewer than this many are.
 HEAVY_TERMS = 50_000
-#: Up to this length the terms of a text are counted inside its row; longer texts are counted by a group-by.
-ROW_CHARS = 2_000
+#: Up to so many terms are counted inside the row of their text; longer texts are counted by a group-by.
+ROW_TERMS = 1_000
 
 
 def term_scores(records: DataFrame, ids: list[str], text: str, prior: float = PRIOR) -> DataFrame:
@@ -26,20 +26,20 @@ def term_scores(records: DataFrame, ids: list[str], text: str, prior: float = PR
     A record with null or empty text has no rows. Rows with the same ids are records of their own. If the whole
     collection is one term, the z-score is 0. Whole texts are read, however long.
     """
-    spread = records.select(*ids, text).filter(F.col(text).isNotNull())
-    words = spread.select(*ids, F.expr(tokens_sql(text)).alias("_terms")).select(*ids, F.explode("_terms").alias("term"))
-    totals = words.groupBy("term").agg(F.count(F.lit(1)).alias("_rows"))
+    # terms are found once; the three passes below read them back
+    listed = records.filter(F.col(text).isNotNull()).select(*ids, F.expr(tokens_sql(text)).alias("_terms"))
+    listed = materialize(listed, "tokens")
+    totals = listed.select(F.explode("_terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("_rows"))
     totals = materialize(totals, "terms")
     grand = totals.agg(F.coalesce(F.sum("_rows"), F.lit(0)).alias("n")).first()["n"]
 
     # a text of bounded length is counted where it is read: what a term's removal takes away is its number
-    listed = F.expr(tokens_sql(text)).alias("_terms")
-    short = spread.filter(F.char_length(text) <= ROW_CHARS).select(*ids, listed).select(*ids, "_terms", F.array_distinct("_terms").alias("_once"))
+    short = listed.filter(F.size("_terms") <= ROW_TERMS).select(*ids, "_terms", F.array_distinct("_terms").alias("_once"))
     number = F.expr("CASE WHEN size(_once) = size(_terms) THEN transform(_once, x -> 1) ELSE transform(_once, x -> size(_terms) - size(array_remove(_terms, x))) END")
     short = short.select(*ids, F.size("_terms").alias("_n"), F.explode(F.arrays_zip(F.col("_once").alias("t"), number.alias("k"))).alias("_p"))
     short = short.select(*ids, F.col("_p.t").alias("term"), F.col("_p.k").cast("bigint").alias("occurrences"), "_n")
-    # longer ones are placed by record once, as text: the group-by then needs no further exchange
-    long = spread.filter(F.char_length(text) > ROW_CHARS).withColumn("_row", F.monotonically_increasing_id()).repartition(*ids).select(*ids, "_row", listed)
+    # longer ones are placed by record once: the group-by then needs no further exchange
+    long = listed.filter(F.size("_terms") > ROW_TERMS).withColumn("_row", F.monotonically_increasing_id()).repartition(*ids)
     long = long.select(*ids, "_row", F.size("_terms").alias("_n"), F.explode("_terms").alias("term")).groupBy(*ids, "_row", "term", "_n").agg(F.count(F.lit(1)).alias("occurrences"))
     counted = short.unionByName(long.select(short.columns))
     joined = heavy_light_join(counted, totals.withColumn("_total", F.col("_rows")), ["term"], "_rows", HEAVY_TERMS)
