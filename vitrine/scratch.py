@@ -65,3 +65,12 @@ def _fs(spark: SparkSession, path: str):
 def _delete_on_exit(spark: SparkSession, path: str) -> None:
     p, fs = _fs(spark, path)
     fs.deleteOnExit(p)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many tasks as there are cores, for work that is heavy per row.
+
+    A scan of many files stays as it is; a few files, which one task each would read, are dealt out by round robin.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
