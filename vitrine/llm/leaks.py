@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vitrine.scratch import spread
+
 #: Part of the item's words, without the task instruction, that a document must hold.
 COVER = 0.48
 #: A pair is aligned if the document has this part of the item's starts; passages with every sixth word changed keep more.
@@ -288,7 +290,7 @@ def _scan(docs: DataFrame, doc_id: str, text: str, shared, kind: T.DataType, ite
         if texts:
             yield flush(ids, texts)
 
-    return docs.select(doc_id, text).filter(F.col(text).isNotNull()).mapInArrow(run, schema)
+    return spread(docs.select(doc_id, text).filter(F.col(text).isNotNull())).mapInArrow(run, schema)
 
 
 def _each_block(docs: DataFrame, items: DataFrame, doc_id: str, item_id: str, text: str, item_text: str, want: str) -> DataFrame | None:

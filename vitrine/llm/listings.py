@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from vitrine.llm import canonical as C
 from vitrine.llm.splits import components
-from vitrine.scratch import materialize
+from vitrine.scratch import materialize, spread
 
 #: A title word that stands with more than this part of a locale's part numbers, and with at least so many, is
 #: vocabulary (what it is, how it is praised), not a name.
@@ -298,7 +298,7 @@ def read_listings(products: DataFrame, reader: Reader) -> DataFrame:
             read = list(zip(*rows, strict=True)) if rows else [[]] * len(READ)
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, type=f.type) for c, f in zip(read, list(out)[1:], strict=True)]], schema=out)
 
-    return products.select("product_id", "locale", "title", "brand", "color", "bullets", "description").mapInArrow(run, schema)
+    return spread(products.select("product_id", "locale", "title", "brand", "color", "bullets", "description")).mapInArrow(run, schema)
 
 
 def _ranges(read: DataFrame) -> DataFrame:

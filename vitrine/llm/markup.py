@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vitrine.llm.boost import BoostedTrees
+from vitrine.scratch import spread
 
 #: Texts that the classifier is trained on.
 TRAIN_TEXTS = 4_000
@@ -527,5 +528,4 @@ def clean_markup(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
                     cols += [pa.array([t for t, _ in done], pa.string()), pa.array([m for _, m in done], pa.bool_())]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, out, strict=True)], schema=out)
 
-    # a plain column scan: the tasks are the scan's, spread over as many as there are cores
-    return df.select(key, *[F.col(f).cast("string").alias(f) for f in fields]).mapInArrow(run, schema)
+    return spread(df.select(key, *[F.col(f).cast("string").alias(f) for f in fields])).mapInArrow(run, schema)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.operators.grouprank import DEFAULT_LIMIT, running_before
-from vitrine.scratch import materialize
+from vitrine.scratch import materialize, spread
 
 #: A vocabulary file of the ``tokenizers`` library, at the same place on every executor.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
@@ -60,7 +60,7 @@ def mix_sources(
     Documents of unlisted or null source, and those without tokens, are never selected. Target rows with null or
     non-positive share or repeats get nothing. Repeated doc_ids count as documents of their own.
     """
-    sized = docs.select(doc_id, source, token_count(text, tokenizer).alias("tokens")).filter(F.col(source).isNotNull() & (F.col("tokens") > 0))
+    sized = spread(docs.select(doc_id, source, text)).select(doc_id, source, token_count(text, tokenizer).alias("tokens")).filter(F.col(source).isNotNull() & (F.col("tokens") > 0))
     sized = materialize(sized, "tokens")
     have = sized.groupBy(source).agg(F.sum("tokens").alias("available_tokens"), F.count(F.lit(1)).alias("documents"))
     plan = targets.select(F.col("source").alias(source), "target_share", "max_repeats").join(have, source, "left")

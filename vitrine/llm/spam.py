@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.scratch import materialize
+from vitrine.scratch import materialize, spread
 
 #: A line of sentences with at least this many characters is a block of its own.
 LINE_CHARS = 300
@@ -113,7 +113,7 @@ def find_piles(docs: DataFrame, doc_id: str, text: str, lang: str) -> DataFrame:
     Null and empty texts have share 0 and are no spam. Null languages form a language. Repeated pages and ids
     count each. Other columns do not matter. Whole texts are read.
     """
-    slim = docs.select(F.col(doc_id).alias("_id"), F.coalesce(lang, F.lit("")).alias("_lang"), F.monotonically_increasing_id().alias("_row"), blocks(text).alias("_blocks"))
+    slim = spread(docs.select(doc_id, lang, text)).select(F.col(doc_id).alias("_id"), F.coalesce(lang, F.lit("")).alias("_lang"), F.monotonically_increasing_id().alias("_row"), blocks(text).alias("_blocks"))
     slim = materialize(slim, "blocks")
     flat = slim.select("_id", "_row", "_lang", F.explode("_blocks").alias("b")).select("_id", "_row", "_lang", "b.*")
     flat = flat.withColumn("_size", F.floor(2 * F.log2(F.col("packed").cast("double"))).cast("int"))
