@@ -282,3 +282,14 @@ def test_piles_and_honest_pages(spark):
     assert len(got) == len(docs) + 1
     assert Counter(r.doc_id for r in got if r.spam) == {"piled": 2, "menu": 1, "tags": 1, "lines": 1, "half": 1, "links": 1, "stuffed": 1}
     assert spam.find_piles(df.limit(0), "doc_id", "text", "lang").count() == 0
+
+
+def test_few_stuffed_sentences_again_and_again(spark):
+    rng = random.Random(8)
+    stuffed = ["Buy picture frame here because picture frame shoppers love picture frame deals.", "Our picture frame is the best picture frame for every picture frame buyer.", "Order picture frame sets from the picture frame store with picture frame offers."]
+    honest = ["The door of the old shop opens at nine in the morning and closes after dark.", "Wash the cover by hand with lukewarm water and let it dry in the shade.", "Our neighbour bought the same model and says that it holds up well in winter."]
+    docs = {f"prose{i}": prose(rng, rng.randint(1, 25)) for i in range(200)}
+    for n in (1, 2, 3):
+        docs |= {f"stuffed{n}": " ".join(stuffed[:n] * (60 // n)), f"honest{n}": " ".join(honest[:n] * (60 // n))}
+    df = frame(spark, [(k, t, "en") for k, t in docs.items()], "doc_id string, text string, lang string")
+    assert {r.doc_id for r in spam.find_piles(df, "doc_id", "text", "lang").filter("spam").collect()} == {"stuffed1", "stuffed2", "stuffed3"}
