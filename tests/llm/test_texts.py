@@ -211,6 +211,29 @@ def test_leaks_of_every_kind(spark, monkeypatch):
     assert leaks.find_leaks(df.limit(0), tests).count() == 0 and leaks.find_leaks(df, tests.limit(0)).count() == 0
 
 
+def test_longest_match_among_many_with_the_same_start():
+    rng = random.Random(4)
+    items = [words(rng, 150), words(rng, 64), words(rng, 90) * 2]
+    a = items[0]
+    texts = [a[:70], a, a[3:100], a[:64] + words(rng, 9), a[:149], items[1], items[2][:80], items[2], items[2][5:170], a[80:] + a[:90], words(rng, 300)]
+    texts += [words(rng, 5) + t for t in texts]
+    tests = leaks.TestItems([(i, " ".join(w)) for i, w in enumerate(items)])
+    _, found = leaks._scan_shard(tests, [np.array([tests.number.get(x, 0) for x in t], dtype=np.int64) for t in texts])
+    got = {tuple(tests.suffix_of[s].tolist()): (d, at, n) for s, d, at, n in found}
+
+    def shared(x, y):
+        return next((n for n, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))  # noqa: B905
+
+    for i, w in enumerate(items):
+        for k in range(len(w)):
+            want = max(shared(w[k:], t[j:]) for t in texts for j in range(len(t)))
+            if want < 2 * leaks.START:
+                assert (i, k) not in got
+                continue
+            d, at, n = got[(i, k)]
+            assert n == want == shared(w[k:], texts[d][at:])
+
+
 # --- mixing --------------------------------------------------------------------------------------------------
 
 TARGETS = "source string, target_share double, max_repeats int"

@@ -30,7 +30,7 @@ STARTS_COVER = 0.2
 START = 4
 #: In every stretch of this many starts of an item, the one that the fewest items share is looked up.
 STRETCH = 8
-#: Words of verbatim match up to which suffixes are sorted; longer matches are followed in the text.
+#: Words of verbatim match up to which suffixes are sorted; longer matches are followed from all their places.
 DEPTH = 64
 #: Words of a shard; a longer document is a shard of its own.
 SHARD_WORDS = 1_000_000
@@ -191,6 +191,27 @@ def cover(item: np.ndarray, doc: np.ndarray) -> float:
     return best / len(item)
 
 
+def _deepest(items: TestItems, ids: np.ndarray, order: np.ndarray, rows: np.ndarray, lo: np.ndarray) -> dict[int, tuple[int, int]]:
+    """(words, place) of the longest match of each of the rows, whose suffixes match DEPTH words or more from ``lo`` on.
+
+    Every place of the first DEPTH words counts: from the end of an item on, a match is one word longer than that
+    of the next suffix at the next place, or DEPTH words long if there is none.
+    """
+    hi = _bound(ids, order, items.suffixes[rows], DEPTH, True)
+    reach, before, best = np.zeros(len(ids) + 1, dtype=np.int64), np.zeros(0, dtype=np.int64), {}
+    last = (-1, -1)
+    for row, a, b in zip(rows[::-1].tolist(), lo[::-1].tolist(), hi[::-1].tolist(), strict=True):
+        n, k = items.suffix_of[row].tolist()
+        places = order[a:b]
+        longer = reach[places + 1] if last == (n, k + 1) else np.zeros(len(places), dtype=np.int64)
+        reach[before] = 0
+        reach[places] = words = np.where(longer > 0, longer + 1, DEPTH)
+        at = int(np.argmax(words))
+        best[row] = (int(words[at]), int(places[at]))
+        before, last = places, (n, k)
+    return best
+
+
 def _scan_shard(items: TestItems, texts: list[np.ndarray]) -> tuple[list[tuple[int, int, float]], list[tuple[int, int, int, int]]]:
     """(document, item, cover) pairs and (suffix, document, document position, words) longest matches."""
     sizes = np.array([len(t) + 1 for t in texts])
@@ -223,21 +244,19 @@ def _scan_shard(items: TestItems, texts: list[np.ndarray]) -> tuple[list[tuple[i
                 share = cover(items.words[n], texts[d])
                 if share >= COVER:
                     pairs.append((d, n, share))
-    # longest verbatim match of every suffix: one of the neighbours of its place in the order
+    # longest verbatim match of every suffix: one of the neighbours of its place in the order, or beyond DEPTH words any in its range
     place = _bound(ids, order, items.suffixes, DEPTH, False)
     longest = []
     near = np.stack([np.clip(place - 1, 0, len(order) - 1), np.clip(place, 0, len(order) - 1)], axis=1)
     text = np.append(ids, np.full(DEPTH, -2))
     same = (text[order[near][:, :, None] + np.arange(DEPTH)] == items.suffixes[:, None, :]) & (items.suffixes[:, None, :] >= 0)
     length = np.where(same.all(axis=2), DEPTH, np.argmin(same, axis=2))
-    side = np.argmax(length, axis=1)
-    for row in np.flatnonzero(length.max(axis=1) >= 2 * START).tolist():
-        at = int(order[near[row, side[row]]])
+    side, most = np.argmax(length, axis=1), length.max(axis=1)
+    full = np.flatnonzero(most == DEPTH)
+    deepest = _deepest(items, ids, order, full, place[full])
+    for row in np.flatnonzero(most >= 2 * START).tolist():
+        m, at = deepest.get(row, (int(most[row]), int(order[near[row, side[row]]])))
         d = int(np.searchsorted(offset, at, side="right") - 1)
-        n, k = items.suffix_of[row].tolist()
-        m, own, doc = 0, items.words[n][k:], texts[d][at - offset[d] :]
-        while m < len(own) and m < len(doc) and own[m] == doc[m]:
-            m += 1
         longest.append((row, d, int(at - offset[d]), m))
     return pairs, longest
 
