@@ -246,3 +246,40 @@ def test_strict_map_and_one_to_one(spark):
 def test_features_are_44_and_do_not_leak():
     names = list(feats.feature_sql(feats.Dialect()))
     assert len(names) == 44 and not any(found for _, found in feats.leakage_report(names))
+
+
+def test_intervals_of_all_replicates_against_brute_force(spark, monkeypatch):
+    import hashlib
+
+    import numpy as np
+
+    from vitrine.plans import evaluation, reporting
+
+    rows = [(q, s, 10, (q * k % 17) / 16) for q in range(1, 31) for s, k in (("bm25", 5), ("coverage", 7), ("rrf", 3))]
+    ndcg = frame(spark, rows, "query_id long, stage string, cutoff int, ndcg double")
+    groups = frame(spark, [(q, f"g{q % 11:02}") for q in range(1, 31)], "query_id long, group_key string")
+    for module in (evaluation, reporting):
+        monkeypatch.setattr(module, "_ndcg", lambda *_: ndcg)
+        monkeypatch.setattr(module, "_groups", lambda *_: groups)
+
+    def interval(stage, values):
+        sums = [[v for q, v in values.items() if q % 11 == g] for g in range(11)]
+        est = []
+        for r in range(1, 1001):
+            drawn = [sums[int(hashlib.sha256(f"{stage}|10|{r}|{j}".encode()).hexdigest()[:15], 16) % 11] for j in range(11)]
+            est.append(sum(map(sum, drawn)) / sum(map(len, drawn)))
+        return np.percentile(est, [2.5, 97.5])
+
+    by = {s: {q: v for q, t, _, v in rows if t == s} for s in ("bm25", "coverage", "rrf")}
+    got = {r.stage: r for r in evaluation.grouped_bootstrap_ci_1000(spark, "").collect()}
+    assert set(got) == set(by)
+    for s, values in by.items():
+        assert [got[s].lower, got[s].upper] == pytest.approx(interval(s, values), abs=2e-6)
+    want = {}
+    for s in ("coverage", "rrf"):
+        delta = {q: v - by["bm25"][q] for q, v in by[s].items()}
+        if sum(delta.values()) <= 0:
+            want[s] = "no_mean_gain"
+        elif interval(s, delta)[0] <= 0:
+            want[s] = "interval_reaches_zero"
+    assert {r.stage: r.finding for r in reporting.negative_findings_1000(spark, "").collect()} == want

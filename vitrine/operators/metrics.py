@@ -158,7 +158,8 @@ def bootstrap(values: DataFrame, series: Sequence[str], group: str, value: str,
     draws = draws.select(*series, "_r", "groups", F.explode(F.sequence(F.lit(0), (F.col("groups") - 1).cast("int"))).alias("_j"))
     key = F.concat_ws("|", *[F.col(s).cast("string") for s in series], F.col("_r").cast("string"), F.col("_j").cast("string"))
     draws = draws.withColumn("_no", hash_draw(key, F.col("groups")))
-    drawn = draws.join(numbered, [*series, "_no"]).groupBy(*series, "_r").agg((F.sum("_sum") / F.sum("_n")).alias("_est"))
+    # the planner takes the draws for as few as the series and would send them all to the driver
+    drawn = draws.join(numbered.hint("merge"), [*series, "_no"]).groupBy(*series, "_r").agg((F.sum("_sum") / F.sum("_n")).alias("_est"))
     ends = drawn.groupBy(*series).agg(F.percentile("_est", F.lit(0.025)).alias("lower"), F.percentile("_est", F.lit(0.975)).alias("upper"))
     return sizes.join(ends, list(series)).select(*series, "mean", "lower", "upper", "groups")
 
