@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.functions.text import tokens_sql
-from vitrine.operators.grouprank import row_number
+from vitrine.operators.grouprank import running_over_all
 
 #: A word that is a model number, in the tokenizer's terms.
 MODEL = "^[a-z0-9]+([-_.][a-z0-9]+)*$"
@@ -103,8 +103,8 @@ def feature_sql(d: Dialect) -> dict[str, str]:
 
 def category_codes(products: DataFrame, column: str) -> DataFrame:
     """``column``, ``code``: 2, 3, ... for the sorted distinct values; unseen values are 1 and missing ones 0 later."""
-    values = products.filter(F.col(column).isNotNull()).select(column).distinct().withColumn("_all", F.lit(0))
-    return row_number(values, ["_all"], [F.col(column)], "_r").select(column, (F.col("_r") + 1).cast("int").alias("code"))
+    values = products.filter(F.col(column).isNotNull()).select(column).distinct().withColumn("_one", F.lit(1.0))
+    return running_over_all(values, [F.col(column)], "_one", "_before").select(column, (F.col("_before") + 2).cast("int").alias("code"))
 
 
 def with_code(df: DataFrame, codes: DataFrame, column: str, out: str) -> DataFrame:

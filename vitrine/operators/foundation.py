@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vitrine.functions.clean import attribute, clean
 from vitrine.functions.hashing import hash_bucket, hash_key
-from vitrine.operators.grouprank import running_before
+from vitrine.operators.grouprank import row_number, running_over_all
 from vitrine.operators.validate import strict_map
 
 #: Label codes and gains.
@@ -71,8 +71,8 @@ def with_gains(judgments: DataFrame) -> DataFrame:
 
 
 def stable_ordinal(judgments: DataFrame) -> DataFrame:
-    """Adds ``stable_ordinal``: the place of the product among those of its query, by product_id."""
-    return judgments.withColumn("stable_ordinal", F.row_number().over(Window.partitionBy("query_id").orderBy("product_id")))
+    """Adds ``stable_ordinal``: the place of the product among those of its query, by product_id and locale."""
+    return row_number(judgments, ["query_id"], [F.col("product_id"), F.col("product_locale")], "stable_ordinal").withColumn("stable_ordinal", F.col("stable_ordinal").cast("int"))
 
 
 def compact_catalog(products: DataFrame, judged: DataFrame, distractors: int) -> DataFrame:
@@ -86,8 +86,8 @@ def compact_catalog(products: DataFrame, judged: DataFrame, distractors: int) ->
 
 def catalog_membership(catalog: DataFrame, catalog_id: str = "compact") -> DataFrame:
     """``catalog_ordinal`` 0.. in the order of (locale, product_id), without one task seeing all rows."""
-    numbered = running_before(catalog.select("locale", "product_id").withColumns({"_one": F.lit(1.0), "catalog_id": F.lit(catalog_id)}), ["catalog_id"], [F.col("locale"), F.col("product_id")], "_one", "_at")
-    return numbered.select("catalog_id", "locale", "product_id", F.col("_at").cast("bigint").alias("catalog_ordinal"))
+    numbered = running_over_all(catalog.select("locale", "product_id").withColumn("_one", F.lit(1.0)), [F.col("locale"), F.col("product_id")], "_one", "_at")
+    return numbered.select(F.lit(catalog_id).alias("catalog_id"), "locale", "product_id", F.col("_at").cast("bigint").alias("catalog_ordinal"))
 
 
 def clean_products(products: DataFrame) -> DataFrame:

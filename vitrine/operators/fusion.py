@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vitrine.operators.grouprank import DEFAULT_LIMIT, _flag_hot, row_number
+from vitrine.operators.grouprank import DEFAULT_LIMIT, row_numbers
 
 CONSTANT, UNION_CAP = 60, 200
 
@@ -33,7 +33,11 @@ def fuse(lists: dict[str, DataFrame], query_id: str, item: str, constant: int =
 
 
 def rank_fused(merged: DataFrame, query_id: str, item: str, ranks: list[str], constant: int = CONSTANT, cap: int = UNION_CAP) -> DataFrame:
-    """Adds ``rrf`` and ``rank`` to rows that hold the rank of each source; rows without any rank are dropped."""
+    """Adds ``rrf`` and ``rank`` to rows that hold the rank of each source; rows without any rank are dropped.
+
+    Only the first ``cap`` of a query are kept, so every task sends at most that many rows of a query to the
+    window (Spark's group limit, up to ``spark.sql.optimizer.windowGroupLimitThreshold``), hot query or not.
+    """
     rrf = reduce(lambda x, y: x + y, [_weight(F.col(r), constant) for r in ranks])
     best = F.least(*[F.col(r) for r in ranks]) if len(ranks) > 1 else F.col(ranks[0])
     rows = merged.withColumns({"rrf": rrf, "_best": best}).filter("_best IS NOT NULL")
@@ -41,22 +45,27 @@ def rank_fused(merged: DataFrame, query_id: str, item: str, ranks: list[str], co
     return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= cap).drop("_best")
 
 
-def rank_fraction(df: DataFrame, group: list[str], score: str, item: str, out: str, limit: int = DEFAULT_LIMIT) -> DataFrame:
-    """Adds ``out`` in [0, 1]: (rank - 1) / max(n - 1, 1) by score descending, item; a null score ranks last."""
-    numbered = row_number(df, group, [F.round(F.coalesce(score, F.lit(float("-inf"))), 9).desc(), F.col(item)], "_rank", limit)
-    cold, hot = _flag_hot(numbered, group, limit)
-    small = cold.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*group)))
-    if cold is numbered:
-        return small.withColumn(out, ((F.col("_rank") - 1) / F.greatest(F.col("_n") - 1, F.lit(1))).cast("float")).drop("_n", "_rank")
-    sizes = hot.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-    both = small.unionByName(hot.join(F.broadcast(sizes), group).select(small.columns))  # large groups are few, by their bound
-    return both.withColumn(out, ((F.col("_rank") - 1) / F.greatest(F.col("_n") - 1, F.lit(1))).cast("float")).drop("_n", "_rank")
+def rank_fractions(df: DataFrame, group: list[str], scores: dict[str, str], item: str, limit: int | None = DEFAULT_LIMIT) -> DataFrame:
+    """Adds a column for each (score, out) of ``scores``: (rank - 1) / max(n - 1, 1) in [0, 1] by score descending,
+    then item; a null score ranks last."""
+    orders = {f"_r_{out}": _best_first(score, item) for score, out in scores.items()}
+    ranked = row_numbers(df, group, orders, size="_n", limit=limit)
+    shares = {out: ((F.col(f"_r_{out}") - 1) / F.greatest(F.col("_n") - 1, F.lit(1))).cast("float") for out in scores.values()}
+    return ranked.withColumns(shares).drop("_n", *orders)
+
+
+def rank_fraction(df: DataFrame, group: list[str], score: str, item: str, out: str, limit: int | None = DEFAULT_LIMIT) -> DataFrame:
+    """:func:`rank_fractions` of one score."""
+    return rank_fractions(df, group, {score: out}, item, limit)
+
+
+def _best_first(score: str, item: str) -> list[Column]:
+    return [F.round(F.coalesce(score, F.lit(float("-inf"))), 9).desc(), F.col(item)]
 
 
-def closed_rrf(df: DataFrame, group: str, item: str, scores: list[str], constant: int = CONSTANT, limit: int = DEFAULT_LIMIT) -> DataFrame:
+def closed_rrf(df: DataFrame, group: str, item: str, scores: list[str], constant: int = CONSTANT, limit: int | None = DEFAULT_LIMIT) -> DataFrame:
     """Ranks recomputed from direct scores inside the current set, fused: adds ``<score>_rank`` and ``closed_rrf``."""
-    for s in scores:
-        df = row_number(df, [group], [F.round(F.coalesce(s, F.lit(float("-inf"))), 9).desc(), F.col(item)], f"{s}_rank", limit)
+    df = row_numbers(df, [group], {f"{s}_rank": _best_first(s, item) for s in scores}, limit=limit)
     return df.withColumn("closed_rrf", reduce(lambda x, y: x + y, [_weight(F.col(f"{s}_rank"), constant) for s in scores]))
 
 

@@ -1,14 +1,17 @@
 """Exact ranks and running sums inside groups, one of which may hold a third of all rows.
 
-A window over a group puts the whole group into one task. Here only groups up to ``limit`` rows take that
-way. Larger ones are cut into range partitions of (group, order), get local positions there, and are
-shifted by the totals of the partitions before; the shift table has one row per partition and large group.
-Both ways give the same values.
+A window over a group puts the whole group into one task. A group with more than the share
+1 / (SLICES * shuffle partitions) of all rows is therefore cut: its rows go to range partitions of
+(group, order), get local positions there, and are shifted by the totals of the partitions before; the shift
+table has one row per partition and large group. Fewer than SLICES * partitions groups can have such a share,
+whatever the size of the data, so the list of them may be broadcast. Smaller groups take a window. Both ways
+give the same values, and which of them a group takes depends on its share only, not on the number of rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,21 +21,32 @@ from pyspark.sql import types as T
 
 from vitrine.scratch import materialize
 
-DEFAULT_LIMIT = 2_000_000
+#: A group is cut if it has more rows than a task would have if every shuffle partition were so many tasks.
+SLICES = 4
+#: The limit follows from the share; callers may give one in rows.
+DEFAULT_LIMIT = None
 
 
-def _flag_hot(df: DataFrame, groups: Sequence[str], limit: int) -> tuple[DataFrame, DataFrame]:
-    """(cold, hot) rows. The table of large groups has at most rows / limit entries."""
-    hot = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > limit)
-    hot = hot.select(*[F.col(g).alias(f"_h_{g}") for g in groups])
+def _limit(df: DataFrame, limit: int | None) -> int:
+    if limit is not None:
+        return limit
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(df.count() // (SLICES * max(parts, 1)), 1)
+
+
+def _flag_hot(df: DataFrame, groups: Sequence[str], limit: int | None = DEFAULT_LIMIT) -> tuple[DataFrame, DataFrame]:
+    """(cold, hot) rows; cold is ``df`` itself if no group is hot. The list of hot groups is bounded by the share
+    above, or by rows / limit if a limit is given; it is written once, from one count per group."""
+    hot = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > _limit(df, limit))
+    hot = materialize(hot.select(*[F.col(g).alias(f"_h_{g}") for g in groups]), "hotgroups")
     if hot.isEmpty():
         return df, df.limit(0)
-    hot = materialize(hot, "hotgroups")
     on = None
     for g in groups:
         eq = F.col(g).eqNullSafe(F.col(f"_h_{g}"))
         on = eq if on is None else on & eq
-    # no hint: the table is small by its bound, and the planner broadcasts it by its real size
+    if limit is None:
+        hot = F.broadcast(hot)  # fewer than SLICES * partitions rows
     return df.join(hot, on, "left_anti"), df.join(hot, on, "left_semi")
 
 
@@ -78,6 +92,8 @@ def _range_positions(df: DataFrame, groups: Sequence[str], order: Sequence[Colum
     spread = df.repartitionByRange(*gcols, *order).sortWithinPartitions(*gcols, *order).mapInArrow(local, schema)
     spread = materialize(spread, "positions")
     totals = spread.groupBy("_part", *groups).agg(F.max(F.col("_local") + F.col(value)).alias("_total"))
+    # a row per partition and group that has rows there: a partition holds the end of one group and the start of
+    # others, so there are at most as many rows as partitions and groups together, each of them few (see above)
     w = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     shift = totals.select(
         F.col("_part").alias("_s_part"), *[F.col(g).alias(f"_s_{g}") for g in groups], F.coalesce(F.sum("_total").over(w), F.lit(0.0)).alias("_shift")
@@ -85,11 +101,11 @@ def _range_positions(df: DataFrame, groups: Sequence[str], order: Sequence[Colum
     on = F.col("_part") == F.col("_s_part")
     for g in groups:
         on = on & F.col(g).eqNullSafe(F.col(f"_s_{g}"))
-    out = spread.join(shift, on, "left").withColumn("_before", F.col("_local") + F.col("_shift"))
+    out = spread.join(F.broadcast(shift), on, "left").withColumn("_before", F.col("_local") + F.col("_shift"))
     return out.drop("_part", "_local", "_shift", "_s_part", *[f"_s_{g}" for g in groups])
 
 
-def running_before(df: DataFrame, groups: Sequence[str], order: Sequence[Column], value: str, out: str, limit: int = DEFAULT_LIMIT) -> DataFrame:
+def running_before(df: DataFrame, groups: Sequence[str], order: Sequence[Column], value: str, out: str, limit: int | None = DEFAULT_LIMIT) -> DataFrame:
     """Adds ``out`` (double): the sum of ``value`` over the rows of the group that come earlier in ``order``.
 
     ``order`` must be total within a group. Null groups form one group. ``value`` must not be null.
@@ -104,12 +120,31 @@ def running_before(df: DataFrame, groups: Sequence[str], order: Sequence[Column]
     return small.unionByName(large.select(small.columns))
 
 
-def row_number(df: DataFrame, groups: Sequence[str], order: Sequence[Column], out: str, limit: int = DEFAULT_LIMIT) -> DataFrame:
+def running_over_all(df: DataFrame, order: Sequence[Column], value: str, out: str) -> DataFrame:
+    """The same with the whole table as one group: always by range partitions, never in one task."""
+    whole = df.withColumns({value: F.col(value).cast("double"), "_whole": F.lit(0)})
+    return _range_positions(whole, ["_whole"], order, value).withColumnRenamed("_before", out).drop("_whole")
+
+
+def row_number(df: DataFrame, groups: Sequence[str], order: Sequence[Column], out: str, limit: int | None = DEFAULT_LIMIT) -> DataFrame:
     """Adds ``out`` (long): 1, 2, ... within each group by the total order ``order``."""
+    return row_numbers(df, groups, {out: order}, limit=limit)
+
+
+def row_numbers(df: DataFrame, groups: Sequence[str], orders: Mapping[str, Sequence[Column]], size: str | None = None, limit: int | None = DEFAULT_LIMIT) -> DataFrame:
+    """Adds a row number for each of ``orders`` (and ``size``, the rows of the group); small groups need one
+    exchange for all of them, and the hot ones are looked for once."""
     cold, hot = _flag_hot(df, groups, limit)
-    small = cold.withColumn(out, F.row_number().over(Window.partitionBy(*groups).orderBy(*order)).cast("long"))
+    small = cold.withColumns({out: F.row_number().over(Window.partitionBy(*groups).orderBy(*order)).cast("long") for out, order in orders.items()})
+    if size:
+        small = small.withColumn(size, F.count(F.lit(1)).over(Window.partitionBy(*groups)))
     if cold is df:
         return small
-    large = _range_positions(hot.withColumn("_one", F.lit(1.0)), groups, order, "_one")
-    large = large.withColumn(out, (F.col("_before") + 1).cast("long")).drop("_before", "_one")
+    large = hot.withColumn("_one", F.lit(1.0))
+    for out, order in orders.items():
+        large = _range_positions(large, groups, order, "_one").withColumn(out, (F.col("_before") + 1).cast("long")).drop("_before")
+    if size:
+        sizes = large.groupBy(*groups).agg(F.count(F.lit(1)).alias(size)).select(*[F.col(g).alias(f"_z_{g}") for g in groups], size)
+        on = reduce(lambda x, y: x & y, [F.col(g).eqNullSafe(F.col(f"_z_{g}")) for g in groups])
+        large = large.join(F.broadcast(sizes), on).drop(*[f"_z_{g}" for g in groups])  # a row per hot group
     return small.unionByName(large.select(small.columns))

@@ -21,7 +21,7 @@ GAINS = (0.0, 0.01, 0.1, 1.0)
 TOLERANCE = 1e-12
 
 
-def ranked_pool(pool: DataFrame, stages: Sequence[str], limit: int = DEFAULT_LIMIT) -> DataFrame:
+def ranked_pool(pool: DataFrame, stages: Sequence[str], limit: int | None = DEFAULT_LIMIT) -> DataFrame:
     """``query_id``, ``stage``, ``product_id``, ``label_id``, ``gain``, ``rank`` from one score column per stage.
 
     Order: score rounded to nine digits, descending, then product_id; a null score ranks last.

@@ -147,9 +147,9 @@ def latency_percentiles(spark: SparkSession, sf: str) -> DataFrame:
 def bounded_group_prefix(spark: SparkSession, sf: str) -> DataFrame:
     """Whole query groups, in query order, as long as their rows fit a budget of half of all judged pairs."""
     sizes = B.collapse_judgments(table(spark, sf, "examples")).groupBy("query_id").agg(F.count(F.lit(1)).alias("pairs"))
-    from vitrine.operators.grouprank import running_before
+    from vitrine.operators.grouprank import running_over_all
 
-    placed = running_before(sizes.withColumn("all_rows", F.lit(0)), ["all_rows"], [F.col("query_id")], "pairs", "before")
+    placed = running_over_all(sizes, [F.col("query_id")], "pairs", "before")
     total = sizes.agg((F.sum("pairs") / 2).alias("budget"))
     return placed.crossJoin(F.broadcast(total)).filter("before + pairs <= budget").select("query_id", F.col("pairs").cast("bigint").alias("pairs"))  # one row
 
