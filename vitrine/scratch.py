@@ -50,6 +50,27 @@ def materialize(df: DataFrame, label: str = "table", partition_by: tuple[str, ..
     return spark.read.schema(df.schema).parquet(path)
 
 
+def publish(df: DataFrame, path: str) -> str:
+    """Write ``df`` as the next version below ``path``: first beside it, then in place by one rename."""
+    spark = df.sparkSession
+    draft = f"{path.rstrip('/')}/_draft-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(draft)
+    place = f"{path.rstrip('/')}/version-{len(versions(spark, path)):06d}"
+    src, fs = _fs(spark, draft)
+    dst, _ = _fs(spark, place)
+    if fs.exists(dst) or not fs.rename(src, dst):
+        raise FileExistsError(f"{place} appeared meanwhile")
+    return place
+
+
+def versions(spark: SparkSession, path: str) -> list[str]:
+    """The published versions below ``path``, oldest first."""
+    p, fs = _fs(spark, path)
+    if not fs.exists(p):
+        return []
+    return sorted(s.getPath().toString() for s in fs.listStatus(p) if s.getPath().getName().startswith("version-"))
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Drop a scratch path before the session ends."""
     p, fs = _fs(spark, path)
