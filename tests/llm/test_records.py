@@ -136,6 +136,61 @@ def test_state_keeps_splits_and_quarantines_merges(spark):
     assert [(r.new_split, r.status) for r in merge.collect()] == [("quarantine", "quarantined")]
 
 
+SPLIT_ROWS = "id long, k string, t string, now string"
+
+
+def test_three_runs_on_a_persisted_state(spark, tmp_path):
+    """Quarantine lasts, components without a record stay, sizes count over all runs, chains merge across runs."""
+    path = f"file://{tmp_path}/state"
+    assert splits.load_state(spark, path) is None
+
+    def run(rows):
+        out, state = splits.assign_splits(frame(spark, rows, SPLIT_ROWS), "id", ["k", "t"], "now", {"train": 0.5, "test": 0.5}, splits.load_state(spark, path))
+        got = {r.id: (r.new_split, r.status) for r in out.collect()}
+        splits.save_state(state, path)
+        return got
+
+    one = run([(1, "a", "x", "train"), (2, "a", "y", "test"), (3, "b", None, "train"), (15, "b", None, "train"), (4, "c", None, None), (5, None, None, None)])
+    assert one[1] == one[2] == ("quarantine", "quarantined") and one[3] == ("train", "kept") and one[4] == one[5] == ("test", "filled")
+    two = run([(6, "a", None, None), (7, "new", "x", None), (8, "d", None, None)])
+    assert two[6] == two[7] == ("quarantine", "quarantined") and two[8][1] == "filled"
+    three = run([(9, "new", "z", None), (10, "b", None, None), (11, "c", "w", "train"), (12, "b", "q", None), (13, "d", "b2", None), (14, "e", "b2", None)])
+    assert three[9] == ("quarantine", "quarantined") and three[10] == three[12] == ("train", "kept")
+    assert three[11] == ("quarantine", "quarantined")  # its component was filled with test before
+    assert three[13] == three[14] == (two[8][0], "kept")
+    state = splits.load_state(spark, path)
+    rows = {r.key: r for r in state.collect()}
+    assert set(rows) == {"_k0:a", "_k1:x", "_k1:y", "_k0:b", "_k0:c", "_self:5", "_k0:new", "_k0:d", "_k1:z", "_k1:w", "_k1:q", "_k1:b2", "_k0:e"} and state.count() == 13
+    assert rows["_k1:z"].component == rows["_k1:y"].component and rows["_k1:z"].size == 5 and sorted(rows["_k1:z"].declared) == ["test", "train"]
+    assert rows["_k0:b"].size == 4 and rows["_self:5"].size == 1
+    again = splits.placed(frame(spark, [(2, "a", "y", "test"), (14, "e", None, None), (99, "unknown", None, None)], SPLIT_ROWS), "id", ["k", "t"], "now", state)
+    assert {r.id: r.new_split for r in again.collect()} == {2: "quarantine", 14: two[8][0], 99: None}
+    assert run([]) == {} and splits.load_state(spark, path).count() == 13
+
+
+def test_shares_over_all_runs(spark):
+    state, rng, given = None, random.Random(5), Counter()
+    for n in range(3):
+        rows = [(1000 * n + i, f"k{n}-{i // rng.randint(1, 3)}", None, "train" if n == 0 and i < 60 else None) for i in range(200)]
+        out, state = splits.assign_splits(frame(spark, rows, SPLIT_ROWS), "id", ["k", "t"], "now", {"train": 0.6, "validation": 0.1, "test": 0.3}, state)
+        given.update(r.new_split for r in out.collect())
+    assert sum(given.values()) == 600 and given["quarantine"] == 0
+    for s, share in (("train", 0.6), ("validation", 0.1), ("test", 0.3)):
+        assert given[s] / 600 == pytest.approx(share, abs=0.01)
+
+
+def test_runs_in_parts_group_like_one_run(spark):
+    rng = random.Random(12)
+    rows = [(i, rng.choice([None, f"k{rng.randint(0, 40)}"]), rng.choice([None, f"t{rng.randint(0, 40)}"]), rng.choice([None, "train", "test"])) for i in range(90)]
+    whole, _ = splits.assign_splits(frame(spark, rows, SPLIT_ROWS), "id", ["k", "t"], "now")
+    want = {r.id: (r.component, len(r.declared) > 1) for r in whole.collect()}
+    state = None
+    for part in (rows[:40], rows[40:60], rows[60:]):
+        _, state = splits.assign_splits(frame(spark, part, SPLIT_ROWS), "id", ["k", "t"], "now", state=state)
+    got = {r.id: (r.component, len(r.declared) > 1) for r in splits.placed(frame(spark, rows, SPLIT_ROWS), "id", ["k", "t"], "now", state).collect()}
+    assert got == want
+
+
 def test_splits_of_nothing(spark):
     out, state = splits.assign_splits(frame(spark, [], "id long, k string, now string"), "id", ["k"], "now")
     assert out.count() == 0 and state.count() == 0
@@ -247,6 +302,11 @@ def test_constant_scores_and_empty_tables(spark):
     rows = [("g", "y", 1, 1.0, 2.0), ("g", "x", 1, 1.0, 2.0)]
     got = fused.fused_ranking(frame(spark, rows, "g string, p string, at long, a double, b double"), ["g"], "p", "at", plain)
     assert [(r.p, r.fused_rank) for r in got.orderBy("fused_rank").collect()] == [("x", 1), ("y", 2)]
+    against = [("g", f"p{i}", 1, float(i), float(-i), float(i * i)) for i in range(9)]
+    three = [fused.Score("a"), fused.Score("b"), fused.Score("c")]
+    with pytest.warns(UserWarning, match="b"):
+        got = fused.fused_ranking(frame(spark, against, "g string, p string, at long, a double, b double, c double"), ["g"], "p", "at", three)
+    assert [r.p for r in got.orderBy("fused_rank").collect()] == [f"p{i}" for i in range(8, -1, -1)]
     assert fused.fused_ranking(frame(spark, [], "g string, p string, at long, a double, b double"), ["g"], "p", "at", plain).count() == 0
 
 

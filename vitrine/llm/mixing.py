@@ -46,7 +46,7 @@ def mix_sources(
     total_tokens: int | None = None,
     seed: int = 17,
     tokenizer: str = TOKENIZER,
-    limit: int = DEFAULT_LIMIT,
+    limit: int | None = DEFAULT_LIMIT,
 ) -> tuple[DataFrame, DataFrame]:
     """(selection, report) for ``targets`` (``source``, ``target_share``, ``max_repeats``).
 

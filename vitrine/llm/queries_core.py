@@ -94,19 +94,33 @@ WHERE NOT (field_name = 'brand' AND val IN (SELECT brand_name FROM canonical_bra
 }
 
 
-def _p3_assignment(spark: SparkSession, sf: str) -> DataFrame:
+def _p3_records(spark: SparkSession, sf: str) -> DataFrame:
     from vitrine.functions.text import normalize_query_udf
-    from vitrine.llm.splits import assign_splits
     from vitrine.operators.skewjoin import heavy_light_join
     from vitrine.scratch import materialize
 
     texts = _read(spark, sf, "query_records").select("query_id", "locale", "query", F.col("normalized_query_sha256").alias("record_sha"))
     # each spelling is normalized once, however many records have it
     spelled = texts.filter("query IS NOT NULL").groupBy("query").agg(F.count(F.lit(1)).alias("spelled")).withColumn("text", normalize_query_udf("query"))
-    records = _read(spark, sf, "query_assignments").select("query_id", "project_split", F.col("normalized_query_sha256").alias("sha"))
+    records = _read(spark, sf, "query_assignments").select("query_id", "official_split", "project_split", F.col("normalized_query_sha256").alias("sha"))
     records = heavy_light_join(records.join(texts, "query_id", "left"), materialize(spelled, "spelled"), ["query"], "spelled")
-    records = records.withColumn("text_key", F.concat_ws("\u0000", "locale", "text")).withColumn("text_key", F.when(F.col("text").isNotNull() & F.col("locale").isNotNull(), F.col("text_key")))
-    return assign_splits(records.withColumn("sha", F.coalesce("sha", "record_sha")), "query_id", ["sha", "text_key"], "project_split")[0]
+    text_key = F.when(F.col("text").isNotNull() & F.col("locale").isNotNull(), F.concat_ws("\u0000", "locale", "text"))
+    records = records.select("query_id", "official_split", "project_split", F.coalesce("sha", "record_sha").alias("sha"), text_key.alias("text_key"))
+    return materialize(records, "keyed")
+
+
+def _p3_assignment(spark: SparkSession, sf: str) -> DataFrame:
+    """The standing of all records after two runs on the persisted state: the official training records come
+    first, all others after them."""
+    from vitrine.llm.splits import assign_splits, load_state, placed, save_state
+    from vitrine.scratch import new_path
+
+    records, path = _p3_records(spark, sf), new_path(spark, "splits")
+    first = F.coalesce(F.col("official_split") == "train", F.lit(False))
+    for part in (records.filter(first), records.filter(~first)):
+        _, state = assign_splits(part, "query_id", ["sha", "text_key"], "project_split", state=load_state(spark, path))
+        save_state(state, path)
+    return placed(records, "query_id", ["sha", "text_key"], "project_split", load_state(spark, path))
 
 
 def p3_splits(spark: SparkSession, sf: str) -> DataFrame:
@@ -116,13 +130,12 @@ def p3_splits(spark: SparkSession, sf: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     """Records whose split is train, validation or test in a group that holds more than one of these."""
-    return _p3_assignment(spark, sf).filter("status = 'quarantined' AND old_split IS NOT NULL").select("query_id")
+    return _p3_assignment(spark, sf).filter("size(declared) > 1 AND old_split IS NOT NULL").select("query_id")
 
 
 def p3_shares(spark: SparkSession, sf: str) -> DataFrame:
-    """Records and share of each new split."""
-    done = _p3_assignment(spark, sf).groupBy("new_split", "status").agg(F.count(F.lit(1)).alias("records"))
-    return done
+    """Records of each new split and status."""
+    return _p3_assignment(spark, sf).groupBy("new_split", "status").agg(F.count(F.lit(1)).alias("records"))
 
 
 QUERIES |= {"p3_found": p3_found, "p3_splits": p3_splits, "p3_shares": p3_shares}

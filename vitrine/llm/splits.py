@@ -1,36 +1,68 @@
 """Splits that keep related records together, from a persisted table of components.
 
-Records that share a key belong together, also through others. The state between runs is a table
-(key, component, split, status). A run
-
-1. reduces the records to their distinct key combinations, so a key held by a third of all rows is one row;
-2. finds the components of the keys by hooking to the smallest neighbour and pointer jumping, starting from
-   the components of the state, and writes a table each round (``spark.checkpoint.dir``);
-3. lets a component with one earlier split keep it, quarantines one whose parts had different splits, and
-   fills the deficits of the target proportions with the new ones, in an order fixed by a hash.
+Records that share a key belong together, also through others. What is known after a run is a state table with
+a row per key: ``key``, ``component``, ``split``, ``status``, ``size`` (records of the component so far) and
+``declared`` (the splits that its records came with). A run
+
+1. reduces the new records to their distinct key combinations, so a key held by a third of all rows is one row;
+2. replaces every known key by its component and finds what the new records tie together by hooking to the
+   smallest neighbour and pointer jumping, a written table each round (``spark.checkpoint.dir``): the work
+   follows the new records, the state is only joined;
+3. lets a component with one split keep it, quarantines one whose parts have different splits or of which a part
+   was in quarantine, and fills the deficits of the target proportions, counted over all runs, with the rest;
+4. gives the new state: components that were not touched stay as they are.
+
+:func:`save_state` and :func:`load_state` keep states under a path; a state appears by one rename.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from vitrine.operators.grouprank import running_before
+from vitrine.operators.grouprank import running_over_all
 from vitrine.operators.skewjoin import heavy_light_join
-from vitrine.scratch import materialize
+from vitrine.scratch import materialize, publish, versions
 
 #: Proportions of records when the caller gives none.
 TARGETS = {"train": 0.7, "validation": 0.1, "test": 0.2}
+#: What a state holds.
+STATE = T.StructType(
+    [
+        T.StructField("key", T.StringType()),
+        T.StructField("component", T.StringType()),
+        T.StructField("split", T.StringType()),
+        T.StructField("status", T.StringType()),
+        T.StructField("size", T.LongType()),
+        T.StructField("declared", T.ArrayType(T.StringType())),
+    ]
+)
+QUARANTINE = "quarantine"
 
 
-def _pairs_of_keys(records: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(combo, key) rows: each distinct combination of keys and the keys in it, tagged by column."""
-    combos = records.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    combos = combos.withColumn("_combo", F.sha2(F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}), 256))
-    tagged = F.array(*[F.when(F.col(k).isNotNull(), F.concat(F.lit(f"{k}:"), F.col(k))) for k in keys])
-    return combos.withColumn("_keys", F.array_compact(tagged))
+def save_state(state: DataFrame, path: str) -> str:
+    """Write ``state`` as the next version below ``path``; readers see it only when it is complete."""
+    return publish(state.select(*STATE.names), path)
+
+
+def load_state(spark: SparkSession, path: str) -> DataFrame | None:
+    """The last version below ``path``, or None if there is none."""
+    found = versions(spark, path)
+    return spark.read.schema(STATE).parquet(found[-1]) if found else None
+
+
+def _combinations(records: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Distinct combinations of keys: ``_combo`` (their hash), ``_keys`` tagged by column, ``_rows`` and the
+    splits that their records came with."""
+    tagged = F.array_compact(F.array(*[F.when(F.col(k).isNotNull(), F.concat(F.lit(f"{k}:"), F.col(k).cast("string"))) for k in keys]))
+    return records.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), F.collect_set("_split").alias("_declared")).select(_combo(keys), tagged.alias("_keys"), "_rows", "_declared")
+
+
+def _combo(keys: Sequence[str]):
+    return F.sha2(F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}), 256).alias("_combo")
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -65,23 +97,34 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     return parent.select("node", F.col("parent").alias("component"))
 
 
-def group_records(records: DataFrame, keys: Sequence[str], state: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(combos, key components). ``state`` gives earlier (key, component) rows, whose components stay together.
-
-    ``combos`` has one row per distinct combination of ``keys`` with ``_combo``, ``_rows`` and ``component``.
-    A combination without any key is a component of its own rows: its component is null here.
-    """
-    combos = materialize(_pairs_of_keys(records, keys), "combos")
-    links = combos.filter(F.size("_keys") > 0).select(F.col("_keys")[0].alias("u"), F.explode("_keys").alias("v"))
-    if state is not None:
-        first = state.groupBy("component").agg(F.min("key").alias("u"))
-        links = links.union(state.join(first, "component").select("u", F.col("key").alias("v")))
-    links = materialize(links.distinct(), "links")
+def _tied(combos: DataFrame, state: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(combinations with ``component``, new keys with ``component``, touched components of the state (``_was``)
+    with their component ``_now``). A node is a key, or the component that the state has for it."""
+    pairs = combos.select("_combo", F.explode("_keys").alias("key"))
+    if state is None:
+        known = pairs.select("key").distinct().withColumn("_old", F.lit(None).cast("string"))
+    else:
+        known = pairs.select("key").distinct().join(state.select("key", F.col("component").alias("_old")), "key", "left")
+    known = materialize(known.withColumn("node", F.coalesce("_old", "key")), "known")
+    # hot keys are one row of a combination each, so these joins meet no more rows than there are combinations
+    nodes = materialize(pairs.join(known, "key").select("_combo", "node"), "nodes")
+    first = nodes.groupBy("_combo").agg(F.min("node").alias("u"))
+    links = first.join(nodes, "_combo").select("u", F.col("node").alias("v"))
     found = components(links, "u", "v")
-    alone = links.select(F.col("u").alias("node")).union(links.select("v")).distinct().join(found, "node", "left_anti")
-    nodes = materialize(found.unionByName(alone.withColumn("component", F.col("node"))), "components")
-    combos = combos.withColumn("_first", F.col("_keys")[0]).join(nodes.withColumnRenamed("node", "_first"), "_first", "left").drop("_first")
-    return materialize(combos, "grouped"), nodes.withColumnRenamed("node", "key")
+    known = materialize(known.join(found, "node", "left").select("key", "_old", "node", F.coalesce("component", "node").alias("component")), "labelled")
+    of_node = known.select(F.col("node").alias("u"), "component").distinct()
+    combos = materialize(combos.join(first, "_combo").join(of_node, "u").drop("u", "_keys"), "grouped")
+    new_keys = known.filter("_old IS NULL").select("key", "component")
+    touched = None if state is None else known.filter("_old IS NOT NULL").select(F.col("_old").alias("_was"), F.col("component").alias("_now")).distinct()
+    return combos, new_keys, touched
+
+
+def _sizes(state: DataFrame | None, names: Sequence[str]) -> dict[str, int]:
+    """Records of each split so far, from one row per component."""
+    if state is None:
+        return {}
+    of = state.filter(F.col("split").isin(*names)).groupBy("component", "split").agg(F.max("size").alias("size"))
+    return {r["split"]: int(r["n"]) for r in of.groupBy("split").agg(F.sum("size").alias("n")).collect()}
 
 
 def assign_splits(
@@ -89,56 +132,98 @@ def assign_splits(
 ) -> tuple[DataFrame, DataFrame]:
     """(assignment, new state).
 
-    ``assignment`` has ``record_id``, ``component``, ``old_split``, ``new_split`` and ``status``: kept, filled
-    or quarantined. ``split`` is the split a record has now; only the names in ``targets`` count, others and
-    null are no split. ``state`` is the component table of the run before, or None.
+    ``assignment`` has ``record_id``, ``component``, ``old_split``, ``new_split``, ``status`` (kept, filled or
+    quarantined) and ``declared`` of the component, for the given records. ``split`` is the split a record has
+    now; only the names in ``targets`` count, others and null are no split. ``state`` is the state after the run
+    before, or None; :func:`placed` gives the standing of all records of any run.
 
-    Null keys link nothing; a record with no key is a component of its own. Repeated record ids give repeated
-    rows. Empty input gives empty tables. Columns besides the named ones do not matter.
+    A component in quarantine stays there. The state keeps components of which this run has no record, and the
+    deficits count the records of all runs. Null keys link nothing; a record with no key is a component of its
+    own. Repeated record ids give repeated rows. Empty input gives empty tables and leaves the state as it is.
+    Columns besides the named ones do not matter.
     """
     names = list(targets)
-    slim = records.select(F.col(record_id).alias("_id"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.when(F.col(split).isin(names), F.col(split)).alias("_split"))
-    kcols = [f"_k{i}" for i in range(len(keys))]
-    # a record without keys gets its own id as key, in a separate key column
-    slim = slim.withColumn("_self", F.when(F.coalesce(*kcols).isNull(), F.col("_id").cast("string")))
-    slim = materialize(slim, "records")
-    combos, nodes = group_records(slim, [*kcols, "_self"], state)
-    tally = slim.groupBy(*kcols, "_self").agg(*[F.max((F.coalesce(F.col("_split"), F.lit("")) == s).cast("int")).alias(f"_has{i}") for i, s in enumerate(names)])
-    same = [F.col(f"t.{k}").eqNullSafe(F.col(f"c.{k}")) for k in [*kcols, "_self"]]
-    on = same[0]
-    for s in same[1:]:
-        on = on & s
-    tally = tally.alias("t").join(combos.alias("c"), on).select("c._combo", "c.component", "c._rows", *[f"t._has{i}" for i in range(len(names))])
-    comp = tally.groupBy("component").agg(F.sum("_rows").alias("size"), *[F.max(f"_has{i}").alias(f"_has{i}") for i in range(len(names))])
+    slim, kcols = _keyed(records, record_id, keys, split, names)
+    combos = materialize(_combinations(slim, kcols), "combos")
     if state is not None:
-        old = state.filter(F.col("split").isin(names)).join(nodes.withColumnRenamed("component", "_now"), "key").groupBy("_now")
-        old = old.agg(*[F.max((F.col("split") == s).cast("int")).alias(f"_old{i}") for i, s in enumerate(names)]).withColumnRenamed("_now", "component")
-        comp = comp.join(old, "component", "left")
-        for i in range(len(names)):
-            comp = comp.withColumn(f"_has{i}", F.greatest(f"_has{i}", F.coalesce(f"_old{i}", F.lit(0)))).drop(f"_old{i}")
-    kept = F.coalesce(*[F.when(F.col(f"_has{i}") == 1, F.lit(s)) for i, s in enumerate(names)])
-    count = sum((F.col(f"_has{i}") for i in range(1, len(names))), F.col("_has0"))
-    comp = comp.withColumn("_n", count).withColumn("status", F.when(F.col("_n") == 0, "filled").when(F.col("_n") == 1, "kept").otherwise("quarantined"))
-    comp = materialize(comp.withColumn("_kept", F.when(F.col("_n") == 1, kept).when(F.col("_n") > 1, F.lit("quarantine"))), "states")
-
-    have = {r["_kept"]: r["n"] for r in comp.filter("_n <= 1").groupBy("_kept").agg(F.sum("size").alias("n")).collect()}
-    total = sum(have.values())
+        state = materialize(state.select(*STATE.names), "state")
+    combos, new_keys, touched = _tied(combos, state)
+
+    parts = combos.select("component", F.col("_rows").alias("size"), F.col("_declared").alias("declared"), F.lit(None).cast("string").alias("split"))
+    before = _sizes(state, names)
+    if state is not None:
+        old = state.join(touched, F.col("component") == F.col("_was"))
+        old = old.groupBy("_was", "_now").agg(F.max("size").alias("size"), F.max("declared").alias("declared"), F.max("split").alias("split"))
+        old = materialize(old.select(F.col("_now").alias("component"), "size", "declared", "split"), "old")
+        for r in old.filter(F.col("split").isin(*names)).groupBy("split").agg(F.sum("size").alias("n")).collect():
+            before[r["split"]] -= int(r["n"])  # they are counted again with the new records
+        parts = parts.unionByName(old.select(parts.columns))
+    # a set of at most len(names) + 1 strings per component, made on the map side
+    comp = parts.groupBy("component").agg(
+        F.sum("size").alias("size"),
+        *[F.max(F.array_contains("declared", s)).alias(f"_d{i}") for i, s in enumerate(names)],
+        *[F.max(F.coalesce(F.array_contains("declared", s) | (F.col("split") == s), F.array_contains("declared", s))).alias(f"_h{i}") for i, s in enumerate(names)],
+        F.coalesce(F.max(F.col("split") == QUARANTINE), F.lit(False)).alias("_held"),
+    )
+    comp = comp.withColumn("declared", F.array_compact(F.array(*[F.when(F.col(f"_d{i}"), F.lit(s)) for i, s in enumerate(names)])))
+    has = F.array_compact(F.array(*[F.when(F.col(f"_h{i}"), F.lit(s)) for i, s in enumerate(names)]))
+    comp = comp.withColumn("_has", has).select("component", "size", "declared", "_has", "_held")
+    status = F.when(F.col("_held") | (F.size("_has") > 1), "quarantined").when(F.size("_has") == 1, "kept").otherwise("filled")
+    comp = comp.withColumn("status", status).withColumn("_kept", F.when(F.col("status") == "quarantined", QUARANTINE).otherwise(F.get("_has", F.lit(0))))
+    comp = materialize(comp.drop("_has", "_held"), "states")
+
+    have, fresh_records = dict(before), 0
+    for r in comp.filter("status <> 'quarantined'").groupBy("_kept").agg(F.sum("size").alias("n")).collect():  # a row per split
+        if r["_kept"] is None:
+            fresh_records = int(r["n"])
+        else:
+            have[r["_kept"]] = have.get(r["_kept"], 0) + int(r["n"])
+    total = sum(have.values()) + fresh_records
     lack = {s: max(0.0, targets[s] * total - have.get(s, 0)) for s in names}
-    scale = have.get(None, 0) / (sum(lack.values()) or 1)
-    fresh = comp.filter("_n = 0").withColumn("_all", F.lit(0))
+    scale = fresh_records / (sum(lack.values()) or 1)
     # large components first, then by hash: each goes where its middle falls in the row of deficits
-    fresh = running_before(fresh, ["_all"], [F.col("size").desc(), F.xxhash64("component"), F.col("component")], "size", "_before")
+    order = [F.col("size").desc(), F.xxhash64("component"), F.col("component")]
+    fresh = running_over_all(comp.filter("status = 'filled'").withColumn("_n", F.col("size")), order, "_n", "_before")
     middle, edge, pick = F.col("_before") + F.col("size") / 2, 0.0, None
     for s in names:
         edge += lack[s] * scale
         pick = F.when(middle <= edge, s) if pick is None else pick.when(middle <= edge, s)
-    fresh = fresh.select("component", "size", "status", pick.otherwise(max(lack, key=lack.get)).alias("split"))
-    settled = comp.filter("_n > 0").select("component", F.col("size").cast("double").alias("size"), "status", F.col("_kept").alias("split"))
-    done = materialize(settled.unionByName(fresh.select(settled.columns)), "assigned")
-
-    by_combo = tally.select("_combo", "component", "_rows").join(done, "component").select("_combo", "_rows", "component", "status", F.col("split").alias("new_split"))
-    coded = slim.withColumn("_combo", F.sha2(F.to_json(F.struct(*kcols, "_self"), {"ignoreNullFields": "false"}), 256))
-    records_out = heavy_light_join(coded, materialize(by_combo, "combos"), ["_combo"], "_rows")
-    out = records_out.select(F.col("_id").alias(record_id), "component", F.col("_split").alias("old_split"), "new_split", "status")
-    new_state = nodes.join(done, "component").select("key", "component", "split", "status")
-    return out, new_state
+    columns = ["component", "size", "declared", "status", "split"]
+    fresh = fresh.withColumn("split", pick.otherwise(max(lack, key=lack.get))).select(*columns)
+    done = comp.filter("status <> 'filled'").withColumn("split", F.col("_kept")).select(*columns)
+    done = materialize(done.unionByName(fresh), "assigned")
+
+    by_combo = materialize(combos.select("_combo", "component", "_rows").join(done, "component").select("_combo", "_rows", "component", "status", F.col("split").alias("new_split"), "declared"), "combos")
+    out = heavy_light_join(slim.withColumn("_combo", _combo(kcols)), by_combo, ["_combo"], "_rows")
+    out = out.select(F.col("_id").alias(record_id), "component", F.col("_split").alias("old_split"), "new_split", "status", "declared")
+
+    rows = new_keys
+    if state is not None:
+        relabelled = state.select("key", F.col("component").alias("_was")).join(touched, "_was").select("key", F.col("_now").alias("component"))
+        rows = rows.unionByName(relabelled)
+    new_state = rows.join(done, "component").select(*STATE.names)
+    if state is not None:
+        untouched = state.join(touched, F.col("component") == F.col("_was"), "left_anti").select(*STATE.names)
+        new_state = new_state.unionByName(untouched)
+    return out, materialize(new_state, "state")
+
+
+def _keyed(records: DataFrame, record_id: str, keys: Sequence[str], split: str, names: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    slim = records.select(F.col(record_id).alias("_id"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.when(F.col(split).isin(*names), F.col(split)).alias("_split"))
+    kcols = [f"_k{i}" for i in range(len(keys))]
+    # a record without keys gets its own id as key, in a separate key column
+    slim = slim.withColumn("_self", F.when(F.coalesce(*kcols).isNull(), F.col("_id").cast("string")))
+    return materialize(slim, "records"), [*kcols, "_self"]
+
+
+def placed(records: DataFrame, record_id: str, keys: Sequence[str], split: str, state: DataFrame, targets: Mapping[str, float] = TARGETS) -> DataFrame:
+    """The columns of an assignment for ``records`` of any earlier run, as ``state`` has them now.
+
+    A record whose keys the state lacks has null columns. Any one key of a record leads to its component.
+    """
+    slim, kcols = _keyed(records, record_id, keys, split, list(targets))
+    tagged = F.coalesce(*[F.when(F.col(k).isNotNull(), F.concat(F.lit(f"{k}:"), F.col(k).cast("string"))) for k in kcols])
+    slim = slim.withColumn("key", tagged)
+    counted = slim.groupBy("key").agg(F.count(F.lit(1)).alias("_rows"))
+    out = heavy_light_join(slim, materialize(counted.join(state, "key"), "standing"), ["key"], "_rows")
+    return out.select(F.col("_id").alias(record_id), "component", F.col("_split").alias("old_split"), F.col("split").alias("new_split"), "status", "declared")
