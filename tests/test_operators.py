@@ -102,7 +102,7 @@ def test_retrieval_with_unknown_items(spark):
     judged = frame(spark, [(1, "s", 2), (1, "e", 3)], "query_id long, product_id string, label_id int")
     got = {(r.query_id, r.threshold): r for r in metrics.retrieval(queries, ranked, judged, [4]).collect()}
     row = got[(1, "exact_or_substitute")]
-    assert (row.judged_recall, row.judged_mrr, row.known_judgment_coverage, row.unjudged_rate) == (1.0, 0.5, 1.0, 0.5)
+    assert (row.judged_recall, row.judged_mrr, row.known_judgment_coverage, row.unjudged_rate) == (1.0, 0.5, 0.5, 0.5)
     empty = got[(2, "exact")]
     assert (empty.judged_recall, empty.judged_mrr, empty.exact_hit, empty.unjudged_rate) == (0.0, 0.0, 0, 0.0)
 
@@ -185,7 +185,7 @@ def test_lambdamart_learns_and_repeats(spark):
 def test_bm25_ties_and_empty_texts(spark):
     docs = frame(spark, [("b", "red shoe"), ("a", "red shoe"), ("c", None), ("d", "")], "id string, text string")
     asked = frame(spark, [(1, "red"), (2, "nothing"), (3, None)], "q long, t string")
-    got = sparse.search(docs, asked, "id", "text", "q", "t", 5).orderBy("rank").collect()
+    got = sparse.search(sparse.build_index(docs, "id", "text"), asked, "id", "q", "t", 5).orderBy("rank").collect()
     assert [(r.q, r.id) for r in got] == [(1, "a"), (1, "b")] and got[0].score == pytest.approx(got[1].score)
 
 
@@ -248,38 +248,121 @@ def test_features_are_44_and_do_not_leak():
     assert len(names) == 44 and not any(found for _, found in feats.leakage_report(names))
 
 
-def test_intervals_of_all_replicates_against_brute_force(spark, monkeypatch):
+def poisson_weight(key, c):
     import hashlib
 
+    u = int(hashlib.sha256(key.encode()).hexdigest()[13 * c : 13 * c + 13], 16) / 16**13
+    return next((k for k, p in enumerate(metrics.POISSON) if u < p), len(metrics.POISSON))
+
+
+def test_intervals_against_brute_force(spark, monkeypatch):
     import numpy as np
 
     from vitrine.plans import evaluation, reporting
 
-    rows = [(q, s, 10, (q * k % 17) / 16) for q in range(1, 31) for s, k in (("bm25", 5), ("coverage", 7), ("rrf", 3))]
+    rows = [(q, s, 10, (q * k % 17) / 16) for q in range(1, 31) for s, k in (("bm25", 5), ("dense", 7), ("rrf", 3))]
     ndcg = frame(spark, rows, "query_id long, stage string, cutoff int, ndcg double")
     groups = frame(spark, [(q, f"g{q % 11:02}") for q in range(1, 31)], "query_id long, group_key string")
     for module in (evaluation, reporting):
         monkeypatch.setattr(module, "_ndcg", lambda *_: ndcg)
         monkeypatch.setattr(module, "_groups", lambda *_: groups)
 
-    def interval(stage, values):
-        sums = [[v for q, v in values.items() if q % 11 == g] for g in range(11)]
+    def interval(values):
         est = []
-        for r in range(1, 1001):
-            drawn = [sums[int(hashlib.sha256(f"{stage}|10|{r}|{j}".encode()).hexdigest()[:15], 16) % 11] for j in range(11)]
-            est.append(sum(map(sum, drawn)) / sum(map(len, drawn)))
+        for r in range(1000):
+            w = {g: poisson_weight(f"g{g:02}|{r // 4}", r % 4) for g in range(11)}
+            n = sum(w[q % 11] for q in values)
+            if n:
+                est.append(sum(w[q % 11] * v for q, v in values.items()) / n)
         return np.percentile(est, [2.5, 97.5])
 
-    by = {s: {q: v for q, t, _, v in rows if t == s} for s in ("bm25", "coverage", "rrf")}
-    got = {r.stage: r for r in evaluation.grouped_bootstrap_ci_1000(spark, "").collect()}
+    by = {s: {q: v for q, t, _, v in rows if t == s} for s in ("bm25", "dense", "rrf")}
+    got = {r.stage: r for r in evaluation.grouped_bootstrap_ci(spark, "").collect()}
     assert set(got) == set(by)
     for s, values in by.items():
-        assert [got[s].lower, got[s].upper] == pytest.approx(interval(s, values), abs=2e-6)
+        assert [got[s].lower, got[s].upper] == pytest.approx(interval(values), abs=2e-6)
     want = {}
-    for s in ("coverage", "rrf"):
+    for s in ("dense", "rrf"):
         delta = {q: v - by["bm25"][q] for q, v in by[s].items()}
         if sum(delta.values()) <= 0:
             want[s] = "no_mean_gain"
-        elif interval(s, delta)[0] <= 0:
+        elif interval(delta)[0] <= 0:
             want[s] = "interval_reaches_zero"
-    assert {r.stage: r.finding for r in reporting.negative_findings_1000(spark, "").collect()} == want
+    assert {r.stage: r.finding for r in reporting.negative_findings(spark, "").collect()} == want
+
+
+def test_poisson_intervals_are_near_those_of_drawing_groups(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    rows = [(f"g{g}", "s", float(rng.normal(0.5, 0.2))) for g in range(150) for _ in range(int(rng.integers(1, 4)))]
+    got = metrics.bootstrap(frame(spark, rows, "g string, s string, v double"), ["s"], "g", "v", 1000).collect()[0]
+    sums = [(sum(v for h, _, v in rows if h == f"g{g}"), sum(h == f"g{g}" for h, *_ in rows)) for g in range(150)]
+    est = []
+    for _ in range(4000):
+        drawn = [sums[i] for i in rng.integers(0, 150, 150)]
+        est.append(sum(x for x, _ in drawn) / sum(n for _, n in drawn))
+    assert [got.lower, got.upper] == pytest.approx(np.percentile(est, [2.5, 97.5]), abs=0.006) and got.groups == 150
+
+
+def test_quantiles_of_hot_and_small_groups(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    rows = [(g, None if i % 9 == 4 else float(rng.integers(0, 30))) for g, n in (("hot", 500), ("a", 3), (None, 4), ("b", 1)) for i in range(n)] + [("none", None)]
+    got = {r.g: (r.lo, r.hi) for r in metrics.quantiles(frame(spark, rows, "g string, v double"), ["g"], "v", {"lo": 0.31, "hi": 0.95}).collect()}
+    for g in ("hot", "a", None, "b"):
+        assert got[g] == pytest.approx(tuple(np.percentile([v for h, v in rows if h == g and v is not None], [31, 95])))
+    assert "none" not in got
+    assert {r.g: r.p95 for r in metrics.percentiles(frame(spark, rows, "g string, v double"), "g", "v").collect()}["none"] is None
+
+
+def test_protocols_are_kept_apart(spark):
+    queries = frame(spark, [(1,)], "query_id long")
+    judged = frame(spark, [(1, "e", 3, 1.0), (1, "s", 2, 0.1)], "query_id long, product_id string, label_id int, gain double")
+    lists = lambda *items: frame(spark, [(1, p, k) for k, p in enumerate(items, start=1)], "query_id long, product_id string, rank int")
+    got = metrics.evaluate(metrics.CLOSED_POOL, queries, lists("s", "e"), judged, [2]).filter("threshold = 'exact'").collect()[0]
+    assert (got.mrr, got.precision) == (0.5, 0.5) and 0 < got.ndcg < 1
+    for bad in (lists("s"), lists("s", "e", "x"), lists("s", "e", "e")):
+        with pytest.raises(metrics.ProtocolError, match="complete"):
+            metrics.evaluate(metrics.CLOSED_POOL, queries, bad, judged, [2])
+    open_ = {(r.threshold): r for r in metrics.evaluate(metrics.RETRIEVAL, queries, lists("x", "s", "e"), judged, [3]).collect()}
+    assert open_["exact"].known_judgment_coverage + open_["exact"].unjudged_rate == pytest.approx(1)
+    with pytest.raises(metrics.ProtocolError, match="gaps"):
+        metrics.evaluate(metrics.END_TO_END, queries, frame(spark, [(1, "x", 2)], "query_id long, product_id string, rank int"), judged, [3])
+    with pytest.raises(metrics.ProtocolError):
+        metrics.evaluate("open", queries, lists("s"), judged, [3])
+
+
+def test_contiguity(spark):
+    rows = [("ok", 1), ("ok", 2), ("gap", 1), ("gap", 3), ("twice", 1), ("twice", 1), ("null", 1), ("null", None), ("late", 2), ("late", 3)]
+    got = {r.g: r.contiguous for r in metrics.contiguity(frame(spark, rows, "g string, k int"), ["g"], "k").collect()}
+    assert got == {"ok": True, "gap": False, "twice": False, "null": False, "late": False}
+
+
+def test_longest_names_of_any_width(spark):
+    long = "grand old house of fine tools and lamps"
+    queries = frame(spark, [(1, f"the {long} desk lamp"), (2, "house of desk")], "query_id long, query string")
+    products = frame(spark, [(long, "red"), ("house", None)], "normalized_brand string, normalized_color string")
+    assert {r.query_id: r.brand for r in understand.parse(queries, "query_id", "query", products).collect()} == {1: long, 2: "house"}
+
+
+def test_query_hash_is_that_of_json(spark):
+    import hashlib
+    import json
+
+    queries = frame(spark, [(1, 'a "12-inch" \\ lamp')], "query_id long, query string")
+    products = frame(spark, [("acme", "red")], "normalized_brand string, normalized_color string")
+    state = understand.parser_state(products)
+    parsed = understand.parse_tokens(queries, "query_id", "query")
+    document = {"normalized_text": parsed.first().normalized, "parser_state_sha256": state.first().state, "parser_version": understand.PARSER_VERSION}
+    want = hashlib.sha256(json.dumps(document, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
+    assert understand.query_hash(parsed, "query_id", state).first().query_sha256 == want
+    other = understand.parser_state(frame(spark, [("acmes", "red")], "normalized_brand string, normalized_color string"))
+    assert other.first().state != state.first().state
+
+
+def test_broken_cohorts_are_told(spark):
+    rows = [(1, "a", "train", True, True), (2, "a", "test", True, False), (3, "b", "quarantine", False, True), (3, "c", None, False, False)]
+    got = {r.check_id: r.failures for r in __import__("vitrine.operators.foundation", fromlist=["x"]).cohort_invariants(frame(spark, rows, "query_id long, normalized_query_sha256 string, project_split string, in_development boolean, in_portfolio boolean")).collect()}
+    assert got == {"development_nested_in_portfolio": 1, "quarantine_excluded": 1, "split_present": 1, "unique_query_ids": 1, "group_split_disjointness": 1}

@@ -19,8 +19,3 @@ def hash_bucket(key: Column | str, buckets: int = 10_000) -> Column:
     """The first 64 bits of a hex key modulo ``buckets``."""
     key = F.col(key) if isinstance(key, str) else key
     return (F.conv(F.substring(key, 1, 16), 16, 10).cast("decimal(20,0)") % F.lit(buckets)).cast("int")
-
-
-def hash_draw(key: Column, size: Column) -> Column:
-    """A draw from 0 .. size - 1 that is fixed by ``key``."""
-    return F.conv(F.substring(F.sha2(key, 256), 1, 15), 16, 10).cast("bigint") % size

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vitrine.functions.clean import attribute, clean
+from vitrine.functions.clean import FIELD_LIMITS, attribute, clean
 from vitrine.functions.hashing import hash_bucket, hash_key
 from vitrine.operators.grouprank import row_number, running_over_all
 from vitrine.operators.validate import strict_map
@@ -92,13 +92,13 @@ def catalog_membership(catalog: DataFrame, catalog_id: str = "compact") -> DataF
 
 def clean_products(products: DataFrame) -> DataFrame:
     """Cleaned fields, normalised brand and colour, missing flags (of the raw fields) and ``has_usable_text``."""
-    fields = ["title", "brand", "color", "bullets", "description"]
+    fields = list(FIELD_LIMITS)
     out = products.select(
         "locale",
         "product_id",
-        *[clean(f).alias(f"clean_{f}") for f in fields],
-        attribute("brand").alias("normalized_brand"),
-        attribute("color").alias("normalized_color"),
+        *[clean(f, n).alias(f"clean_{f}") for f, n in FIELD_LIMITS.items()],
+        attribute("brand", FIELD_LIMITS["brand"]).alias("normalized_brand"),
+        attribute("color", FIELD_LIMITS["color"]).alias("normalized_color"),
         *[F.col(f).isNull().alias(f"{f}_missing") for f in fields],
     )
     usable = F.lit(False)
@@ -142,7 +142,34 @@ def resource_estimate(documents: DataFrame, products: DataFrame, reserve_mb: int
     return out.withColumn("proceed", F.col("projected_bytes") <= limit_mb * mb)
 
 
+#: Keys are dealt by the first hex digits of their hash; each part is hashed in order, then the parts in order.
+DIGEST_DIGITS = 3
+
+
 def content_digest(df: DataFrame, group: str, key: str) -> DataFrame:
-    """A digest of the set of keys of each group that combines on the map side, whatever the group's size."""
-    part = F.conv(F.substring(F.sha2(F.col(key).cast("string"), 256), 1, 12), 16, 10).cast("decimal(20,0)")
-    return df.groupBy(group).agg(F.count(F.lit(1)).alias("keys"), F.sum(part).cast("decimal(38,0)").alias("_s")).select(group, "keys", F.col("_s").cast("string").alias("digest"))
+    """SHA-256 over the ordered keys of each group, as a hash of hashes: the keys of a part (those whose hash starts
+    with the same DIGEST_DIGITS digits) in the order of their hashes, then the parts in order.
+
+    Every bit of every key counts, also repeats. A part has 1/4096 of a group's keys, so no task holds a group.
+    """
+    hashed = df.select(group, F.sha2(F.col(key).cast("string"), 256).alias("_h")).withColumn("_p", F.substring("_h", 1, DIGEST_DIGITS))
+    parts = hashed.groupBy(group, "_p").agg(F.count(F.lit(1)).alias("_n"), F.sha2(F.array_join(F.array_sort(F.collect_list("_h")), ""), 256).alias("_d"))
+    whole = parts.groupBy(group).agg(F.sum("_n").alias("keys"), F.array_sort(F.collect_list(F.struct("_p", "_d"))).alias("_all"))
+    return whole.select(group, "keys", F.sha2(F.array_join(F.transform("_all", lambda x: x["_d"]), ""), 256).alias("digest"))
+
+
+def cohort_invariants(assignments: DataFrame) -> DataFrame:
+    """(check_id, failures) of what cohorts must hold: one assignment per query, development inside portfolio, no
+    group in several splits (quarantine apart), nothing quarantined in a cohort, no split missing."""
+    flag = lambda c: F.coalesce(F.sum(F.coalesce(c, F.lit(False)).cast("int")), F.lit(0)).cast("bigint")
+    held = F.col("project_split") == "quarantine"
+    row = assignments.agg(
+        flag(F.col("in_development") & ~F.coalesce("in_portfolio", F.lit(False))).alias("a"),
+        flag(held & (F.coalesce("in_development", F.lit(False)) | F.coalesce("in_portfolio", F.lit(False)))).alias("b"),
+        flag(F.col("project_split").isNull()).alias("c"),
+    )
+    out = row.selectExpr("stack(3, 'development_nested_in_portfolio', a, 'quarantine_excluded', b, 'split_present', c) AS (check_id, failures)")
+    once = assignments.groupBy("query_id").count().agg(flag(F.col("count") > 1).alias("failures")).select(F.lit("unique_query_ids").alias("check_id"), "failures")
+    groups = assignments.filter("normalized_query_sha256 IS NOT NULL AND project_split <> 'quarantine'").groupBy("normalized_query_sha256").agg(F.countDistinct("project_split").alias("n"))
+    apart = groups.agg(flag(F.col("n") > 1).alias("failures")).select(F.lit("group_split_disjointness").alias("check_id"), "failures")
+    return out.unionByName(once).unionByName(apart).withColumn("passed", F.col("failures") == 0)

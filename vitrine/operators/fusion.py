@@ -60,7 +60,7 @@ def rank_fraction(df: DataFrame, group: list[str], score: str, item: str, out: s
 
 
 def _best_first(score: str, item: str) -> list[Column]:
-    return [F.round(F.coalesce(score, F.lit(float("-inf"))), 9).desc(), F.col(item)]
+    return [(F.round(F.coalesce(score, F.lit(float("-inf"))), 9) + 0.0).desc(), F.col(item)]  # no negative zero
 
 
 def closed_rrf(df: DataFrame, group: str, item: str, scores: list[str], constant: int = CONSTANT, limit: int | None = DEFAULT_LIMIT) -> DataFrame:
@@ -77,3 +77,20 @@ def provenance(df: DataFrame, ranks: dict[str, str]) -> DataFrame:
     least = F.least(*[F.col(ranks[s]) for s in names])
     best = F.coalesce(*[F.when(F.col(ranks[s]) == least, F.lit(s)) for s in names])
     return df.withColumns({"found_by": F.array_join(found, ","), "degraded": F.array_join(lost, ","), "best_source": best})
+
+
+def degradation(queries: DataFrame, found: DataFrame, ranks: dict[str, str], query_id: str, text: str) -> DataFrame:
+    """``query_id``, ``degraded_sources``, ``reasons``, ``served`` for every query.
+
+    A source is degraded for a query if it returned no item for it: the reason is ``<source>_query_failed`` if
+    the query has no text to ask with, else ``<source>_unavailable``. A query is served if one source answered.
+    """
+    names = sorted(ranks)
+    counts = found.groupBy(query_id).agg(*[F.count(ranks[s]).alias(f"_n_{s}") for s in names])
+    rows = queries.select(query_id, text).join(counts, query_id, "left")
+    none = {s: F.coalesce(F.col(f"_n_{s}"), F.lit(0)) == 0 for s in names}
+    why = F.when(F.coalesce(F.trim(text), F.lit("")) == "", F.lit("query_failed")).otherwise(F.lit("unavailable"))
+    lost = F.array_compact(F.array(*[F.when(none[s], F.lit(s)) for s in names]))
+    reasons = F.array_compact(F.array(*[F.when(none[s], F.concat(F.lit(f"{s}_"), why)) for s in names]))
+    served = ~reduce(lambda x, y: x & y, [none[s] for s in names])
+    return rows.select(query_id, F.array_join(lost, ",").alias("degraded_sources"), F.array_join(reasons, ",").alias("reasons"), served.alias("served"))

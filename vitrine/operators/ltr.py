@@ -45,7 +45,7 @@ def lambda_gradients(scored: DataFrame, truncation: int = TRUNCATION) -> DataFra
     join meets that many rows per item, never all pairs of a query.
     """
     scored = scored.select("query_id", "product_id", "gain", "score")
-    ranked = row_number(scored, ["query_id"], [F.round("score", 9).desc(), F.col("product_id")], "r")
+    ranked = row_number(scored, ["query_id"], [(F.round("score", 9) + 0.0).desc(), F.col("product_id")], "r")
     ideal = row_number(scored, ["query_id"], [F.col("gain").desc(), F.col("product_id")], "_i")
     best = ideal.select("query_id", (F.col("gain") / F.log2(F.col("_i") + 1.0)).alias("d")).groupBy("query_id").agg(F.sum("d").alias("idcg")).filter("idcg > 0")
     head = ranked.filter(F.col("r") <= truncation).select("query_id", F.col("gain").alias("g2"), F.col("score").alias("s2"), F.col("r").alias("r2"), F.col("product_id").alias("p2"))

@@ -7,13 +7,14 @@ Only the first rows of a ranking up to the largest cutoff are ever windowed; eve
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vitrine.functions.hashing import hash_draw
-from vitrine.operators.grouprank import DEFAULT_LIMIT, row_number
+from vitrine.operators.grouprank import DEFAULT_LIMIT, row_number, running_before
+from vitrine.scratch import materialize
 
 #: Labels that count as relevant.
 THRESHOLDS = {"exact": (3,), "exact_or_substitute": (3, 2)}
@@ -28,7 +29,7 @@ def ranked_pool(pool: DataFrame, stages: Sequence[str], limit: int | None = DEFA
     """
     pairs = ", ".join(f"'{s}', {s}" for s in stages)
     long = pool.selectExpr("query_id", "product_id", "label_id", "gain", f"stack({len(stages)}, {pairs}) AS (stage, score)")
-    order = [F.round(F.coalesce("score", F.lit(float("-inf"))), 9).desc(), F.col("product_id")]
+    order = [(F.round(F.coalesce("score", F.lit(float("-inf"))), 9) + 0.0).desc(), F.col("product_id")]  # no negative zero
     return row_number(long, ["query_id", "stage"], order, "rank", limit)
 
 
@@ -101,10 +102,11 @@ def closed_pool(ranked: DataFrame, pool: DataFrame, cutoffs: Sequence[int]) -> D
 def retrieval(queries: DataFrame, ranked: DataFrame, judgments: DataFrame, cutoffs: Sequence[int]) -> DataFrame:
     """Metrics of lists whose items may be unjudged; a query without a list keeps zeros.
 
-    ``ranked`` has query_id, product_id, rank; ``judgments`` query_id, product_id, label_id.
+    Of the items returned, a share is known (``known_judgment_coverage``) and the rest is not (``unjudged_rate``):
+    the two sum to 1 for every list that is not empty. ``ranked`` has query_id, product_id, rank; ``judgments`` query_id, product_id, label_id.
     """
     head = ranked.filter(F.col("rank") <= max(cutoffs)).join(judgments, ["query_id", "product_id"], "left")
-    relevant = judgments.groupBy("query_id").agg(F.count(F.lit(1)).alias("judged"), *[F.sum(F.col("label_id").isin(*v).cast("int")).alias(f"all_{t}") for t, v in THRESHOLDS.items()])
+    relevant = judgments.groupBy("query_id").agg(*[F.sum(F.col("label_id").isin(*v).cast("int")).alias(f"all_{t}") for t, v in THRESHOLDS.items()])
     aggs = []
     for k in cutoffs:
         top = F.col("rank") <= k
@@ -124,44 +126,145 @@ def retrieval(queries: DataFrame, ranked: DataFrame, judgments: DataFrame, cutof
                     F.when(zero(f"all_{t}") > 0, zero(f"hits_{t}_{k}") / F.col(f"all_{t}")).otherwise(0.0).alias("judged_recall"),
                     F.coalesce(1.0 / F.col(f"first_{t}_{k}"), F.lit(0.0)).alias("judged_mrr"),
                     (zero(f"hits_exact_{k}") > 0).cast("int").alias("exact_hit"),
-                    F.when(zero("judged") > 0, zero(f"known_{k}") / F.col("judged")).otherwise(0.0).alias("known_judgment_coverage"),
+                    F.when(zero(f"n_{k}") > 0, F.col(f"known_{k}") / F.col(f"n_{k}")).otherwise(0.0).alias("known_judgment_coverage"),
                     F.when(zero(f"n_{k}") > 0, (F.col(f"n_{k}") - F.col(f"known_{k}")) / F.col(f"n_{k}")).otherwise(0.0).alias("unjudged_rate"),
                 )
             )
     return wide.select("query_id", F.explode(F.array(*rows)).alias("m")).select("query_id", "m.*")
 
 
-def slices(metrics: DataFrame, base: Sequence[str], dimensions: Sequence[str], value: str) -> DataFrame:
-    """Mean, exact median and count of ``value`` for everything and for each dimension, in one grouping-sets plan."""
-    view = metrics.select(*base, *dimensions, value)
-    sets = ", ".join(f"({', '.join([*base, *extra])})" for extra in ([], *[[d] for d in dimensions]))
-    spark = metrics.sparkSession
-    picked = ", ".join(f"CASE WHEN grouping({d}) = 0 THEN '{d}' END" for d in dimensions)
-    values = ", ".join(f"CASE WHEN grouping({d}) = 0 THEN coalesce(CAST({d} AS STRING), 'unknown') END" for d in dimensions)
-    return spark.sql(
-        f"SELECT {', '.join(base)}, coalesce({picked}, 'all') AS slice_name, coalesce({values}, 'all') AS slice_value, avg({value}) AS mean, percentile({value}, 0.5) AS median, count(*) AS queries "
-        f"FROM {{view}} GROUP BY GROUPING SETS ({sets})",
-        view=view,
+#: What may be measured how.
+CLOSED_POOL, RETRIEVAL, END_TO_END = "closed_pool_v1", "retrieval_catalog_v1", "end_to_end_diagnostic_v1"
+
+
+class ProtocolError(ValueError):
+    """A list was to be measured under a protocol that does not fit it."""
+
+
+def pool_fit(ranked: DataFrame, judgments: DataFrame) -> DataFrame:
+    """Per query of either side: ``returned``, ``judged``, ``unjudged`` items returned, judged items ``missing`` from the
+    list, ``repeated`` items, and ``closed``: the list is exactly the judged pool, so closed-pool metrics hold."""
+    own = ranked.groupBy("query_id", "product_id").agg(F.count(F.lit(1)).alias("_times"))
+    both = own.join(judgments.select("query_id", "product_id", F.lit(1).alias("_known")).distinct(), ["query_id", "product_id"], "full")
+    count = lambda c: F.sum(c.cast("int"))
+    out = both.groupBy("query_id").agg(
+        F.coalesce(F.sum("_times"), F.lit(0)).alias("returned"),
+        F.count("_known").alias("judged"),
+        count(F.col("_times").isNotNull() & F.col("_known").isNull()).alias("unjudged"),
+        count(F.col("_times").isNull()).alias("missing"),
+        F.coalesce(F.sum(F.col("_times") - 1), F.lit(0)).alias("repeated"),
+    )
+    return out.withColumn("closed", F.expr("unjudged = 0 AND missing = 0 AND repeated = 0"))
+
+
+def evaluate(protocol: str, queries: DataFrame, ranked: DataFrame, judgments: DataFrame, cutoffs: Sequence[int]) -> DataFrame:
+    """The metrics of ``protocol`` and no others: closed-pool metrics need lists that are exactly the judged pools,
+    retrieval metrics are for lists over a catalogue.
+
+    ``ranked`` has query_id, product_id, rank; ``judgments`` query_id, product_id, label_id, gain. A list that does
+    not fit its protocol is a :class:`ProtocolError`, found by one aggregate before anything is measured.
+    """
+    if not cutoffs or any(k < 1 for k in cutoffs):
+        raise ProtocolError("cutoffs are positive")
+    if protocol == CLOSED_POOL:
+        if not pool_fit(ranked, judgments).filter("NOT closed").isEmpty():
+            raise ProtocolError("closed-pool metrics need complete judged pools")
+        joined = ranked.join(judgments, ["query_id", "product_id"]).withColumn("stage", F.lit("list"))
+        scores = ndcg(joined, judgments, cutoffs).select("query_id", "cutoff", "ndcg")
+        return closed_pool(joined, judgments, cutoffs).join(scores, ["query_id", "cutoff"]).drop("stage")
+    if protocol in (RETRIEVAL, END_TO_END):
+        if not contiguity(ranked, ["query_id"], "rank").filter("NOT contiguous").isEmpty():
+            raise ProtocolError("ranks are 1 to n without gaps or repeats")
+        return retrieval(queries, ranked, judgments, cutoffs)
+    raise ProtocolError(f"no such protocol: {protocol}")
+
+
+def contiguity(ranked: DataFrame, groups: Sequence[str], rank: str) -> DataFrame:
+    """Per group ``row_count``, ``null_ranks``, ``distinct_ranks``, ``highest`` and ``contiguous``: the ranks are 1 to n.
+
+    Two group-bys, each combining on the map side; no group meets in one task.
+    """
+    per = ranked.groupBy(*groups, rank).agg(F.count(F.lit(1)).alias("_n"))
+    out = per.groupBy(*groups).agg(
+        F.sum("_n").alias("row_count"),
+        F.coalesce(F.sum(F.when(F.col(rank).isNull(), F.col("_n"))), F.lit(0)).alias("null_ranks"),
+        F.count(rank).alias("distinct_ranks"),
+        F.min(rank).alias("_low"),
+        F.max(rank).alias("highest"),
     )
+    ok = F.expr("null_ranks = 0 AND _low = 1 AND highest = row_count AND distinct_ranks = row_count")
+    return out.withColumn("contiguous", F.coalesce(ok, F.lit(False))).drop("_low")
+
+
+def quantiles(df: DataFrame, groups: Sequence[str], value: str, shares: Mapping[str, float]) -> DataFrame:
+    """``groups`` and a column per share: exact quantiles with linear interpolation, nulls left out.
+
+    The rows next to each wanted place are found by their row numbers, so a group of any size is cut over range
+    partitions instead of held in one task.
+    """
+    known = df.select(*groups, F.col(value).cast("double").alias("_v")).filter("_v IS NOT NULL")
+    # equal values of a group are one row, so the order is total
+    counts = known.groupBy(*groups, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    placed = running_before(counts.withColumn("_w", F.col("_c")), groups, [F.col("_v")], "_w", "_before")
+    sizes = known.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
+    on = reduce(lambda x, y: x & y, [F.col(f"p.{g}").eqNullSafe(F.col(f"s.{g}")) for g in groups])
+    met = placed.alias("p").join(sizes.alias("s"), on).select(*[F.col(f"p.{g}") for g in groups], "_v", "_c", "_before", "_n")
+    aggs = []
+    for name, share in shares.items():
+        at = F.lit(share) * (F.col("_n") - 1)
+        holds = lambda k: (F.col("_before") <= k) & (k < F.col("_before") + F.col("_c"))
+        low, high = F.max(F.when(holds(F.floor(at)), F.col("_v"))), F.max(F.when(holds(F.ceil(at)), F.col("_v")))
+        part = F.max(at - F.floor(at))
+        aggs.append((low + (high - low) * part).alias(name))
+    return met.groupBy(*groups).agg(*aggs)
+
+
+def slices(metrics: DataFrame, base: Sequence[str], dimensions: Sequence[str], value: str) -> DataFrame:
+    """Mean, exact median and count of ``value`` for everything and for each value of each dimension (null is 'unknown')."""
+    cells = [F.struct(F.lit("all").alias("slice_name"), F.lit("all").alias("slice_value"))]
+    cells += [F.struct(F.lit(d).alias("slice_name"), F.coalesce(F.col(d).cast("string"), F.lit("unknown")).alias("slice_value")) for d in dimensions]
+    long = materialize(metrics.select(*base, F.col(value).alias("_value"), F.explode(F.array(*cells)).alias("c")).select(*base, "c.*", "_value"), "slices")
+    keys = [*base, "slice_name", "slice_value"]
+    means = long.groupBy(*keys).agg(F.avg("_value").alias("mean"), F.count(F.lit(1)).alias("queries"))
+    return means.join(quantiles(long, keys, "_value", {"median": 0.5}), keys).select(*keys, "mean", "median", "queries")
+
+
+#: The distribution function of a Poisson variable with mean 1 at 0, 1, 2, ...
+POISSON = tuple(sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(12))
+#: Replicates whose weights come from one hash: each takes this many of its 64 hex digits.
+_DIGITS, _PER_HASH = 13, 4
+
+
+def poisson_sql(u: str) -> str:
+    """The Poisson weight of a uniform draw, the same for Spark and the oracle."""
+    return "CASE " + " ".join(f"WHEN {u} < {p!r} THEN {k}" for k, p in enumerate(POISSON)) + f" ELSE {len(POISSON)} END"
 
 
 def bootstrap(values: DataFrame, series: Sequence[str], group: str, value: str, replicates: int) -> DataFrame:
     """``series`` columns, ``mean``, ``lower``, ``upper``, ``groups``: percentile intervals over resampled groups.
 
-    Queries are first summed per group. Draw j of replicate r of a series with G groups takes the group number
-    ``hash(series, r, j) mod G``, so any engine gets the same draws. Groups are numbered by their key.
+    Queries are first summed per group. In replicate r a group counts as often as a Poisson variable with mean 1
+    that is fixed by ``sha256(group | block)``, the same in every series: the Poisson form of drawing groups with
+    replacement. No draw is joined: each row makes its weights, and sums combine on the map side, so the shuffle
+    holds a row per series and block of replicates. A replicate that draws no group gives no estimate.
     """
     by_group = values.groupBy(*series, group).agg(F.sum(value).alias("_sum"), F.count(F.lit(1)).alias("_n"))
-    numbered = row_number(by_group, list(series), [F.col(group)], "_no").withColumn("_no", F.col("_no") - 1)
-    sizes = numbered.groupBy(*series).agg(F.count(F.lit(1)).alias("groups"), (F.sum("_sum") / F.sum("_n")).alias("mean"))
-    draws = sizes.select(*series, "groups", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("_r"))
-    draws = draws.select(*series, "_r", "groups", F.explode(F.sequence(F.lit(0), (F.col("groups") - 1).cast("int"))).alias("_j"))
-    key = F.concat_ws("|", *[F.col(s).cast("string") for s in series], F.col("_r").cast("string"), F.col("_j").cast("string"))
-    draws = draws.withColumn("_no", hash_draw(key, F.col("groups")))
-    # the planner takes the draws for as few as the series and would send them all to the driver
-    drawn = draws.join(numbered.hint("merge"), [*series, "_no"]).groupBy(*series, "_r").agg((F.sum("_sum") / F.sum("_n")).alias("_est"))
-    ends = drawn.groupBy(*series).agg(F.percentile("_est", F.lit(0.025)).alias("lower"), F.percentile("_est", F.lit(0.975)).alias("upper"))
-    return sizes.join(ends, list(series)).select(*series, "mean", "lower", "upper", "groups")
+    by_group = materialize(by_group, "groups")
+    means = by_group.groupBy(*series).agg((F.sum("_sum") / F.sum("_n")).alias("mean"), F.count(F.lit(1)).alias("groups"))
+    blocks = -(-replicates // _PER_HASH)
+    rows = by_group.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    rows = rows.withColumn("_h", F.sha2(F.concat_ws("|", F.col(group).cast("string"), F.col("_b").cast("string")), 256))
+    sums = []
+    for c in range(_PER_HASH):
+        draw = f"(CAST(conv(substring(_h, {1 + c * _DIGITS}, {_DIGITS}), 16, 10) AS DOUBLE) / {16**_DIGITS}D)"
+        weight = F.expr(poisson_sql(draw))
+        sums += [F.sum(weight * F.col("_sum")).alias(f"_s{c}"), F.sum(weight * F.col("_n")).alias(f"_w{c}")]
+    drawn = rows.groupBy(*series, "_b").agg(*sums)
+    each = F.explode(F.array(*[F.struct((F.col("_b") * _PER_HASH + c).alias("r"), F.when(F.col(f"_w{c}") > 0, F.col(f"_s{c}") / F.col(f"_w{c}")).alias("e")) for c in range(_PER_HASH)]))
+    drawn = drawn.select(*series, each.alias("x")).select(*series, "x.*").filter(F.col("r") < replicates)
+    # ``replicates`` values of a series meet here, whatever the data
+    ends = drawn.groupBy(*series).agg(F.percentile("e", F.lit(0.025)).alias("lower"), F.percentile("e", F.lit(0.975)).alias("upper"))
+    return means.join(ends, list(series)).select(*series, "mean", "lower", "upper", "groups")
 
 
 def paired(metrics: DataFrame, keys: Sequence[str], series: Sequence[str], value: str, treatment: str, baseline: str, lower_is_better: bool = False) -> DataFrame:
@@ -183,10 +286,13 @@ def paired(metrics: DataFrame, keys: Sequence[str], series: Sequence[str], value
 
 
 def largest_changes(metrics: DataFrame, keys: Sequence[str], series: Sequence[str], value: str, treatment: str, baseline: str, n: int = 20) -> DataFrame:
-    """The ``n`` queries of each series with the largest absolute difference between two stages."""
+    """The ``n`` queries of each series with the largest absolute difference between two stages, with both values and
+    the ``outcome``: win, loss or tie."""
     wide = metrics.filter(F.col("stage").isin(treatment, baseline)).groupBy(*keys, *series).agg(
-        (F.max(F.when(F.col("stage") == treatment, F.col(value))) - F.max(F.when(F.col("stage") == baseline, F.col(value)))).alias("delta")
+        F.max(F.when(F.col("stage") == treatment, F.col(value))).alias("treatment_value"), F.max(F.when(F.col("stage") == baseline, F.col(value))).alias("baseline_value")
     )
+    wide = wide.withColumn("delta", F.col("treatment_value") - F.col("baseline_value"))
+    wide = wide.withColumn("outcome", F.when(F.col("delta") > TOLERANCE, "win").when(F.col("delta") < -TOLERANCE, "loss").otherwise("tie"))
     order = Window.partitionBy(*series).orderBy(F.round(F.abs("delta"), 9).desc(), *[F.col(k) for k in keys])
     return wide.filter("delta IS NOT NULL").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= n)
 
@@ -212,6 +318,7 @@ def best_single(means: DataFrame, first: str, second: str, keys: Sequence[str])
 
 
 def percentiles(df: DataFrame, group: str, value: str) -> DataFrame:
-    """Exact p50, p95, p99 with linear interpolation, and the maximum."""
-    aggs = [F.percentile(value, F.lit(p)).alias(n) for p, n in ((0.5, "p50"), (0.95, "p95"), (0.99, "p99"))]
-    return df.groupBy(group).agg(*aggs, F.max(value).alias("maximum"), F.count(value).alias("measured"))
+    """Exact p50, p95, p99 with linear interpolation, the maximum and the number of measured values."""
+    known = df.groupBy(group).agg(F.max(value).alias("maximum"), F.count(value).alias("measured"))
+    found = quantiles(df, [group], value, {"p50": 0.5, "p95": 0.95, "p99": 0.99}).withColumnRenamed(group, "_g")
+    return known.join(found, F.col(group).eqNullSafe(F.col("_g")), "left").select(group, "p50", "p95", "p99", "maximum", "measured")

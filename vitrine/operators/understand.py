@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.functions.text import TOKEN, fold_sql, sql_literal
+from vitrine.operators.foundation import content_digest
+from vitrine.scratch import materialize
+from vitrine.sources.sinks import json_digest
+
+PARSER_VERSION = "v2"
 
 #: Unit spellings.
 UNITS = {
@@ -110,16 +117,30 @@ def dictionary(values: DataFrame, value: str, least_chars: int = 1) -> DataFrame
     return rows.groupBy("gram", "width").agg(F.min_by("value", F.struct((-F.char_length("value")).alias("n"), F.col("value").alias("v"))).alias("value"))
 
 
-def longest_match(parsed: DataFrame, query_id: str, entries: DataFrame, max_width: int, out: str) -> DataFrame:
-    """``query_id``, ``out``: the dictionary value with the most tokens, then the earliest start, in each query."""
+def entries(products: DataFrame) -> DataFrame:
+    """``kind`` (brand, color, alias), ``gram``, ``width``, ``value``: what the parser knows, fitted on the catalogue.
+
+    Brands have at least two characters; an alias counts if its canonical colour is in the catalogue.
+    """
+    of = {"brand": dictionary(products, "normalized_brand", 2), "color": dictionary(products, "normalized_color"), "alias": alias_entries(products, "normalized_color")}
+    parts = [d.select(F.lit(kind).alias("kind"), "gram", "width", "value") for kind, d in of.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def longest_matches(parsed: DataFrame, query_id: str, known: DataFrame, kinds: Sequence[str]) -> DataFrame:
+    """``query_id`` and a column per kind: the entry with the most tokens, then the earliest start, in each query.
+
+    Windows go up to the widest entry that there is (a query has at most MAX_TOKENS tokens). All kinds are found by
+    one join and one group-by; a query has at most width * MAX_TOKENS windows.
+    """
+    widest = min(known.agg(F.max("width")).first()[0] or 0, MAX_TOKENS)
     grams = F.expr(
-        f"flatten(transform(sequence(1, {max_width}), w -> CASE WHEN w > size(tokens) THEN array() ELSE transform(sequence(0, size(tokens) - w), s -> named_struct('gram', array_join(slice(tokens, s + 1, w), ' '), 'start', s)) END))"
+        f"flatten(transform(sequence(1, greatest(1, least({widest}, size(tokens)))), w -> CASE WHEN w > size(tokens) THEN array() ELSE transform(sequence(0, size(tokens) - w), s -> named_struct('gram', array_join(slice(tokens, s + 1, w), ' '), 'start', s)) END))"
     )
     exploded = parsed.select(query_id, F.explode(grams).alias("g")).select(query_id, "g.gram", "g.start")
-    hits = exploded.join(entries, "gram")
-    # at most max_width * MAX_TOKENS hits of a query meet here
-    order = Window.partitionBy(query_id).orderBy(F.col("width").desc(), "start")
-    return hits.withColumn("_r", F.row_number().over(order)).filter("_r = 1").select(query_id, F.col("value").alias(out))
+    hits = exploded.join(known, "gram")
+    best = lambda kind: F.min_by(F.when(F.col("kind") == kind, F.col("value")), F.when(F.col("kind") == kind, F.struct((-F.col("width")).alias("w"), F.col("start"))))
+    return hits.groupBy(query_id).agg(*[best(k).alias(k) for k in kinds])
 
 
 def alias_entries(colors: DataFrame, color: str) -> DataFrame:
@@ -129,14 +150,13 @@ def alias_entries(colors: DataFrame, color: str) -> DataFrame:
     return rows.join(colors.select(F.col(color).alias("value")).distinct(), "value", "left_semi").select("gram", "width", "value")
 
 
-def parse(queries: DataFrame, query_id: str, text: str, products: DataFrame, max_width: int = 4) -> DataFrame:
+def parse(queries: DataFrame, query_id: str, text: str, products: DataFrame) -> DataFrame:
     """The parts of each query plus ``brand``, ``color``, their confidences and ``color_source``; brands of at least
     two characters and colours come from ``products`` (normalized_brand, normalized_color)."""
-    parsed = parse_tokens(queries, query_id, text)
-    brands = longest_match(parsed, query_id, dictionary(products, "normalized_brand", 2), max_width, "brand")
-    colors = longest_match(parsed, query_id, dictionary(products, "normalized_color"), max_width, "_catalog")
-    alias = longest_match(parsed, query_id, alias_entries(products, "normalized_color"), max_width, "_alias")
-    out = parsed.join(brands, query_id, "left").join(colors, query_id, "left").join(alias, query_id, "left")
+    parsed = materialize(parse_tokens(queries, query_id, text), "parsed")
+    found = longest_matches(parsed, query_id, materialize(entries(products), "entries"), ("brand", "color", "alias"))
+    found = found.withColumnsRenamed({"color": "_catalog", "alias": "_alias"})
+    out = parsed.join(found, query_id, "left")
     source = F.when(F.col("_catalog").isNotNull(), "catalog").when(F.col("_alias").isNotNull(), "alias")
     confidence = F.when(F.col("_catalog").isNotNull(), 1.0).when(F.col("_alias").isNotNull(), 0.9).otherwise(0.0)
     return out.withColumns(
@@ -144,5 +164,22 @@ def parse(queries: DataFrame, query_id: str, text: str, products: DataFrame, max
     ).drop("_catalog", "_alias")
 
 
+def parser_state(products: DataFrame) -> DataFrame:
+    """One row, ``state``: a hash of everything the parser was fitted with: the digests of the catalogue's brands and
+    colours (see :func:`content_digest`), the alias lists and the version."""
+    names = products.select(F.lit("brands").alias("kind"), F.col("normalized_brand").alias("value")).filter(F.char_length("value") >= 2)
+    names = names.unionByName(products.select(F.lit("colors").alias("kind"), F.col("normalized_color").alias("value")).filter("value <> ''")).distinct()
+    digests = content_digest(names, "kind", "value").agg(*[F.max(F.when(F.col("kind") == k, F.col("digest"))).alias(k) for k in ("brands", "colors")])
+    fixed = {"color_aliases": json_digest(COLOR_ALIASES), "parser_version": PARSER_VERSION, "spelling_aliases": json_digest(SPELLING)}
+    document = F.struct("brands", F.lit(fixed["color_aliases"]).alias("color_aliases"), "colors", F.lit(PARSER_VERSION).alias("parser_version"), F.lit(fixed["spelling_aliases"]).alias("spelling_aliases"))
+    return digests.select(F.sha2(F.to_json(document), 256).alias("state"))
+
+
+def query_hash(parsed: DataFrame, query_id: str, state: DataFrame) -> DataFrame:
+    """``query_id``, ``query_sha256``: hash of the canonical JSON of the text, the parser's state and its version."""
+    document = F.struct(F.col("normalized").alias("normalized_text"), F.col("state").alias("parser_state_sha256"), F.lit(PARSER_VERSION).alias("parser_version"))
+    return parsed.crossJoin(F.broadcast(state)).select(query_id, F.sha2(F.to_json(document), 256).alias("query_sha256"))  # one row
+
+
 def joined(col: Column | str) -> Column:
     return F.array_join(col, " ")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vitrine.functions.clean import FIELD_LIMITS, clean_sql
 from vitrine.operators import foundation as B
 from vitrine.operators import validate as V
 from vitrine.plans.common import GAIN, JUDGED, LABEL, table
+from vitrine.plans.parsing import digest_sql
 
 COHORTS = {"development": 200, "portfolio": 400}
 DISTRACTORS = 500
@@ -39,6 +43,18 @@ QUERIES_SPEC = V.TableSpec(
 )
 
 
+PRODUCTS_SPEC = V.TableSpec(
+    "products",
+    {
+        **dict.fromkeys(("product_id", "locale", "title", "brand", "color", "bullets", "description", "normalized_brand", "normalized_color", "seller_id"), "string"),
+        **dict.fromkeys(("title_missing", "brand_missing", "color_missing", "bullets_missing", "description_missing"), "boolean"),
+        "updated_at": "timestamp",
+    },
+    ("product_id",),
+    ("product_id", "locale"),
+    {"locale": ("us", "es", "jp")},
+)
+
 def scan_project_filter(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "products").filter("locale = 'us' AND NOT brand_missing").select("product_id", "brand", "seller_id")
 
@@ -48,7 +64,16 @@ def raw_validation_report(spark: SparkSession, sf: str) -> DataFrame:
     variants = examples.groupBy("query_id").agg(F.countDistinct("query").alias("q"), F.countDistinct("split").alias("s"))
     steady = variants.agg(F.coalesce(F.sum(((F.col("q") > 1) | (F.col("s") > 1)).cast("int")), F.lit(0)).cast("bigint").alias("failures"))
     steady = steady.select(F.lit("examples").alias("role"), F.lit("query_consistency").alias("check_id"), "failures")
-    return V.validate(examples, EXAMPLES).unionByName(V.validate(queries, QUERIES_SPEC)).unionByName(steady)
+    products = table(spark, sf, "products")
+    # a row is usable if one of its texts is there; the flags must say which are missing
+    texts = ("title", "brand", "color", "bullets", "description")
+    wrong = reduce(lambda x, y: x | y, [F.col(c).isNull() != F.col(f"{c}_missing") for c in texts])
+    flags = products.agg(F.coalesce(F.sum(F.coalesce(wrong, F.lit(True)).cast("int")), F.lit(0)).cast("bigint").alias("failures"))
+    flags = flags.select(F.lit("products").alias("role"), F.lit("missing_flags").alias("check_id"), "failures")
+    unsourced = queries.agg(F.coalesce(F.sum(F.col("source").isNull().cast("int")), F.lit(0)).cast("bigint").alias("failures")).select(F.lit("sources").alias("role"), F.lit("not_null:source").alias("check_id"), "failures")
+    orphans = V.orphans(examples, products, ["product_id"]).agg(F.count(F.lit(1)).alias("failures")).select(F.lit("examples").alias("role"), F.lit("product_known").alias("check_id"), "failures")
+    parts = [V.validate(examples, EXAMPLES), V.validate(queries, QUERIES_SPEC), V.validate(products, PRODUCTS_SPEC), steady, flags, unsourced, orphans]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def pk_uniqueness(spark: SparkSession, sf: str) -> DataFrame:
@@ -134,6 +159,11 @@ def content_digest(spark: SparkSession, sf: str) -> DataFrame:
     return B.content_digest(table(spark, sf, "query_records"), "official_split", "query_id")
 
 
+def cohort_invariants(spark: SparkSession, sf: str) -> DataFrame:
+    """What the stored assignments hold and what they break."""
+    return B.cohort_invariants(table(spark, sf, "query_assignments"))
+
+
 def set_equality(spark: SparkSession, sf: str) -> DataFrame:
     return V.same_sets(table(spark, sf, "query_records"), table(spark, sf, "candidates"), ["query_id"])
 
@@ -159,23 +189,17 @@ assigned AS (SELECT query_id, k.group_key, judgment_count,
   official_split = 'train' AND m.group_key IS NOT NULL AS held, official_split
   FROM keyed k LEFT JOIN mixed m ON m.group_key = k.group_key),
 split AS (SELECT *, CASE WHEN official_split = 'test' THEN 'test' WHEN held THEN 'quarantine' WHEN bucket < 8500 THEN 'train' ELSE 'validation' END AS project_split FROM assigned),
-ranked AS (SELECT group_key, row_number() OVER (ORDER BY sha256('profile-v1' || chr(0) || '42' || chr(0) || group_key), group_key) AS r FROM (SELECT DISTINCT group_key FROM keyed)),
-cohorts AS (SELECT 'development' AS cohort, group_key FROM ranked WHERE r <= 200 UNION ALL SELECT 'portfolio', group_key FROM ranked WHERE r <= 400)"""
-
-
-def _clean(x: str, n: int = 4096) -> str:
-    inner = f"regexp_replace(coalesce({x}, ''), '<[^<>]*>', ' ', 'g')"
-    return f"rtrim(substr(trim(regexp_replace(regexp_replace({inner}, '\\p{{C}}', ' ', 'g'), '[\\s 　]+', ' ', 'g')), 1, {n}))"
+group_order AS (SELECT group_key, row_number() OVER (ORDER BY sha256('profile-v1' || chr(0) || '42' || chr(0) || group_key), group_key) AS r FROM (SELECT DISTINCT group_key FROM keyed)),
+cohorts AS (SELECT 'development' AS cohort, group_key FROM group_order WHERE r <= 200 UNION ALL SELECT 'portfolio', group_key FROM group_order WHERE r <= 400)"""
 
 
-_FIELDS = ("title", "brand", "color", "bullets", "description")
 _CLEANED = (
     "cleaned AS (SELECT locale, product_id, "
-    + ", ".join(f"{_clean(f)} AS clean_{f}" for f in _FIELDS)
+    + ", ".join(f"{clean_sql(f, n, False)} AS clean_{f}" for f, n in FIELD_LIMITS.items())
     + ", "
-    + ", ".join(f"{f} IS NULL AS {f}_missing" for f in _FIELDS)
+    + ", ".join(f"{f} IS NULL AS {f}_missing" for f in FIELD_LIMITS)
     + " FROM products), c2 AS (SELECT locale, product_id, clean_title, clean_brand, clean_color, clean_bullets, clean_description, nullif(lower(clean_brand), '') AS normalized_brand, nullif(lower(clean_color), '') AS normalized_color, title_missing, brand_missing, color_missing, bullets_missing, description_missing, "
-    + " OR ".join(f"clean_{f} <> ''" for f in _FIELDS)
+    + " OR ".join(f"clean_{f} <> ''" for f in FIELD_LIMITS)
     + " AS has_usable_text FROM cleaned), docs AS (SELECT locale, product_id, '[TITLE] ' || clean_title || ' [BRAND] ' || clean_brand || ' [COLOR] ' || clean_color || ' [BULLETS] ' || clean_bullets || ' [DESCRIPTION] ' || clean_description AS document FROM c2 WHERE has_usable_text)"
 )
 
@@ -188,12 +212,16 @@ def _checks() -> str:
         return f"SELECT '{t}', 'domain:{c}', count(*) FILTER (WHERE {c} IS NULL OR {c} NOT IN ({values})) FROM {t}"
 
     parts = []
-    for t, cols, key in (("examples", EXAMPLES.required, "example_id"), ("query_records", QUERIES_SPEC.required, "query_id")):
+    for t, cols, key in (("examples", EXAMPLES.required, "example_id"), ("query_records", QUERIES_SPEC.required, "query_id"), ("products", PRODUCTS_SPEC.required, "product_id")):
         parts += [f"SELECT '{t}' AS role, '{c}' AS check_id, CAST(0 AS BIGINT) AS failures" for c in ("columns_present", "columns_expected", "types", "not_empty")]
         parts += nulls(t, cols) + [f"SELECT '{t}', 'unique_key', count(*) - count(DISTINCT {key}) FROM {t}"]
     parts += [domain("examples", "product_locale", "'us','es','jp'"), domain("examples", "esci_label", "'E','S','C','I'"), domain("examples", "small_version", "0,1"), domain("examples", "split", "'train','test'")]
     parts += [domain("query_records", "official_split", "'train','test'"), domain("query_records", "locale", "'us','es','jp'")]
     parts.append("SELECT 'examples', 'query_consistency', count(*) FROM (SELECT query_id FROM examples GROUP BY query_id HAVING count(DISTINCT query) > 1 OR count(DISTINCT split) > 1)")
+    parts.append(domain("products", "locale", "'us','es','jp'"))
+    parts.append("SELECT 'products', 'missing_flags', count(*) FILTER (WHERE " + " OR ".join(f"({c} IS NULL) <> {c}_missing" for c in ("title", "brand", "color", "bullets", "description")) + ") FROM products")
+    parts.append("SELECT 'sources', 'not_null:source', count(*) - count(source) FROM query_records")
+    parts.append("SELECT 'examples', 'product_known', count(*) FROM examples WHERE product_id IS NULL OR product_id NOT IN (SELECT product_id FROM products)")
     return "\nUNION ALL ".join(parts)
 
 
@@ -220,6 +248,7 @@ QUERIES = {
         catalog_exclusions,
         resource_estimate,
         content_digest,
+        cohort_invariants,
         set_equality,
         query_context_join,
         key_union_distinct,
@@ -270,7 +299,14 @@ WITH {_CLEANED}, s AS (SELECT count(*) AS catalog_products, CAST(sum(strlen(docu
 d AS (SELECT CAST(sum(strlen(coalesce(title, '')) + strlen(coalesce(brand, '')) + strlen(coalesce(color, ''))) AS BIGINT) AS display_bytes FROM products),
 e AS (SELECT *, document_bytes * 3 // 2 AS sparse_bytes, catalog_products * 1536 AS dense_bytes, catalog_products * 256 AS id_bytes, CAST(536870912 AS BIGINT) AS reserve_bytes FROM s, d)
 SELECT *, sparse_bytes + dense_bytes + id_bytes + display_bytes + reserve_bytes AS projected_bytes, sparse_bytes + dense_bytes + id_bytes + display_bytes + reserve_bytes <= 5905580032 AS proceed FROM e""",
-    "content_digest": "SELECT official_split, count(*) AS keys, CAST(sum(('0x' || substr(sha256(CAST(query_id AS VARCHAR)), 1, 12))::BIGINT) AS VARCHAR) AS digest FROM query_records GROUP BY official_split",
+    "content_digest": f"WITH {digest_sql('query_records', 'official_split', 'query_id')} SELECT * FROM query_records_digest",
+    "cohort_invariants": """
+WITH c AS (SELECT 'development_nested_in_portfolio' AS check_id, count(*) FILTER (WHERE in_development AND NOT coalesce(in_portfolio, FALSE)) AS failures FROM query_assignments
+UNION ALL SELECT 'quarantine_excluded', count(*) FILTER (WHERE project_split = 'quarantine' AND (coalesce(in_development, FALSE) OR coalesce(in_portfolio, FALSE))) FROM query_assignments
+UNION ALL SELECT 'split_present', count(*) FILTER (WHERE project_split IS NULL) FROM query_assignments
+UNION ALL SELECT 'unique_query_ids', count(*) FROM (SELECT query_id FROM query_assignments GROUP BY query_id HAVING count(*) > 1)
+UNION ALL SELECT 'group_split_disjointness', count(*) FROM (SELECT normalized_query_sha256 FROM query_assignments WHERE normalized_query_sha256 IS NOT NULL AND project_split <> 'quarantine' GROUP BY 1 HAVING count(DISTINCT project_split) > 1))
+SELECT check_id, failures, failures = 0 AS passed FROM c""",
     "set_equality": """
 SELECT 'left_only' AS side, count(*) AS missing FROM (SELECT DISTINCT query_id FROM query_records EXCEPT SELECT query_id FROM candidates)
 UNION ALL SELECT 'right_only', count(*) FROM (SELECT DISTINCT query_id FROM candidates EXCEPT SELECT query_id FROM query_records)""",

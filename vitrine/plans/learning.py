@@ -26,7 +26,7 @@ def training_population_audit(spark: SparkSession, sf: str) -> DataFrame:
 
 def lambda_gradients(spark: SparkSession, sf: str) -> DataFrame:
     kept, _ = L.training_population(closed_matrix(spark, sf))
-    out = L.lambda_gradients(kept.select("query_id", "product_id", "gain", F.col("coverage").alias("score")))
+    out = L.lambda_gradients(kept.select("query_id", "product_id", "gain", F.col("dense").alias("score")))
     return out.select("query_id", "product_id", F.round("lambda", 6).alias("lambda"), F.round("hessian", 6).alias("hessian"))
 
 
@@ -95,20 +95,20 @@ longm AS (SELECT query_id, product_id, h, 'active' AS mode, lm AS k, 'ranker_una
   UNION ALL SELECT query_id, product_id, h, 'dense', -d, 'dense_unavailable', 'dense' FROM j UNION ALL SELECT query_id, product_id, h, 'hybrid', -h, 'fusion_unavailable', 'hybrid' FROM j
   UNION ALL SELECT query_id, product_id, h, 'pointwise', pw, 'ranker_unavailable', 'pointwise' FROM j UNION ALL SELECT query_id, product_id, h, 'lambdamart', lm, 'ranker_unavailable', 'lambdamart' FROM j),
 hs AS (SELECT *, count(k) OVER (PARTITION BY query_id, mode) > 0 AS has FROM longm),
-found AS (SELECT query_id, mode, product_id, CAST(row_number() OVER (PARTITION BY query_id, mode ORDER BY round(CASE WHEN has THEN k ELSE -h END, 9) DESC, h, product_id) AS INTEGER) AS rank,
+found AS MATERIALIZED (SELECT query_id, mode, product_id, CAST(row_number() OVER (PARTITION BY query_id, mode ORDER BY round(CASE WHEN has THEN k ELSE -h END, 9) DESC, h, product_id) AS INTEGER) AS rank,
   CASE WHEN has THEN st ELSE 'hybrid' END AS stage, CASE WHEN NOT has THEN reason END AS fallback FROM hs WHERE NOT has OR k IS NOT NULL QUALIFY rank <= 10)"""
 SQL = {
     "training_population_audit": f"""WITH {CLOSED}, a AS (SELECT query_id, count(*) AS n, count(DISTINCT label_id) AS l FROM pool GROUP BY query_id)
 SELECT CASE WHEN n < 2 THEN 'too_few_rows' WHEN l < 2 THEN 'single_label' ELSE 'kept' END AS outcome, count(*) AS queries, CAST(sum(n) AS BIGINT) AS pairs FROM a GROUP BY ALL""",
     "lambda_gradients": f"""WITH {CLOSED}, k AS (SELECT query_id FROM pool GROUP BY query_id HAVING count(*) >= 2 AND count(DISTINCT label_id) >= 2),
-rk AS (SELECT query_id, product_id, gain, coverage AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(coverage, 9) DESC, product_id) AS r, row_number() OVER (PARTITION BY query_id ORDER BY gain DESC, product_id) AS ri FROM pool SEMI JOIN k USING (query_id)),
+rk AS (SELECT query_id, product_id, gain, dense AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(dense, 9) DESC, product_id) AS r, row_number() OVER (PARTITION BY query_id ORDER BY gain DESC, product_id) AS ri FROM pool SEMI JOIN k USING (query_id)),
 ic AS (SELECT query_id, sum(gain / log2(ri + 1)) AS idcg FROM rk GROUP BY query_id HAVING sum(gain / log2(ri + 1)) > 0),
 pr AS (SELECT a.query_id, a.product_id, CASE WHEN a.gain > b.gain THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS sg, abs(a.gain - b.gain) * abs(1.0::DOUBLE / log2(a.r + 1) - 1.0::DOUBLE / log2(b.r + 1)) / idcg AS ch, a.score - b.score AS ds
   FROM rk a JOIN rk b ON a.query_id = b.query_id AND a.gain <> b.gain AND least(a.r, b.r) <= 30 JOIN ic ON ic.query_id = a.query_id),
 gr AS (SELECT query_id, product_id, sum(sg * ch / (1 + exp(sg * ds))) AS l, sum(ch / (1 + exp(sg * ds)) * (1 - 1 / (1 + exp(sg * ds)))) AS h FROM pr GROUP BY ALL)
 SELECT query_id, product_id, round(coalesce(l, 0), 6) AS lambda, round(coalesce(h, 0), 6) AS hessian FROM rk LEFT JOIN gr USING (query_id, product_id)""",
     "search_modes": f"WITH {_FOUND} SELECT query_id, mode, product_id, rank, stage, fallback FROM found",
-    "mode_rank_changes": f"WITH {_FOUND} SELECT f.query_id, f.mode, f.product_id, f.rank, b.rank - f.rank AS rank_change FROM found f LEFT JOIN found b ON b.mode = 'hybrid' AND b.query_id = f.query_id AND b.product_id = f.product_id",
+    "mode_rank_changes": f"WITH {_FOUND} , base AS (SELECT query_id, product_id, rank AS b FROM found WHERE mode = 'hybrid') SELECT f.query_id, f.mode, f.product_id, f.rank, b - f.rank AS rank_change FROM found f LEFT JOIN base USING (query_id, product_id)",
     "list_metrics": f"""WITH {_FOUND}, n AS (SELECT query_id, mode, normalized_brand AS b, count(*) AS n FROM found LEFT JOIN products USING (product_id) GROUP BY ALL), t AS (SELECT query_id, mode, sum(n) FILTER (WHERE b IS NOT NULL) AS t FROM n GROUP BY ALL)
 SELECT query_id, mode, round(coalesce(-sum((n / t) * log2(n / t)) FILTER (WHERE b IS NOT NULL), 0), 6) + 0.0 AS brand_entropy, round(coalesce(max(n) FILTER (WHERE b IS NOT NULL) / any_value(t), 0), 6) AS brand_concentration,
   count(b) AS distinct_brands, CAST(coalesce(sum(n) FILTER (WHERE b IS NULL), 0) AS BIGINT) AS missing_brands FROM n JOIN t USING (query_id, mode) GROUP BY query_id, mode""",

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitrine.functions.text import tokens_sql
-from vitrine.functions.vectors import encode
+from vitrine.functions.vectors import encode, vectors_sql
 from vitrine.operators import dense, fusion, sparse
 from vitrine.plans.common import table
+from vitrine.scratch import spread
+from vitrine.sources.derived import derived
 
 #: The searches ask with every fiftieth record, against all products or vectors.
 ASKED = "query_id % 50 = 0"
@@ -18,6 +20,20 @@ def _docs(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "products").select("product_id", F.concat_ws(" ", "title", "bullets").alias("text"))
 
 
+def index(spark: SparkSession, sf: str) -> sparse.Index:
+    """The BM25 index of the catalogue, built once."""
+    return sparse.open_index(spark, [f"{sf}/products.parquet"], lambda: _docs(spark, sf), "product_id", "text")
+
+
+def product_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """``product_id``, ``vector`` of the catalogue, encoded once."""
+    return derived(spark, "vectors", [f"{sf}/products.parquet"], lambda: spread(_docs(spark, sf)).select("product_id", encode("text").alias("vector")))
+
+
+def query_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return derived(spark, "asked-vectors", [f"{sf}/query_records.parquet"], lambda: spread(table(spark, sf, "query_records")).select("query_id", encode("query").alias("vector")))
+
+
 def _asked(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "query_records").filter(ASKED).select("query_id", F.col("query").alias("asked_text"))
 
@@ -28,28 +44,26 @@ def tokenize_terms(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def bm25_postings(spark: SparkSession, sf: str) -> DataFrame:
-    return sparse.postings(sparse.tokenized(_docs(spark, sf), "product_id", "text"), "product_id")
+    return index(spark, sf).postings
 
 
 def bm25_term_stats(spark: SparkSession, sf: str) -> DataFrame:
-    tokens = sparse.tokenized(_docs(spark, sf), "product_id", "text")
-    return sparse.term_stats(sparse.postings(tokens, "product_id"), sparse.corpus_stats(tokens)).withColumn("idf", F.round("idf", 6))
+    return index(spark, sf).terms.withColumn("idf", F.round("idf", 6))
 
 
 def bm25_search_topk(spark: SparkSession, sf: str) -> DataFrame:
-    found = sparse.search(_docs(spark, sf), _asked(spark, sf), "product_id", "text", "query_id", "asked_text", 150)
-    return found.withColumn("score", F.round("score", 6))
+    return sparse.search(index(spark, sf), _asked(spark, sf), "product_id", "query_id", "asked_text", 150).withColumn("score", F.round("score", 6))
 
 
 def bm25_pair_scores(spark: SparkSession, sf: str) -> DataFrame:
     pairs = table(spark, sf, "examples").select("query_id", "product_id")
     asked = table(spark, sf, "query_records").select("query_id", F.col("query").alias("asked_text"))
-    return sparse.score_pairs(_docs(spark, sf), asked, pairs, "product_id", "text", "query_id", "asked_text").withColumn("score", F.round("score", 6))
+    return sparse.score_pairs(index(spark, sf), asked, pairs, "product_id", "query_id", "asked_text").withColumn("score", F.round("score", 6))
 
 
 def specificity(spark: SparkSession, sf: str) -> DataFrame:
     asked = table(spark, sf, "query_records").select("query_id", F.col("query").alias("asked_text"))
-    return sparse.lexical_specificity(_docs(spark, sf), asked, "product_id", "text", "query_id", "asked_text")
+    return sparse.lexical_specificity(index(spark, sf), asked, "query_id", "asked_text")
 
 
 def query_lexical_specificity(spark: SparkSession, sf: str) -> DataFrame:
@@ -104,13 +118,17 @@ def candidate_provenance(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
-    """BM25 and hash-encoded vector search over all products, fused."""
-    docs, asked = _docs(spark, sf), _asked(spark, sf)
-    lexical = sparse.search(docs, asked, "product_id", "text", "query_id", "asked_text", 150)
-    vectors = docs.withColumn("vector", encode("text"))
-    asked_vectors = asked.withColumn("vector", encode("asked_text"))
-    near = dense.knn(vectors, asked_vectors, "product_id", "vector", "query_id", "vector", 150)
-    return fusion.fuse({"sparse": lexical, "dense": near}, "query_id", "product_id")
+    """BM25 and vector search over all products, fused."""
+    asked = _asked(spark, sf)
+    lexical = sparse.search(index(spark, sf), asked, "product_id", "query_id", "asked_text", 150)
+    near = dense.knn(product_vectors(spark, sf), query_vectors(spark, sf).filter(ASKED), "product_id", "vector", "query_id", "vector", 150)
+    fused = fusion.fuse({"sparse": lexical, "dense": near}, "query_id", "product_id")
+    return fused.select("query_id", "product_id", "sparse_rank", "dense_rank", "source_count", F.round("rrf", 9).alias("rrf"), "rank")
+
+
+def degraded_queries(spark: SparkSession, sf: str) -> DataFrame:
+    """Per query, which source gave nothing or had no query to ask with, and why."""
+    return fusion.degradation(table(spark, sf, "query_records").select("query_id", "query"), table(spark, sf, "candidates"), {"sparse": "sparse_rank", "dense": "dense_rank"}, "query_id", "query")
 
 
 QUERIES = {
@@ -130,6 +148,7 @@ QUERIES = {
         rank_fractions,
         candidate_provenance,
         hybrid_search,
+        degraded_queries,
     )
 }
 
@@ -145,6 +164,9 @@ rated AS (SELECT term, df, ln(1 + (docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)
 asked AS (SELECT DISTINCT query_id, unnest({tokens_sql("query", False)}) AS term FROM query_records),
 scored AS (SELECT p.term, p.product_id, idf * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * doc_length / mean_length)) AS s
   FROM post p JOIN rated r ON r.term = p.term JOIN len l ON l.product_id = p.product_id, stats)"""
+DENSE = f"""
+{vectors_sql("product_id", "text", "docs", "pv")},
+{vectors_sql("query_id", "query", "query_records", "qv")}"""
 _MERGED = "merged AS (SELECT query_id, product_id, min(sparse_rank) AS sparse_rank, min(dense_rank) AS dense_rank, max(sparse_score)::DOUBLE AS sparse_score, max(dense_score)::DOUBLE AS dense_score FROM candidates GROUP BY ALL)"
 SQL = {
     "tokenize_terms": f"SELECT locale, term, count(*) AS occurrences FROM (SELECT locale, unnest({tokens_sql('title', False)}) AS term FROM products) GROUP BY locale, term",
@@ -176,6 +198,20 @@ SELECT *, round(1.0::DOUBLE / (60 + sparse_score_rank) + 1.0::DOUBLE / (60 + den
 WITH p AS (SELECT model_id, query_id, product_id, max(score) FILTER (WHERE CAST(score AS VARCHAR) <> 'nan') AS score FROM predictions GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY model_id, query_id ORDER BY round(coalesce(score, '-infinity'::DOUBLE), 9) DESC, product_id) AS r, count(*) OVER (PARTITION BY model_id, query_id) AS n FROM p)
 SELECT model_id, query_id, product_id, round(((r - 1)::DOUBLE / greatest(n - 1, 1))::FLOAT::DOUBLE, 6) AS rank_fraction FROM r""",
+    "hybrid_search": f"""WITH {BM25}, {DENSE}, total AS (SELECT query_id, product_id, sum(s) AS score FROM asked JOIN scored USING (term) WHERE query_id % 50 = 0 GROUP BY ALL),
+sp AS (SELECT query_id, product_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, product_id) AS r FROM total QUALIFY r <= 150),
+near AS (SELECT q.query_id, p.product_id, coalesce(sum(q.x * p.x), 0) AS score FROM (SELECT DISTINCT query_id FROM qv WHERE query_id % 50 = 0) i CROSS JOIN (SELECT DISTINCT product_id FROM pv) d
+  JOIN qv q ON q.query_id = i.query_id JOIN pv p ON p.product_id = d.product_id AND p.dim = q.dim GROUP BY ALL),
+full_ AS (SELECT i.query_id, d.product_id, round(coalesce(n.score, 0), 9) AS score FROM (SELECT DISTINCT query_id FROM qv WHERE query_id % 50 = 0) i CROSS JOIN (SELECT DISTINCT product_id FROM pv) d LEFT JOIN near n ON n.query_id = i.query_id AND n.product_id = d.product_id),
+de AS (SELECT query_id, product_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, product_id) AS r FROM full_ QUALIFY r <= 150),
+u AS (SELECT query_id, product_id, CAST(s.r AS INTEGER) AS sparse_rank, CAST(d.r AS INTEGER) AS dense_rank FROM sp s FULL JOIN de d USING (query_id, product_id)),
+f AS (SELECT *, coalesce(1.0::DOUBLE / (60 + sparse_rank), 0) + coalesce(1.0::DOUBLE / (60 + dense_rank), 0) AS rrf FROM u)
+SELECT query_id, product_id, sparse_rank, dense_rank, (sparse_rank IS NOT NULL)::INTEGER + (dense_rank IS NOT NULL)::INTEGER AS source_count, round(rrf, 9) AS rrf,
+  CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 9) DESC, least(sparse_rank, dense_rank), product_id) AS INTEGER) AS rank FROM f QUALIFY rank <= 200""",
+    "degraded_queries": """WITH c AS (SELECT query_id, count(sparse_rank) AS s, count(dense_rank) AS d FROM candidates GROUP BY query_id),
+q AS (SELECT r.query_id, coalesce(s, 0) AS s, coalesce(d, 0) AS d, CASE WHEN query IS NULL OR trim(query) = '' THEN 'query_failed' ELSE 'unavailable' END AS why FROM query_records r LEFT JOIN c USING (query_id))
+SELECT query_id, concat_ws(',', CASE WHEN d = 0 THEN 'dense' END, CASE WHEN s = 0 THEN 'sparse' END) AS degraded_sources,
+  concat_ws(',', CASE WHEN d = 0 THEN 'dense_' || why END, CASE WHEN s = 0 THEN 'sparse_' || why END) AS reasons, d > 0 OR s > 0 AS served FROM q""",
     "candidate_provenance": f"""WITH {_MERGED}, p AS (SELECT query_id,
   concat_ws(',', CASE WHEN dense_rank IS NOT NULL THEN 'dense' END, CASE WHEN sparse_rank IS NOT NULL THEN 'sparse' END) AS found_by,
   concat_ws(',', CASE WHEN dense_rank IS NULL THEN 'dense' END, CASE WHEN sparse_rank IS NULL THEN 'sparse' END) AS degraded,

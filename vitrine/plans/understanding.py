@@ -6,17 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitrine.functions.hashing import hash_key
-from vitrine.functions.text import TOKEN, fold_sql, tokens_sql
+from vitrine.functions.text import tokens_sql
 from vitrine.operators import features as X
 from vitrine.operators import foundation as B
 from vitrine.operators import fusion
 from vitrine.operators import understand as U
 from vitrine.operators import validate as V
 from vitrine.plans.common import JUDGED, table
-from vitrine.plans.evaluation import CLOSED, closed_matrix
+from vitrine.plans.evaluation import _FUSED, CLOSED, closed_matrix, closed_sql, pair_scores
 from vitrine.plans.foundation import _CLEANED
-from vitrine.plans.retrieval import specificity
+from vitrine.plans.parsing import ENTITIES, PARSED, digest_sql, parsed_queries
+from vitrine.plans.retrieval import rrf_hybrid, specificity
 from vitrine.scratch import materialize
+from vitrine.sources.derived import derived
 
 
 def _queries(spark: SparkSession, sf: str) -> DataFrame:
@@ -34,23 +36,18 @@ def stopword_reduction(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("query_id", F.array_join("reduced", " ").alias("reduced"), F.size("tokens").alias("tokens_before"), F.size("reduced").alias("tokens_after"))
 
 
-def _brands(spark: SparkSession, sf: str) -> DataFrame:
-    return U.dictionary(table(spark, sf, "products"), "normalized_brand", 2)
-
-
 def entity_longest_match(spark: SparkSession, sf: str) -> DataFrame:
-    return U.longest_match(U.parse_tokens(_queries(spark, sf), "query_id", "query"), "query_id", _brands(spark, sf), 4, "brand")
+    return parsed_queries(spark, sf).filter("brand IS NOT NULL").select("query_id", "brand")
 
 
 def color_alias(spark: SparkSession, sf: str) -> DataFrame:
-    out = U.parse(_queries(spark, sf), "query_id", "query", table(spark, sf, "products"))
-    return out.filter("color IS NOT NULL").select("query_id", "color", "color_source", "color_confidence")
+    return parsed_queries(spark, sf).filter("color IS NOT NULL").select("query_id", "color", "color_source", "color_confidence")
 
 
 def parsed_query_hash(spark: SparkSession, sf: str) -> DataFrame:
-    """Canonical hash of each parsed query."""
-    out = U.parse_tokens(_queries(spark, sf), "query_id", "query").filter("problem IS NULL")
-    return out.select("query_id", F.sha2(F.concat(F.lit('{"normalized_text":'), F.lit('"'), "normalized", F.lit('","parser_version":"v1"}')), 256).alias("query_sha256"))
+    """Canonical hash of each parsed query with the state of the parser."""
+    good = parsed_queries(spark, sf).filter("problem IS NULL")
+    return U.query_hash(good, "query_id", U.parser_state(table(spark, sf, "products")))
 
 
 def _train_products(spark: SparkSession, sf: str) -> DataFrame:
@@ -66,14 +63,14 @@ def category_codes_train_only(spark: SparkSession, sf: str) -> DataFrame:
     return X.with_code(coded, X.category_codes(fit, "normalized_color"), "normalized_color", "color_code").select("product_id", "brand_code", "color_code")
 
 
-def feature_matrix(spark: SparkSession, sf: str) -> DataFrame:
-    """query_id, product_id, label_id, gain and the 44 features of every judged pair of usable text."""
-    pool = closed_matrix(spark, sf)
-    for s, out in (("bm25", "bm25_fraction"), ("coverage", "dense_fraction"), ("rrf", "rrf_fraction")):
-        pool = fusion.rank_fraction(pool, ["query_id"], s, "product_id", out)
-    products = table(spark, sf, "products")
-    parsed = U.parse(_queries(spark, sf), "query_id", "query", products)
-    asked = parsed.select(
+def _view(spark: SparkSession, sf: str) -> DataFrame:
+    """Cleaned products with their token lists and category codes, built once."""
+    inputs = [f"{sf}/{t}.parquet" for t in ("products", "examples", "query_records")]
+    return derived(spark, "view", inputs, lambda: X.product_view(B.clean_products(table(spark, sf, "products"))).join(category_codes_train_only(spark, sf), "product_id").drop("locale"))
+
+
+def _asked(spark: SparkSession, sf: str) -> DataFrame:
+    parts = parsed_queries(spark, sf).select(
         "query_id",
         F.coalesce("normalized", F.lit("")).alias("q_text"),
         F.col("tokens").alias("q_tokens"),
@@ -83,74 +80,60 @@ def feature_matrix(spark: SparkSession, sf: str) -> DataFrame:
         F.col("color").alias("q_color"),
         F.col("color_confidence").alias("q_color_confidence"),
     )
-    codes = category_codes_train_only(spark, sf)
-    view = X.product_view(B.clean_products(products)).join(codes, "product_id").drop("locale")
-    rows = pool.withColumnRenamed("coverage", "dense").join(asked, "query_id").join(specificity(spark, sf), "query_id").join(view, "product_id")
-    return X.compute(rows, ["query_id", "product_id", "label_id", "gain"])
+    return parts.join(specificity(spark, sf), "query_id")
 
 
-def ltr_features(spark: SparkSession, sf: str) -> DataFrame:
-    out = feature_matrix(spark, sf).drop("label_id", "gain")
-    return out.select("query_id", "product_id", *[F.round(c, 5).alias(c) for c in out.columns[2:]])
+def _features(spark: SparkSession, sf: str, pool: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys`` and the 44 features of scored pairs of usable text."""
+    pool = fusion.rank_fractions(pool, ["query_id"], {"bm25": "bm25_fraction", "dense": "dense_fraction", "rrf": "rrf_fraction"}, "product_id")
+    return X.compute(pool.join(_asked(spark, sf), "query_id").join(_view(spark, sf), "product_id"), keys)
 
 
-def feature_distribution(spark: SparkSession, sf: str) -> DataFrame:
-    out = V.distribution(table(spark, sf, "candidates"), ["rrf_score", "sparse_score", "dense_score", "sparse_rank", "dense_rank", "best_source_rank", "source_count"])
-    return out.withColumns({c: F.round(c, 6) for c in ("mean", "std_pop", "minimum", "maximum")})
+def feature_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    """query_id, product_id, label_id, gain and the 44 features of every judged pair of usable text."""
+    return _features(spark, sf, closed_matrix(spark, sf), ["query_id", "product_id", "label_id", "gain"])
 
 
-def feature_row_hash(spark: SparkSession, sf: str) -> DataFrame:
-    """Parity hash of the integer features of every pair."""
-    out = feature_matrix(spark, sf)
-    names = ("query_token_count", "title_token_count", "brand_code", "color_code", "exact_phrase_match", "brand_match", "color_match", "model_token_match")
-    text = F.concat_ws(",", *[F.col(n).cast("bigint").cast("string") for n in names])
-    return out.select("query_id", "product_id", hash_key(text).alias("row_sha256"))
+def _shown(out: DataFrame, keys: list[str]) -> DataFrame:
+    return out.select(*keys, *[(F.round(c, 5) + 0.0).alias(c) for c in out.columns if c not in keys])
 
 
-QUERIES = {
-    f.__name__: f
-    for f in (query_parse_tokens, stopword_reduction, entity_longest_match, color_alias, parsed_query_hash, category_codes_train_only, ltr_features, feature_distribution, feature_row_hash)
-}
+def ltr_features(spark: SparkSession, sf: str) -> DataFrame:
+    return _shown(feature_matrix(spark, sf).drop("label_id", "gain"), ["query_id", "product_id"])
 
 
-def _list(values) -> str:
-    return "[" + ", ".join("'" + v + "'" for v in values) + "]"
+def candidate_features(spark: SparkSession, sf: str) -> DataFrame:
+    """The 44 features of every fused candidate, without labels, and its fused rank and score."""
+    fused = rrf_hybrid(spark, sf).select("query_id", "product_id", F.col("rank").alias("hybrid_rank"), F.col("rrf").alias("hybrid_rrf"))
+    keys = ["query_id", "product_id", "hybrid_rank", "hybrid_rrf"]
+    return _shown(_features(spark, sf, pair_scores(spark, sf, materialize(fused, "fused")), keys), keys)
 
 
-def _dict(values: dict) -> str:
-    return f"MAP({_list(values)}, {_list(values.values())})"
+def feature_distribution(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows, nulls, mean, deviation and range of each of the 44 features over all judged pairs."""
+    out = V.distribution(feature_matrix(spark, sf), list(X.feature_sql(X.Dialect())))
+    return out.withColumns({c: F.round(c, 4) for c in ("mean", "std_pop", "minimum", "maximum")})
+
+
+def feature_row_hash(spark: SparkSession, sf: str) -> DataFrame:
+    """Parity hash of all 44 features of every pair, in hundred-thousandths."""
+    out = feature_matrix(spark, sf)
+    text = F.concat_ws(",", *[F.round(F.round(n, 5) * 100_000).cast("bigint").cast("string") for n in X.feature_sql(X.Dialect())])
+    return out.select("query_id", "product_id", hash_key(text).alias("row_sha256"))
 
 
-_UNITS, _SPELL = _dict(U.UNITS), _dict(U.SPELLING)
-_MODEL = "regexp_matches(x, '(?i)^[a-z0-9]+([-_.][a-z0-9]+)*$') AND regexp_matches(x, '[a-z]') AND regexp_matches(x, '[0-9]')"
-_KEEP = _list(U.NEGATIONS + U.COMPATIBILITY + tuple(U.UNITS))
-PARSED = f"""
-pq0 AS (SELECT query_id, query, trim(regexp_replace({fold_sql("query", False)}, '\\s+', ' ', 'g')) AS normalized FROM query_records),
-pq1 AS (SELECT *, coalesce(list_transform(regexp_extract_all(normalized, '{TOKEN.replace(chr(39), chr(39) * 2)}'), lambda x: coalesce({_SPELL}[x], x)), []) AS tokens FROM pq0),
-pq2 AS (SELECT *, array_to_string(tokens, ' ') AS joined, list_sort(list_distinct(list_filter(tokens, lambda x: {_MODEL}))) AS models FROM pq1),
-pq AS (SELECT *,
-  list_filter(string_split_regex(joined, '[ ''-]'), lambda x: regexp_full_match(x, '\\d+')) AS plain_numbers,
-  list_sort(list_distinct(list_filter(list_transform(tokens, lambda x: {_UNITS}[x]), lambda x: x IS NOT NULL))) AS units,
-  list_sort(list_distinct(list_filter(list_transform(range(1, len(tokens)), lambda i: CASE WHEN regexp_full_match(tokens[i], '\\d+(\\.\\d+)?') THEN tokens[i] || ' ' || {_UNITS}[tokens[i + 1]] END), lambda x: x IS NOT NULL))) AS measurements,
-  list_sort(list_intersect(tokens, {_list(U.COMPATIBILITY)})) AS compatibility,
-  list_filter({_list(U.COMPATIBILITY_PHRASES)}, lambda p: contains(joined, p)) AS compatibility_phrases,
-  list_sort(list_intersect(tokens, {_list(U.NEGATIONS)})) AS negations,
-  list_filter(tokens, lambda x: NOT list_contains({_list(U.STOPWORDS)}, x) OR list_contains({_KEEP}, x) OR list_contains(models, x)) AS kept,
-  CASE WHEN query IS NULL THEN 'null' WHEN length(query) > 512 OR strlen(query) > 2048 THEN 'too_long' WHEN normalized = '' THEN 'empty' WHEN len(tokens) = 0 THEN 'no_tokens' WHEN len(tokens) > 64 THEN 'too_many_tokens' END AS problem
-  FROM pq2),
-grams AS (SELECT query_id, w, s, array_to_string(tokens[s:s + w - 1], ' ') AS gram FROM pq, (SELECT unnest([1, 2, 3, 4]) AS w) ws, LATERAL (SELECT unnest(range(1, greatest(len(tokens) - w + 2, 1))) AS s) ss)"""
+def leakage_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Columns that would give the label away, and whether the feature matrix has them."""
+    rows = X.leakage_report(list(X.feature_sql(X.Dialect())))
+    return spark.createDataFrame(rows, "prohibited string, present boolean")
 
 
-def _dictionary(name: str, column: str, least: int) -> str:
-    return f"""{name} AS (SELECT gram, value FROM (SELECT value, array_to_string({tokens_sql("value", False)}, ' ') AS gram FROM (SELECT DISTINCT {column} AS value FROM products WHERE length({column}) >= {least})) WHERE gram <> ''
-  QUALIFY row_number() OVER (PARTITION BY gram ORDER BY length(value) DESC, value) = 1)"""
+QUERIES = {
+    f.__name__: f
+    for f in (query_parse_tokens, stopword_reduction, entity_longest_match, color_alias, parsed_query_hash, category_codes_train_only, ltr_features, candidate_features, feature_distribution, feature_row_hash, leakage_report)
+}
 
 
-_COLOR_ALIAS = f"""alias AS (SELECT gram, value FROM (SELECT unnest({_list(U.COLOR_ALIASES)}) AS gram, unnest({_list(U.COLOR_ALIASES.values())}) AS value) WHERE value IN (SELECT normalized_color FROM products)),
-brand_hit AS (SELECT query_id, value AS brand FROM grams JOIN brands USING (gram) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY w DESC, s) = 1),
-color_hit AS (SELECT query_id, value AS color FROM grams JOIN colors USING (gram) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY w DESC, s) = 1),
-alias_hit AS (SELECT query_id, value AS color FROM grams JOIN alias USING (gram) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY w DESC, s) = 1)"""
-ENTITIES = f"{PARSED}, {_dictionary('brands', 'normalized_brand', 2)}, {_dictionary('colors', 'normalized_color', 1)}, {_COLOR_ALIAS}"
 _TRAIN = f"""{JUDGED}, kq AS (SELECT query_id, official_split, coalesce(normalized_query_sha256, 'q:' || query_id) AS group_key FROM query_records),
 mx AS (SELECT group_key FROM kq GROUP BY group_key HAVING count(DISTINCT official_split) > 1),
 tr AS (SELECT query_id FROM kq WHERE official_split = 'train' AND group_key NOT IN (SELECT group_key FROM mx)
@@ -161,14 +144,14 @@ cc AS (SELECT v, row_number() OVER (ORDER BY v) + 1 AS code FROM (SELECT DISTINC
 _CODES = "CASE WHEN {p}.normalized_brand IS NULL THEN 0 ELSE coalesce(bc.code, 1) END AS brand_code, CASE WHEN {p}.normalized_color IS NULL THEN 0 ELSE coalesce(cc.code, 1) END AS color_code"
 
 
-def _features_sql() -> str:
+def _features_sql(closed: str = CLOSED, extra: str = "", shown: str = "", raw: bool = False) -> str:
     d = X.Dialect(False)
     whole = "concat_ws(' ', clean_title, clean_brand, clean_color, clean_bullets, clean_description)"
     names = X.feature_sql(d)
     tokens = ", ".join(f"{tokens_sql(x, False)} AS {n}" for x, n in (("clean_title", "t_tokens"), ("clean_description", "d_tokens"), ("clean_bullets", "b_tokens"), (whole, "p_tokens")))
     rank = lambda s: f"((row_number() OVER (PARTITION BY query_id ORDER BY round({s}, 9) DESC, product_id) - 1)::DOUBLE / greatest(count(*) OVER (PARTITION BY query_id) - 1, 1))::FLOAT"
-    return f"""WITH {CLOSED}, {ENTITIES}, {_TRAIN.replace(JUDGED + ',', '').strip()}, {_CLEANED.replace('docs AS', 'docs9 AS')},
-fr AS (SELECT query_id, product_id, bm25, coverage AS dense, rrf, {rank('bm25')} AS bm25_fraction, {rank('coverage')} AS dense_fraction, {rank('rrf')} AS rrf_fraction FROM pool),
+    return f"""WITH {closed}, {ENTITIES}, {_TRAIN.replace(JUDGED + ',', '').strip()}, {_CLEANED.replace('docs AS', 'docs9 AS')},
+fr AS (SELECT query_id, product_id, bm25, dense, rrf, {rank('bm25')} AS bm25_fraction, {rank('dense')} AS dense_fraction, {rank('rrf')} AS rrf_fraction FROM pool),
 vw0 AS (SELECT *, {tokens} FROM c2), vw AS (SELECT vw0.*, {X.models_sql('p_tokens', d)} AS p_models, r.normalized_brand AS raw_brand, r.normalized_color AS raw_color FROM vw0 JOIN products r USING (product_id)),
 sp AS (SELECT query_id, coalesce(avg(idf), 0) AS specificity FROM query_records LEFT JOIN asked USING (query_id) LEFT JOIN rated USING (term) GROUP BY query_id),
 rows AS (SELECT fr.*, coalesce(pq.normalized, '') AS q_text, pq.tokens AS q_tokens, pq.models AS q_models, pq.compatibility AS q_compatibility, b.brand AS q_brand, coalesce(c.color, a.color) AS q_color,
@@ -176,7 +159,17 @@ rows AS (SELECT fr.*, coalesce(pq.normalized, '') AS q_text, pq.tokens AS q_toke
   CASE WHEN raw_brand IS NULL THEN 0 ELSE coalesce(bc.code, 1) END AS brand_code, CASE WHEN raw_color IS NULL THEN 0 ELSE coalesce(cc.code, 1) END AS color_code
   FROM fr JOIN pq USING (query_id) JOIN sp USING (query_id) JOIN vw USING (product_id) LEFT JOIN brand_hit b USING (query_id) LEFT JOIN color_hit c USING (query_id) LEFT JOIN alias_hit a USING (query_id)
   LEFT JOIN bc ON bc.v = raw_brand LEFT JOIN cc ON cc.v = raw_color)
-SELECT query_id, product_id, {", ".join(f"round(CAST({x} AS DOUBLE), 5) AS {n}" for n, x in names.items())} FROM rows"""
+SELECT query_id, product_id, {shown}{", ".join((f"CAST({x} AS DOUBLE) AS {n}" if raw else f"round(CAST({x} AS DOUBLE), 5) + 0.0 AS {n}") for n, x in names.items())} FROM rows{extra}"""
+
+
+def _parsed_hash_sql() -> str:
+    from vitrine.sources.sinks import json_digest
+
+    state = f"""sha256('{{"brands":"' || (SELECT digest FROM nm_digest WHERE kind = 'brands') || '","color_aliases":"{json_digest(U.COLOR_ALIASES)}","colors":"' || (SELECT digest FROM nm_digest WHERE kind = 'colors')
+  || '","parser_version":"{U.PARSER_VERSION}","spelling_aliases":"{json_digest(U.SPELLING)}"}}')"""
+    return f"""WITH {PARSED}, nm AS (SELECT DISTINCT 'brands' AS kind, normalized_brand AS value FROM products WHERE length(normalized_brand) >= 2 UNION SELECT 'colors', normalized_color FROM products WHERE normalized_color <> ''),
+{digest_sql("nm", "kind", "value")}, st AS (SELECT {state} AS state)
+SELECT query_id, sha256('{{"normalized_text":' || CAST(to_json(normalized) AS VARCHAR) || ',"parser_state_sha256":"' || state || '","parser_version":"{U.PARSER_VERSION}"}}') AS query_sha256 FROM pq, st WHERE problem IS NULL"""
 
 
 SQL = {
@@ -186,11 +179,19 @@ SQL = {
     "entity_longest_match": f"WITH {ENTITIES} SELECT query_id, brand FROM brand_hit",
     "color_alias": f"""WITH {ENTITIES} SELECT query_id, coalesce(c.color, a.color) AS color, CASE WHEN c.color IS NOT NULL THEN 'catalog' ELSE 'alias' END AS color_source, CASE WHEN c.color IS NOT NULL THEN 1.0::DOUBLE ELSE 0.9::DOUBLE END AS color_confidence
 FROM color_hit c FULL JOIN alias_hit a USING (query_id)""",
-    "parsed_query_hash": f"WITH {PARSED} SELECT query_id, sha256('{{\"normalized_text\":\"' || normalized || '\",\"parser_version\":\"v1\"}}') AS query_sha256 FROM pq WHERE problem IS NULL",
+    "parsed_query_hash": _parsed_hash_sql(),
     "category_codes_train_only": f"WITH {_TRAIN} SELECT p.product_id, CAST(b AS INTEGER) AS brand_code, CAST(c AS INTEGER) AS color_code FROM (SELECT p.product_id, {_CODES.format(p='p').replace('brand_code', 'b').replace('color_code', 'c')} FROM products p LEFT JOIN bc ON bc.v = p.normalized_brand LEFT JOIN cc ON cc.v = p.normalized_color) p",
     "ltr_features": _features_sql(),
-    "feature_distribution": " UNION ALL ".join(
-        f"SELECT '{c}' AS feature, count(*) AS row_count, count(*) - count(v) AS nulls, round(avg(v), 6) AS mean, round(coalesce(stddev_pop(v), 0), 6) AS std_pop, round(min(v), 6) AS minimum, round(max(v), 6) AS maximum FROM (SELECT CASE WHEN CAST({c}::DOUBLE AS VARCHAR) <> 'nan' THEN {c}::DOUBLE END AS v FROM candidates)"
-        for c in ("rrf_score", "sparse_score", "dense_score", "sparse_rank", "dense_rank", "best_source_rank", "source_count")
+    "candidate_features": _features_sql(
+        closed_sql(f"{JUDGED}, {_FUSED}, hy AS (SELECT query_id, product_id, rank AS hybrid_rank, rrf AS hybrid_rrf FROM listed), lab AS (SELECT query_id, product_id, NULL::INTEGER AS label_id, NULL::DOUBLE AS gain FROM hy)"),
+        " JOIN hy USING (query_id, product_id)",
+        "CAST(hybrid_rank AS INTEGER) AS hybrid_rank, round(hybrid_rrf, 5) AS hybrid_rrf, ",
+    ).replace("round(hybrid_rrf, 5)", "round(hybrid_rrf, 9)"),
+    "feature_distribution": f"WITH f AS MATERIALIZED ({_features_sql(raw=True)}) "
+    + " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, count(*) AS row_count, count(*) - count({c}) AS nulls, round(avg({c}), 4) AS mean, round(coalesce(stddev_pop({c}), 0), 4) AS std_pop, round(min({c}), 4) AS minimum, round(max({c}), 4) AS maximum FROM f"
+        for c in X.feature_sql(X.Dialect(False))
     ),
+    "feature_row_hash": f"WITH f AS ({_features_sql()}) SELECT query_id, product_id, sha256(concat_ws(',', {', '.join(f'round({c} * 100000)::BIGINT' for c in X.feature_sql(X.Dialect(False)))})) AS row_sha256 FROM f",
+    "leakage_report": " UNION ALL ".join(f"SELECT '{n}' AS prohibited, {p} AS present" for n, p in X.leakage_report(list(X.feature_sql(X.Dialect(False))))),
 }
