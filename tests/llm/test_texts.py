@@ -18,9 +18,8 @@ def frame(spark, rows, schema):
 
 def test_identifiers():
     assert listings.gtins("EAN 4006381333931, not 4006381333932, 00000000") == ["04006381333931"]
-    assert listings.part_number("Kettle Xyz QMC 8265 new") == "QMC8265"
-    assert listings.part_number("wall charger pxh_0372") == "PXH0372"
-    assert listings.part_number("LED 1000 watts NEW 2025 Edition") is None
+    assert listings.part_numbers("Kettle Xyz QMC 8265 new, or pxh_0372") == ["QMC8265", "PXH0372"]
+    assert listings.part_numbers("LED 1000 watts NEW 2025 Edition") == []
 
 
 @pytest.mark.parametrize(
@@ -87,6 +86,52 @@ def test_identifier_joins_different_names(spark):
     assert same(spark, rows) == [["p1", "p2"]]
 
 
+def test_identifier_joins_an_unknown_colour_but_no_other_colour(spark):
+    """Both codes are valid; the range of the first two knows another colour too."""
+    rows = [
+        listing(1, "Badusk Nerosk mug 300 ml gray", bullets="EAN 4006381333931"),
+        listing(2, "Badusk Nerosk mug 300 ml", bullets="4006381333931 and 5901234123457"),
+        listing(3, "Badusk Nerosk mug 300 ml azul"),
+        listing(4, "Kelin Voran mug 300 ml azul", bullets="EAN 4006381333931"),
+        listing(5, "Kelin Voran mug 300 ml", bullets="EAN 5901234123457"),
+    ]
+    # gray and blue under one code contradict; the other code says that listing 2 is what listings 4 and 5 are
+    assert same(spark, rows) == [["p2", "p4", "p5"]]
+    assert same(spark, rows[:3]) == [["p1", "p2"]]
+    assert same(spark, [rows[0], rows[1], rows[2], rows[4]]) == [["p1", "p2", "p5"]]
+
+
+def test_chains_of_identifiers_do_not_join_contradictions(spark):
+    rows = [
+        listing(1, "Badusk Nerosk mug 300 ml gray", bullets="EAN 4006381333931"),
+        listing(2, "Kelin Voran mug 300 ml", bullets="4006381333931, 5901234123457"),
+        listing(3, "Morin Talesk mug 300 ml azul", bullets="EAN 5901234123457"),
+    ]
+    assert same(spark, rows) == []
+
+
+def test_names_of_any_number_of_words_in_any_order(spark):
+    one = [listing(1, "Kindle mug 300 ml gray"), listing(2, "mug Kindle 300 ml grey")]
+    three = [listing(3, "Badusk Nerosk Talvek mug 300 ml gray"), listing(4, "mug gray Talvek Nerosk Badusk 0.3 l"), listing(5, "Badusk NeroskTalvek mug 30 cl gray")]
+    assert same(spark, one) == [["p1", "p2"]]
+    assert same(spark, three) == [["p3", "p4", "p5"]]
+
+
+def test_a_bare_listing_is_found_by_any_of_its_part_numbers(spark):
+    rows = [listing(1, "Badusk Nerosk mug 300 ml gray QMC-8265"), listing(2, None, None, "grey", "300 ml, part zzk-1111 or QMC_8265"), listing(3, "Badusk Nerosk mug gray 300 ml ZZK1111")]
+    assert same(spark, rows) == [["p1", "p2", "p3"]]
+
+
+def test_pairs_and_membership(spark, monkeypatch):
+    monkeypatch.setattr(listings, "PAIR_SLICE", 4)
+    groups = frame(spark, [(f"p{i:02}", "big" if i < 23 else f"g{i // 2}") for i in range(30)], "product_id string, group_id string")
+    of = {r.product_id: r.group_id for r in groups.collect()}
+    got = [(r.product_id_a, r.product_id_b) for r in listings.pairs(groups).collect()]
+    assert sorted(got) == sorted((a, b) for a in of for b in of if a < b and of[a] == of[b])
+    told = {r.product_id: (r.representative, r.listings) for r in listings.membership(groups).collect()}
+    assert told["p05"] == ("p00", 23) and told["p23"] == ("p23", 1) and told["p25"] == ("p24", 2)
+
+
 def test_no_listings(spark):
     assert same(spark, []) == []
 

@@ -76,20 +76,32 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return marked.filter("found").select("product_id", "field_name")
 
 
-def p2_groups(spark: SparkSession, sf: str) -> DataFrame:
-    """Every listing with the product that it offers."""
+def _p2(spark: SparkSession, sf: str) -> DataFrame:
     from vitrine.llm.listings import same_products
+    from vitrine.scratch import materialize
+
+    return materialize(same_products(_read(spark, sf, "products"), _read(spark, sf, "canonical_brands"), _read(spark, sf, "canonical_colors")), "same")
 
-    return same_products(_read(spark, sf, "products"), _read(spark, sf, "canonical_brands"), _read(spark, sf, "canonical_colors"))
+
+def p2_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Every listing with the product that it offers, the group's representative and size."""
+    from vitrine.llm.listings import membership
+
+    return membership(_p2(spark, sf))
+
+
+def p2_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Every listing with the representative of its product; the representatives themselves are left out."""
+    linked = p2_groups(spark, sf).filter("product_id <> representative")
+    return linked.selectExpr("representative AS product_id_a", "product_id AS product_id_b")
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     """Every pair of listings of the same product."""
     from vitrine.llm.listings import pairs
-    from vitrine.scratch import materialize
 
-    return pairs(materialize(p2_groups(spark, sf), "groups"))
+    return pairs(_p2(spark, sf))
 
 
-QUERIES = {"p2_found": p2_found, "p2_groups": p2_groups, "p5_found": p5_found, "p5_clean": p5_clean, "p8_found": p8_found, "p8_leaks": p8_leaks, "p8_longest": p8_longest, "p8_clean": p8_clean, "p10_found": p10_found, "p10_piles": p10_piles, "p9_selection": p9_selection, "p9_shares": p9_shares}
+QUERIES = {"p2_found": p2_found, "p2_groups": p2_groups, "p2_pairs": p2_pairs, "p5_found": p5_found, "p5_clean": p5_clean, "p8_found": p8_found, "p8_leaks": p8_leaks, "p8_longest": p8_longest, "p8_clean": p8_clean, "p10_found": p10_found, "p10_piles": p10_piles, "p9_selection": p9_selection, "p9_shares": p9_shares}
 SQL: dict[str, str] = {}

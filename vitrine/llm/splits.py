@@ -73,10 +73,9 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     a grouped minimum, which combines on the map side.
     """
     spark = edges.sparkSession
-    edges = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v").distinct()
-    nodes = edges.select(F.col("u").alias("node")).union(edges.select("v"))
+    live = materialize(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v").distinct(), "edges")
+    nodes = live.select(F.explode(F.array("u", "v")).alias("node"))
     parent = materialize(nodes.distinct().withColumn("parent", F.col("node")), "parents")
-    live = materialize(edges, "edges")
     while not live.isEmpty():
         # hook: the larger root of an edge points to the smallest root that it touches
         hook = live.select(F.greatest("u", "v").alias("node"), F.least("u", "v").alias("to")).groupBy("node").agg(F.min("to").alias("to"))
