@@ -214,10 +214,32 @@ def test_suffix_array_is_sorted_and_searched():
     assert sorted(order.tolist()) == known
     key = lambda i: ids[i : i + leaks.DEPTH].tolist()
     assert [key(i) for i in order.tolist()] == sorted(key(i) for i in order.tolist())
-    want = np.full((1, leaks.DEPTH), -1)
-    want[0, : leaks.START] = ids[known[7] : known[7] + leaks.START]
+    want = ids[known[7] : known[7] + leaks.START][None, :]
     lo, hi = (int(leaks._bound(ids, order, want, leaks.START, up)[0]) for up in (False, True))
-    assert sorted(order[lo:hi].tolist()) == [i for i in known if (ids[i : i + leaks.START] == want[0, : leaks.START]).all()]
+    assert sorted(order[lo:hi].tolist()) == [i for i in known if (ids[i : i + leaks.START] == want[0]).all()]
+
+
+def numbered(tests, texts):
+    return [np.array([tests.number.get(x, 0) for x in t], dtype=np.int64) for t in texts]
+
+
+def test_all_maximal_matches_with_all_places():
+    rng = random.Random(4)
+    few = lambda n: [rng.choice("abcde") for _ in range(n)]
+    items, texts = [few(30), few(12), few(3), few(30)], [few(60), few(5), few(2), few(40)]
+    texts += [items[0] + few(5), few(5) + items[0][:20], items[1] * 2]
+    tests = leaks.TestItems([(i, " ".join(w)) for i, w in enumerate(items)])
+    want = set()
+    for n, w in enumerate(items):
+        for d, t in enumerate(texts):
+            for i in range(len(w)):
+                for j in range(len(t)):
+                    if w[i] == t[j] and (i == 0 or j == 0 or w[i - 1] != t[j - 1]):
+                        k = next((k for k in range(min(len(w) - i, len(t) - j)) if w[i + k] != t[j + k]), min(len(w) - i, len(t) - j))
+                        if k >= leaks.START:
+                            want.add((d, n, i, j, k))
+    got = [tuple(r) for r in leaks.matches(tests, numbered(tests, texts)).tolist()]
+    assert len(got) == len(set(got)) and set(got) == want
 
 
 def test_leaks_of_every_kind(spark, monkeypatch):
@@ -244,39 +266,60 @@ def test_leaks_of_every_kind(spark, monkeypatch):
         11: f"{pad()} {' '.join(a)} {pad()}",
     }
     monkeypatch.setattr(leaks, "SHARD_WORDS", 500)
-    df = frame(spark, [(i, t, "clash") for i, t in docs.items()], "doc_id long, text string, cover string").coalesce(2)
+    df = frame(spark, [(i, t, "clash") for i, t in docs.items()], "doc_id long, text string, words string").coalesce(2)
     tests = frame(spark, tests, "item_id long, text string")
-    found = leaks.find_leaks(df, tests)
+    about_half = leaks.Want(leaks.PASSAGE, 0.48)
+    found = leaks.find_leaks(df, tests, want=about_half)
     assert {(r.doc_id, r.item_id) for r in found.collect()} == {(1, 0), (2, 0), (3, 0), (4, 0), (10, 1), (10, 2), (11, 0)}
     assert {r.doc_id for r in leaks.without_leaks(df, found).collect()} == {5, 6, 7, 8, 9}
-    long = {(r.item_id, r.item_at): r.words for r in leaks.longest_matches(df, tests).collect()}
-    assert long[(0, 0)] == 80 and long[(1, 5)] == 75
+    long = {}
+    for r in leaks.longest_matches(df, tests).collect():
+        long.setdefault((r.item_id, r.item_at, r.words), set()).add(r.doc_id)
+    assert long[(0, 0, 80)] == {1, 11} and long[(1, 5, 75)] == {10}
     monkeypatch.setattr(leaks, "BLOCK_WORDS", 100)
-    assert found.count() == leaks.find_leaks(df, tests).count()
+    assert found.count() == leaks.find_leaks(df, tests, want=about_half).count()
+    monkeypatch.setattr(leaks, "BLOCKS", 2)
+    assert found.count() == leaks.find_leaks(df, tests, want=about_half).count()
+    # any passage of 20 words and more
+    assert {(r.doc_id, r.item_id) for r in leaks.find_leaks(df, tests, want=leaks.Want(20)).collect()} - {(r.doc_id, r.item_id) for r in found.collect()} == {(5, 0)}
     assert leaks.find_leaks(df.limit(0), tests).count() == 0 and leaks.find_leaks(df, tests.limit(0)).count() == 0
 
 
-def test_longest_match_among_many_with_the_same_start():
+def test_longest_matches_among_many_with_the_same_start():
     rng = random.Random(4)
     items = [words(rng, 150), words(rng, 64), words(rng, 90) * 2]
     a = items[0]
     texts = [a[:70], a, a[3:100], a[:64] + words(rng, 9), a[:149], items[1], items[2][:80], items[2], items[2][5:170], a[80:] + a[:90], words(rng, 300)]
     texts += [words(rng, 5) + t for t in texts]
     tests = leaks.TestItems([(i, " ".join(w)) for i, w in enumerate(items)])
-    _, found = leaks._scan_shard(tests, [np.array([tests.number.get(x, 0) for x in t], dtype=np.int64) for t in texts])
-    got = {tuple(tests.suffix_of[s].tolist()): (d, at, n) for s, d, at, n in found}
+    got = {}
+    for n, i, d, j, m in leaks.longest_of(tests, numbered(tests, texts)):
+        got.setdefault((n, i), set()).add((d, j, m))
 
     def shared(x, y):
         return next((n for n, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))  # noqa: B905
 
     for i, w in enumerate(items):
         for k in range(len(w)):
-            want = max(shared(w[k:], t[j:]) for t in texts for j in range(len(t)))
-            if want < 2 * leaks.START:
-                assert (i, k) not in got
-                continue
-            d, at, n = got[(i, k)]
-            assert n == want == shared(w[k:], texts[d][at:])
+            all_ = {(d, j, shared(w[k:], t[j:])) for d, t in enumerate(texts) for j in range(len(t))}
+            most = max(m for *_, m in all_)
+            assert got.get((i, k), set()) == ({x for x in all_ if x[2] == most} if most >= 2 * leaks.START else set())
+
+
+def test_passages_of_long_items_and_light_edits(spark):
+    rng = random.Random(6)
+    item = [f"w{rng.randint(1, 5000)}" for _ in range(1000)]
+    short = [f"v{k}" for k in range(90)]
+    pad = lambda: " ".join(words(rng, 40))
+    swap = lambda w, k: " ".join(x if n % k else "changed" for n, x in enumerate(w, 1))
+    docs = {1: f"{pad()} {' '.join(item[100:400])} {pad()}", 2: f"{pad()} {' '.join(item[500:970])}", 3: " ".join(item[:200])}
+    docs |= {10 + k: f"{pad()} {swap(short, k)} {pad()}" for k in (5, 6, 7)} | {20: f"{pad()} {swap(short[:60], 5)}", 21: " ".join(short[:45]) + " v45 " + pad() + " v44 " + " ".join(short[45:])}
+    df = frame(spark, list(docs.items()), "doc_id long, text string")
+    tests = frame(spark, [(0, " ".join(item)), (1, " ".join(short))], "item_id long, text string")
+    at = lambda share: {(r.doc_id, r.item_id) for r in leaks.find_leaks(df, tests, want=leaks.Want(leaks.PASSAGE, share)).collect()}
+    assert at(0.3) == {(1, 0), (2, 0), (15, 1), (16, 1), (17, 1), (20, 1), (21, 1)}
+    assert at(0.45) == {(2, 0), (15, 1), (16, 1), (17, 1), (20, 1), (21, 1)}
+    assert at(0.8) == {(15, 1), (16, 1), (17, 1), (21, 1)}
 
 
 # --- mixing --------------------------------------------------------------------------------------------------

@@ -1,18 +1,18 @@
 """Held-out test items in training text, found with suffix arrays of the training shards.
 
-Every task turns its documents into shards of word numbers, sorts the suffixes of a shard (prefix doubling),
-and binary-searches every suffix of every test item in it. The ranges give all places where a test suffix
-starts to match, the neighbours its longest verbatim match. From the rarest starts in every stretch of an item
-come candidate (document, item) pairs; their verbatim runs are chained over single changed words to running
-passages, and a pair counts if one or two passages hold enough of the item's words.
+Every task turns its documents into shards of word numbers and sorts the suffixes of a shard (prefix doubling).
+Every suffix of every test item is binary-searched in it: the range of its first START words gives all places
+where it matches, and neighbouring places on a diagonal make the maximal verbatim matches, each with its place in
+the item and in the document. The matches of a document and an item are chained over changed, added or left-out
+words to running passages. A pair counts if its best passage, or its best two, hold enough of the item.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -20,24 +20,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vitrine.scratch import spread
+from vitrine.scratch import materialize, spread
 
-#: Part of the item's words, without the task instruction, that a document must hold.
-COVER = 0.48
-#: A pair is aligned if the document has this part of the item's starts; passages with every sixth word changed keep more.
-STARTS_COVER = 0.2
-#: Words with which a match starts.
+#: Words of the shortest verbatim match.
 START = 4
-#: In every stretch of this many starts of an item, the one that the fewest items share is looked up.
-STRETCH = 8
-#: Words of verbatim match up to which suffixes are sorted; longer matches are followed from all their places.
-DEPTH = 64
+#: Words up to which suffixes are sorted; matches are followed beyond them from all their places.
+DEPTH = 8
 #: Words of a shard; a longer document is a shard of its own.
 SHARD_WORDS = 1_000_000
-#: Test items go through the corpus in blocks of at most this many words.
-BLOCK_WORDS = 500_000
-#: Changed, left out or added words that a running passage may step over at once.
-STEP = 4
+#: Test items go out in blocks of at most this many words, and so many blocks share one pass over the corpus.
+BLOCK_WORDS, BLOCKS = 500_000, 4
+#: Words of the item or of the text between two matches of a running passage.
+STEP = 8
 #: A passage of fewer words is none.
 PASSAGE = 8
 #: An opening sentence that so many items share is a task instruction.
@@ -47,44 +41,43 @@ _WORD = re.compile(r"[^\W_]+")
 _SENTENCE = re.compile(r"(?<=[.!?:])\s+")
 
 
+@dataclass(frozen=True)
+class Want:
+    """What makes a pair a leak: its best one or two passages hold at least ``words`` words and at least ``share`` of
+    the item's. An item of fewer words must be held whole."""
+
+    words: int = 25
+    share: float = 0.0
+
+    def least(self, size: int) -> int:
+        return max(min(self.words, size), int(np.ceil(self.share * size - 1e-9)), 1)
+
+
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(unicodedata.normalize("NFKC", text).casefold())
+    if not text.isascii():
+        text = unicodedata.normalize("NFKC", text)
+    return _WORD.findall(text.casefold())
 
 
 class TestItems:
-    """A block of test items as word numbers, with the starts to look up."""
+    """A block of test items as word numbers with the suffixes to look up."""
 
     def __init__(self, items: list[tuple[object, str]]) -> None:
         self.ids = [i for i, _ in items]
         self.number: dict[str, int] = {}
         self.words = [np.array([self.number.setdefault(w, len(self.number) + 1) for w in words_of(t)], dtype=np.int64) for _, t in items]
-        base = len(self.number) + 1
-        weights = base ** np.arange(START - 1, -1, -1, dtype=object)
-        grams: dict[int, int] = {}
-        self.grams = []
-        for w in self.words:
-            own = [grams.setdefault(int(sum(int(a) * int(b) for a, b in zip(w[k : k + START], weights, strict=True))), len(grams)) for k in range(max(0, len(w) - START + 1))]
-            self.grams.append(np.array(own, dtype=np.int64))
-        shared = Counter(g for own in self.grams for g in set(own.tolist()))
-        starts: dict[int, list[int]] = {}
-        for n, own in enumerate(self.grams):
-            chosen = set()
-            for at in range(0, len(own), STRETCH):
-                part = own[at : at + STRETCH].tolist()
-                chosen.add(min(part, key=lambda g: (shared[g], g)))
-            for g in chosen:
-                starts.setdefault(g, []).append(n)
-        self.starts = starts
-        # all suffixes with at least START words, padded to DEPTH for the searches
-        at = [(n, k) for n, w in enumerate(self.words) for k in range(max(0, len(w) - START + 1))]
-        self.suffix_of = np.array(at, dtype=np.int64).reshape(-1, 2)
-        pad = np.full((len(at), DEPTH), -1, dtype=np.int64)
-        for row, (n, k) in enumerate(at):
-            part = self.words[n][k : k + DEPTH]
-            pad[row, : len(part)] = part
-        self.suffixes = pad
-        self.gram_of = np.array([self.grams[n][k] for n, k in at], dtype=np.int64)
-        self.gram_count = len(grams)
+        self.offset = np.append(0, np.cumsum([len(w) for w in self.words])).astype(np.int64)
+        # suffixes with at least START words: item and place, and the different beginnings that they have
+        counts = [max(0, len(w) - START + 1) for w in self.words]
+        self.item = np.repeat(np.arange(len(items)), counts)
+        self.place = np.concatenate([np.arange(n) for n in counts]) if counts else np.zeros(0, dtype=np.int64)
+        flat = np.concatenate(self.words) if self.words else np.zeros(0, dtype=np.int64)
+        begins = flat[(self.offset[self.item] + self.place)[:, None] + np.arange(START)] if len(self.item) else np.zeros((0, START), dtype=np.int64)
+        self.begins, of = np.unique(begins, axis=0, return_inverse=True)
+        # all suffixes of each beginning
+        order = np.argsort(of.ravel(), kind="stable")
+        self.item, self.place = self.item[order], self.place[order]
+        self.first = np.append(0, np.cumsum(np.bincount(of.ravel(), minlength=len(self.begins)))).astype(np.int64)
 
 
 def suffix_array(ids: np.ndarray) -> np.ndarray:
@@ -132,133 +125,125 @@ def _bound(ids: np.ndarray, order: np.ndarray, wanted: np.ndarray, width: int, u
         hi[open_] = np.where(less, hi[open_], mid)
 
 
-def _runs(item: np.ndarray, doc: np.ndarray) -> list[tuple[int, int, int]]:
-    """Verbatim runs (item position, document position, words) of at least two words."""
-    if len(item) < 2 or len(doc) < 2:
-        return []
-    base = int(max(item.max(), doc.max())) + 1
-    a, b = item[:-1] * base + item[1:], doc[:-1] * base + doc[1:]
-    where: dict[int, list[int]] = {}
-    for k, g in enumerate(a.tolist()):
-        where.setdefault(g, []).append(k)
-    hits = np.flatnonzero(np.isin(b, a))
-    open_: dict[int, list[int]] = {}
-    out = []
-    for j in hits.tolist():
-        for i in where[int(b[j])]:
-            run = open_.get(j - i)
-            if run is not None and run[1] + run[2] == j + 1:
-                run[2] += 1
-            else:
-                run = [i, j, 2]
-                open_[j - i] = run
-                out.append(run)
-    return [tuple(r) for r in out]
-
-
-def passages(item: np.ndarray, doc: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-    """(item start, item end, document start, document end, matched words) of running passages."""
-    runs = sorted(_runs(item, doc), key=lambda r: (r[1], r[0]))
+def matches(items: TestItems, texts: list[np.ndarray]) -> np.ndarray:
+    """Rows (document, item, place in the item, place in the document, words) of all maximal verbatim matches of at
+    least START words between the texts of a shard and the items, with all their places."""
+    none = np.zeros((0, 5), dtype=np.int64)
+    sizes = np.array([len(t) + 1 for t in texts])
+    offset = np.append(0, np.cumsum(sizes))
+    ids = np.zeros(int(offset[-1]), dtype=np.int64)
+    for t, o in zip(texts, offset[:-1], strict=True):
+        ids[o : o + len(t)] = t
+    order = suffix_array(ids)
+    if not len(order) or not len(items.begins):
+        return none
+    lo = _bound(ids, order, items.begins, START, False)
+    hi = _bound(ids, order, items.begins, START, True)
+    # every place of the range with every test suffix that begins so
+    places, suffixes = hi - lo, np.diff(items.first)
+    met = np.flatnonzero(places > 0)
+    if not len(met):
+        return none
+    pairs = places[met] * suffixes[met]
+    k = np.arange(int(pairs.sum())) - np.repeat(np.cumsum(pairs) - pairs, pairs)
+    width = np.repeat(suffixes[met], pairs)
+    at = order[np.repeat(lo[met], pairs) + k // width]
+    suffix = np.repeat(items.first[met], pairs) + k % width
+    item, i = items.item[suffix], items.place[suffix]
+    doc = np.searchsorted(offset, at, side="right") - 1
+    j = at - offset[doc]
+    by = np.lexsort((j, j - i, item, doc))
+    doc, item, i, j = doc[by], item[by], i[by], j[by]
+    # neighbours on a diagonal are one match
+    starts = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (j[1:] != j[:-1] + 1) | (i[1:] != i[:-1] + 1)))
+    return np.stack([doc[starts], item[starts], i[starts], j[starts], np.diff(np.append(starts, len(doc))) + START - 1], axis=1)
+
+
+def passages(runs: list[tuple[int, int, int]], item: np.ndarray, doc: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+    """(item start, item end, document start, document end, matched words) of running passages.
+
+    ``runs`` are matches (place in the item, in the document, words). Two belong to one passage if at most STEP words
+    of either side lie between them; of those, the words that agree count too.
+    """
     done: list[tuple[int, int, int, int, int]] = []
-    first = 0
-    for i, j, n in runs:
+    first, longest = 0, max(r[2] for r in runs)
+    for i, j, n in sorted(runs, key=lambda r: (r[1], r[0])):
         best = (i, i + n, j, j + n, n)
-        while first < len(done) and done[first][3] < j - STEP - DEPTH:
+        while first < len(done) and done[first][3] < j - STEP - longest:
             first += 1
         for i0, i1, j0, j1, m in done[first:]:
-            over = max(i1 - i, j1 - j, 0)
-            if over < n and -STEP <= i1 - i and -STEP <= j1 - j and i0 < i and j0 < j and m + n - over > best[4]:
-                best = (i0, i + n, j0, j + n, m + n - over)
+            gap_i, gap_j = i - i1, j - j1
+            over = max(-gap_i, -gap_j, 0)
+            if gap_i > STEP or gap_j > STEP or over >= n or i0 >= i or j0 >= j:
+                continue
+            between = 0
+            if gap_i > 0 and gap_j > 0:
+                same = item[i1:i] == doc[j1:j] if gap_i == gap_j else np.isin(item[i1:i], doc[j1:j])
+                between = int(same.sum())
+            if m + n - over + between > best[4]:
+                best = (i0, i + n, j0, j + n, m + n - over + between)
         done.append(best)
     return done
 
 
-def cover(item: np.ndarray, doc: np.ndarray) -> float:
-    """The part of the item's words in its best passage, or in two that overlap neither in the item nor in the text."""
-    found = sorted((p for p in passages(item, doc) if p[4] >= PASSAGE), key=lambda p: p[2])
+def held(found: list[tuple[int, int, int, int, int]]) -> int:
+    """Words of the best passage, or of the best two, in either order, that do not overlap in the text. A few words that
+    both have of the item (a chance match at an end) count once."""
+    found = sorted((p for p in found if p[4] >= PASSAGE), key=lambda p: p[2])
     if not found:
-        return 0.0
+        return 0
     ends = sorted(found, key=lambda p: p[3])
+    size = max(p[1] for p in found) + 1
     # best earlier passage of the text that ends before, or begins after, a position of the item
-    until, since = np.zeros(len(item) + 1, dtype=np.int64), np.zeros(len(item) + 1, dtype=np.int64)
+    until, since = np.zeros(size + 1, dtype=np.int64), np.zeros(size + 1, dtype=np.int64)
     best, k = 0, 0
     for i0, i1, j0, _j1, m in found:
         while k < len(ends) and ends[k][3] <= j0:
             np.maximum(until[ends[k][1] :], ends[k][4], out=until[ends[k][1] :])
             np.maximum(since[: ends[k][0] + 1], ends[k][4], out=since[: ends[k][0] + 1])
             k += 1
-        best = max(best, m + int(until[i0]), m + int(since[i1]))
-    return best / len(item)
-
-
-def _deepest(items: TestItems, ids: np.ndarray, order: np.ndarray, rows: np.ndarray, lo: np.ndarray) -> dict[int, tuple[int, int]]:
-    """(words, place) of the longest match of each of the rows, whose suffixes match DEPTH words or more from ``lo`` on.
-
-    Every place of the first DEPTH words counts: from the end of an item on, a match is one word longer than that
-    of the next suffix at the next place, or DEPTH words long if there is none.
-    """
-    hi = _bound(ids, order, items.suffixes[rows], DEPTH, True)
-    reach, before, best = np.zeros(len(ids) + 1, dtype=np.int64), np.zeros(0, dtype=np.int64), {}
-    last = (-1, -1)
-    for row, a, b in zip(rows[::-1].tolist(), lo[::-1].tolist(), hi[::-1].tolist(), strict=True):
-        n, k = items.suffix_of[row].tolist()
-        places = order[a:b]
-        longer = reach[places + 1] if last == (n, k + 1) else np.zeros(len(places), dtype=np.int64)
-        reach[before] = 0
-        reach[places] = words = np.where(longer > 0, longer + 1, DEPTH)
-        at = int(np.argmax(words))
-        best[row] = (int(words[at]), int(places[at]))
-        before, last = places, (n, k)
+        shared = range(min(STEP, i1 - i0) + 1)
+        best = max(best, m, *(m + int(until[i0 + t]) - t for t in shared), *(m + int(since[i1 - t]) - t for t in shared))
     return best
 
 
-def _scan_shard(items: TestItems, texts: list[np.ndarray]) -> tuple[list[tuple[int, int, float]], list[tuple[int, int, int, int]]]:
-    """(document, item, cover) pairs and (suffix, document, document position, words) longest matches."""
-    sizes = np.array([len(t) + 1 for t in texts])
-    offset = np.append(0, np.cumsum(sizes))
-    ids = np.zeros(int(offset[-1]), dtype=np.int64)
-    for t, o in zip(texts, offset[:-1], strict=True):
-        ids[o : o + len(t)] = t
-    order = suffix_array(ids)
-    if not len(order) or not len(items.suffixes):
-        return [], []
-    # each different start is searched once; its range holds all places of all test suffixes that begin so
-    gram_rows = np.unique(items.gram_of, return_index=True)[1]
-    lo = _bound(ids, order, items.suffixes[gram_rows], START, False)
-    hi = _bound(ids, order, items.suffixes[gram_rows], START, True)
-    gram_at = np.full(len(ids), -1, dtype=np.int64)
-    for g, a, b in zip(items.gram_of[gram_rows].tolist(), lo.tolist(), hi.tolist(), strict=True):
-        if b > a:
-            gram_at[order[a:b]] = g
-    pairs = []
-    for d in range(len(texts)):
-        here = gram_at[offset[d] : offset[d + 1]]
-        inside = np.unique(here[here >= 0]).tolist()
-        candidates = {n for g in inside for n in items.starts.get(g, ())}
-        if not candidates:
-            continue
-        present = np.zeros(items.gram_count, dtype=bool)
-        present[inside] = True
-        for n in candidates:
-            if present[items.grams[n]].mean() >= STARTS_COVER:
-                share = cover(items.words[n], texts[d])
-                if share >= COVER:
-                    pairs.append((d, n, share))
-    # longest verbatim match of every suffix: one of the neighbours of its place in the order, or beyond DEPTH words any in its range
-    place = _bound(ids, order, items.suffixes, DEPTH, False)
-    longest = []
-    near = np.stack([np.clip(place - 1, 0, len(order) - 1), np.clip(place, 0, len(order) - 1)], axis=1)
-    text = np.append(ids, np.full(DEPTH, -2))
-    same = (text[order[near][:, :, None] + np.arange(DEPTH)] == items.suffixes[:, None, :]) & (items.suffixes[:, None, :] >= 0)
-    length = np.where(same.all(axis=2), DEPTH, np.argmin(same, axis=2))
-    side, most = np.argmax(length, axis=1), length.max(axis=1)
-    full = np.flatnonzero(most == DEPTH)
-    deepest = _deepest(items, ids, order, full, place[full])
-    for row in np.flatnonzero(most >= 2 * START).tolist():
-        m, at = deepest.get(row, (int(most[row]), int(order[near[row, side[row]]])))
-        d = int(np.searchsorted(offset, at, side="right") - 1)
-        longest.append((row, d, int(at - offset[d]), m))
-    return pairs, longest
+def leaking(items: TestItems, texts: list[np.ndarray], want: Want) -> list[tuple[int, int, int]]:
+    """(document, item, words held) of the pairs that count. Pairs whose matches together are too short are left out
+    before anything is chained, as gaps add at most STEP words for each of them."""
+    rows = matches(items, texts)
+    if not len(rows):
+        return []
+    starts = np.flatnonzero(np.append(True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)))
+    ends = np.append(starts[1:], len(rows))
+    sizes = np.array([len(w) for w in items.words])
+    least = np.array([want.least(int(n)) for n in sizes])
+    most = np.add.reduceat(rows[:, 4], starts) + STEP * (ends - starts - 1)
+    out = []
+    for g in np.flatnonzero(most >= least[rows[starts, 1]]).tolist():
+        d, n = rows[starts[g], :2].tolist()
+        runs = [tuple(r) for r in rows[starts[g] : ends[g], 2:].tolist()]
+        words = held(passages(runs, items.words[n], texts[d]))
+        if words >= least[n]:
+            out.append((d, n, words))
+    return out
+
+
+def longest_of(items: TestItems, texts: list[np.ndarray]) -> list[tuple[int, int, int, int, int]]:
+    """(item, place in the item, document, place in it, words): for every test suffix its longest matches in the shard,
+    of at least 2 * START words, with all their places."""
+    rows = matches(items, texts)
+    rows = rows[rows[:, 4] >= 2 * START]
+    if not len(rows):
+        return []
+    n = rows[:, 4] - 2 * START + 1
+    step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    doc, item, i, j, words = (np.repeat(rows[:, c], n) for c in range(5))
+    i, j, words = i + step, j + step, words - step
+    suffix = items.offset[item] + i
+    best = np.zeros(int(items.offset[-1]) + 1, dtype=np.int64)
+    np.maximum.at(best, suffix, words)
+    keep = words == best[suffix]
+    return list(zip(item[keep].tolist(), i[keep].tolist(), doc[keep].tolist(), j[keep].tolist(), words[keep].tolist(), strict=True))
 
 
 def item_blocks(items: DataFrame, item_id: str, text: str) -> Iterator[TestItems]:
@@ -279,76 +264,86 @@ def item_blocks(items: DataFrame, item_id: str, text: str) -> Iterator[TestItems
         yield TestItems(block)
 
 
-def _scan(docs: DataFrame, doc_id: str, text: str, shared, kind: T.DataType, item_type: T.DataType, want: str) -> DataFrame:
-    schema = T.StructType([T.StructField("_doc", kind), T.StructField("_item", item_type), T.StructField("item_at", T.IntegerType()), T.StructField("doc_at", T.IntegerType()), T.StructField("amount", T.DoubleType())])
+def _scan(docs: DataFrame, doc_id: str, text: str, shared: list, kind: T.DataType, item_type: T.DataType, find) -> DataFrame:
+    """Rows that ``find(items, texts)`` gives as (document, item, item_at, doc_at, amount), from one pass over ``docs``."""
+    schema = T.StructType([T.StructField("_doc", kind), T.StructField("_item", item_type), T.StructField("item_at", T.IntegerType()), T.StructField("doc_at", T.IntegerType()), T.StructField("amount", T.IntegerType())])
 
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        items, out = shared.value, to_arrow_schema(schema)
+        out = to_arrow_schema(schema)
 
         def flush(ids, texts):
-            pairs, longest = _scan_shard(items, texts)
-            if want == "pairs":
-                rows = [(ids[d], items.ids[n], None, None, c) for d, n, c in pairs]
-            else:
-                rows = [(ids[d], items.ids[items.suffix_of[s, 0]], int(items.suffix_of[s, 1]), p, float(m)) for s, d, p, m in longest]
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, out, strict=True)], schema=out)
+            for block in shared:
+                items = block.value
+                numbers = [np.array([items.number.get(w, 0) for w in t], dtype=np.int64) for t in texts]
+                rows = [(ids[d], items.ids[n], i, j, m) for d, n, i, j, m in find(items, numbers)]
+                cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, out, strict=True)], schema=out)
 
         ids, texts, size = [], [], 0
         for batch in batches:
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                nums = np.array([items.number.get(w, 0) for w in words_of(t)], dtype=np.int64)
-                if texts and size + len(nums) > SHARD_WORDS:
-                    yield flush(ids, texts)
+                words = words_of(t)
+                if texts and size + len(words) > SHARD_WORDS:
+                    yield from flush(ids, texts)
                     ids, texts, size = [], [], 0
                 ids.append(i)
-                texts.append(nums)
-                size += len(nums) + 1
+                texts.append(words)
+                size += len(words) + 1
         if texts:
-            yield flush(ids, texts)
+            yield from flush(ids, texts)
 
     return spread(docs.select(doc_id, text).filter(F.col(text).isNotNull())).mapInArrow(run, schema)
 
 
-def _each_block(docs: DataFrame, items: DataFrame, doc_id: str, item_id: str, text: str, item_text: str, want: str) -> DataFrame | None:
-    spark = docs.sparkSession
-    done = None
+def _each_block(docs: DataFrame, items: DataFrame, doc_id: str, item_id: str, text: str, item_text: str, find) -> DataFrame | None:
+    spark, done, shared = docs.sparkSession, None, []
+
+    def add():
+        part = _scan(docs, doc_id, text, list(shared), docs.schema[doc_id].dataType, items.schema[item_id].dataType, find)
+        shared.clear()
+        return part if done is None else done.unionByName(part)
+
     for block in item_blocks(items, item_id, item_text):
-        part = _scan(docs, doc_id, text, spark.sparkContext.broadcast(block), docs.schema[doc_id].dataType, items.schema[item_id].dataType, want)
-        done = part if done is None else done.unionByName(part)
-    return done
+        shared.append(spark.sparkContext.broadcast(block))
+        if len(shared) == BLOCKS:
+            done = add()
+    return add() if shared else done
 
 
 def _empty(docs: DataFrame, items: DataFrame, doc_id: str, item_id: str, rest: str) -> DataFrame:
     return docs.limit(0).select(doc_id).crossJoin(items.limit(0).select(item_id)).selectExpr(f"`{doc_id}`", f"`{item_id}`", *rest.split(", "))
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", item_text: str = "text") -> DataFrame:
-    """``doc_id``, ``item_id``, ``cover``: every document that holds at least COVER of an item's words.
+def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", item_text: str = "text", want: Want = Want()) -> DataFrame:  # noqa: B008
+    """``doc_id``, ``item_id``, ``words``: every document that holds enough of an item (see :class:`Want`) in one or two
+    running passages, and how many of the item's words they hold.
 
     Case, punctuation, blanks and width do not matter; an opening sentence that several items share does not
     count. Null and empty texts hold and leak nothing. An item of fewer than START words after that leaks
     nothing. Repeated pages and repeated items count each. Whole texts are read; a very long document is a
-    shard of its own. ``doc_id`` and ``item_id`` must have different names.
+    shard of its own. The corpus is read once for every BLOCKS * BLOCK_WORDS words of items. ``doc_id`` and
+    ``item_id`` must have different names.
     """
-    found = _each_block(docs, items, doc_id, item_id, text, item_text, "pairs")
+    found = _each_block(docs, items, doc_id, item_id, text, item_text, lambda block, texts: [(d, n, None, None, m) for d, n, m in leaking(block, texts, want)])
     if found is None:
-        return _empty(docs, items, doc_id, item_id, "CAST(NULL AS DOUBLE) AS cover")
-    return found.select(F.col("_doc").alias(doc_id), F.col("_item").alias(item_id), F.round("amount", 6).alias("cover"))
+        return _empty(docs, items, doc_id, item_id, "CAST(NULL AS INT) AS words")
+    return found.select(F.col("_doc").alias(doc_id), F.col("_item").alias(item_id), F.col("amount").alias("words"))
 
 
 def longest_matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", item_text: str = "text") -> DataFrame:
-    """For every item suffix with a verbatim match of at least 2 * START words: the longest one and a place of it."""
-    found = _each_block(docs, items, doc_id, item_id, text, item_text, "longest")
+    """For every item suffix with a verbatim match of at least 2 * START words: the longest ones with all their places."""
+    found = _each_block(docs, items, doc_id, item_id, text, item_text, lambda block, texts: [(d, n, i, j, m) for n, i, d, j, m in longest_of(block, texts)])
     if found is None:
         return _empty(docs, items, doc_id, item_id, "CAST(NULL AS INT) AS item_at, CAST(NULL AS INT) AS doc_at, CAST(NULL AS INT) AS words")
-    best = F.max_by(F.struct("_doc", "doc_at"), F.struct("amount", F.struct("_doc", "doc_at"))).alias("b")
-    out = found.groupBy("_item", "item_at").agg(best, F.max("amount").cast("int").alias("words"))
-    return out.select(F.col("_item").alias(item_id), "item_at", F.col("b._doc").alias(doc_id), F.col("b.doc_at").alias("doc_at"), "words")
+    found = materialize(found, "longest")
+    # a row per suffix of the items
+    best = found.groupBy("_item", "item_at").agg(F.max("amount").alias("amount"))
+    out = found.join(best, ["_item", "item_at", "amount"])
+    return out.select(F.col("_item").alias(item_id), "item_at", F.col("_doc").alias(doc_id), "doc_at", F.col("amount").alias("words"))
 
 
 def without_leaks(docs: DataFrame, leaks: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """The documents that leak nothing."""
+    """The documents that leak nothing by ``leaks``; those without an id stay."""
     return docs.join(leaks.select(doc_id).distinct(), doc_id, "left_anti")

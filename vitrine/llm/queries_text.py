@@ -43,14 +43,14 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p8_leaks(spark: SparkSession, sf: str) -> DataFrame:
-    """The same with the part of the item that the document holds."""
-    from vitrine.llm.leaks import find_leaks
+    """The same with the number of the item's words that the document holds: about half of them, or more."""
+    from vitrine.llm.leaks import PASSAGE, Want, find_leaks
 
-    return find_leaks(_read(spark, sf, "documents"), _read(spark, sf, "eval_items"))
+    return find_leaks(_read(spark, sf, "documents"), _read(spark, sf, "eval_items"), want=Want(PASSAGE, 0.48))
 
 
 def p8_longest(spark: SparkSession, sf: str) -> DataFrame:
-    """The longest verbatim match of every test suffix and a place of it."""
+    """The longest verbatim matches of every test suffix with all their places."""
     from vitrine.llm.leaks import longest_matches
 
     return longest_matches(_read(spark, sf, "documents"), _read(spark, sf, "eval_items"))
