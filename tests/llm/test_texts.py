@@ -185,6 +185,74 @@ def test_structure_is_kept(model, text, clean):
     assert markup.clean_texts([text], model) == [(clean, True)]
 
 
+@pytest.mark.parametrize(
+    ("text", "clean"),
+    [
+        ("&amp;amp;amp;amp;lt;b&amp;amp;amp;amp;gt;x", "x"),
+        (r"\textbf{a \emph{b} c} is here", "a b c is here"),
+        ("See the [sheet](https://a.example/lamp_(b)) now", "See the sheet now"),
+        ("<div>" * 90 + "soft" + "</div>" * 90, "soft"),
+        ("The sum $" + " + ".join(f"x_{k}^2" for k in range(200)) + "$ holds", "The sum $" + " + ".join(f"x_{k}^2" for k in range(200)) + "$ holds"),
+    ],
+)
+def test_nothing_is_too_deep_or_too_long(model, text, clean):
+    assert markup.clean_texts([text], model) == [(clean, True)]
+
+
+#: Written by hand from the manuals of the formats, not made by the generator: kind -> texts that hold it.
+WRITTEN = {
+    "html": ["The <em>Aurora</em> kettle boils fast", 'Buy <a title="shop" href="/k?x=1">here</a> today', "<p>First part.</p><p>Second part.</p>", "Line one<br>line two", '<img src="k.jpg" alt="kettle"> front view', "<dl><dt>Cord</dt><dd>two metres</dd></dl>", '<table border="1"><tr><td>Cord</td><td>2 m</td></tr></table>'],
+    "entity": ["Fish &amp; chips", "5 &times; 7 cm", "caf&eacute; cup", "it&#8217;s new", "10&nbsp;W"],
+    "escaped": ["&lt;b&gt;New&lt;/b&gt; kettle", "&amp;lt;i&amp;gt;light&amp;lt;/i&amp;gt;"],
+    "broken": ["A light <b>kettle without an end", "Some text</div> and more", "last item</li"],
+    "comment": ["Kettle <!-- internal note --> in blue", "<script>track(1 < 2);</script>Kettle"],
+    "markdown": ["# Aurora kettle\n\nBoils fast.", "It is **very** light", "Use `reset` twice", "Read [the guide](guide.html)", "> A fine kettle\n\nsays a buyer", "| Part | Size |\n|---|---|\n| Cord | 2 m |", "```\nmake tea\n```\n", "~~old~~ new"],
+    "wiki": ["== Care ==\nWipe it.", "The '''Aurora''' is made of [[steel]].", "{{Infobox|name=Aurora|power=2 kW}}", '{| class="t"\n|-\n| Cord || 2 m\n|}\n'],
+    "latex": [r"\section{Care} Wipe it.", r"It is \textbf{very} light", r"A gain of 20\% \& more", r"Energy $E = P \cdot t$ in total", r"\begin{itemize}\item one \item two\end{itemize}"],
+}
+PLAIN = ["Fish & chips", "7 < 9 and 9 > 7", "5*7*9 mm", "snake_case_name on the box", "$5 or less", "see {A} or [B]", "A | B | C", "~20 minutes", "C:\\temp\\file", "a^2 as typed", "* boils fast\n* light", "- one\n- two", "#1 choice", "100% wool, 50/50", "x = y", "rock 'n' roll", "10' x 12'", "e-mail: a_b@c.example", "Q&A", "2 ** 3"]
+
+
+def test_recall_per_kind_on_texts_written_by_hand(model):
+    missed = {kind: [t for t, (_, found) in zip(texts, markup.clean_texts(texts, model), strict=True) if not found] for kind, texts in WRITTEN.items()}
+    assert {k: v for k, v in missed.items() if v} == {}
+    wrong = [t for t, (_, found) in zip(PLAIN, markup.clean_texts(PLAIN, model), strict=True) if found]
+    assert len(wrong) <= 1, wrong
+
+
+def test_decoding_finds_the_largest_sum():
+    """Against all labellings of small trees that do not contradict themselves."""
+    import itertools
+
+    rng = np.random.default_rng(3)
+    for text in ("<pre><code>a<b>x</b></code></pre> *y*", "<p>**a `b`**</p> & _c_", "<code>*a* <i>b</i></code> ~ c", "<ul><li>a<li>b</ul>|", "<code><code>a &amp; b</code></code>"):
+        nodes = markup.parse(text)
+        whole = {i: min(i, n.pair) if n.pair >= 0 else i for i, n in enumerate(nodes)}
+        for _ in range(30):
+            odds = rng.normal(size=len(nodes))
+            best = -1e9
+            for labels in itertools.product((0, 1), repeat=len(nodes)):
+                if all(labels[i] == labels[w] for i, w in whole.items()) and not any(labels[i] and below_code(nodes, labels, whole, i) for i in range(len(nodes))):
+                    best = max(best, float(np.dot(labels, odds)))
+            markup.decode(nodes, odds)
+            got = [n.markup for n in nodes]
+            assert not any(got[i] and below_code(nodes, got, whole, i) for i in range(len(nodes)))
+            assert float(np.dot(got, odds)) == pytest.approx(best)
+
+
+def below_code(nodes, labels, whole, i):
+    """Is a node below code that is markup, but for code right below pre? Above a whole is what is above its first part."""
+    i = whole[i]
+    p, right_below = nodes[i].parent, True
+    while p >= 0:
+        p = whole[p]
+        code = nodes[p].kind == "tag" and nodes[p].name in ("pre", "code", "nowiki", "tt", "kbd", "samp")
+        if code and labels[p] and not (right_below and nodes[p].name == "pre" and nodes[i].name == "code"):
+            return True
+        p, right_below = nodes[p].parent, False
+    return False
+
+
 def test_fields_of_a_table(spark):
     df = frame(spark, [("a", "<b>x</b> one", None, 1), ("b", None, "", 2), ("b", "plain " * 50_000, "it&#39;s", 3)], "id string, d string, u string, d_clean int")
     got = markup.clean_markup(df, "id", ["d", "u"]).collect()

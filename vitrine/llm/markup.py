@@ -2,11 +2,12 @@
 respects the tree, then clean text that keeps headings, lists, tables, code and formulas.
 
 Every place that could be markup becomes a node: HTML tags, entities and comments, Markdown, wiki and LaTeX
-constructs, and also every bare sign. Features are its kind, shape, surroundings, attribute tokens, depth,
-siblings and the density of markup in its subtree. The trees are trained here on texts put together from
-markup constructs and ordinary uses of the same signs (:data:`TRAIN_TEXTS` of them). The decoding picks the
-most likely labels under which nothing inside code is markup and parts (rows, items, closing tags) are markup
-exactly if their whole is.
+constructs, and also every bare sign. An HTML element reaches from its tag to the tag that closes it; braces,
+brackets and elements nest as deep as the text has them. Features are the node's kind, shape and surroundings, the
+tokens of its attributes, its depth, statistics of its siblings, and the density of nodes and letters in its
+subtree. The trees are trained here on texts put together from markup constructs and ordinary uses of the same
+signs (:data:`TRAIN_TEXTS` of them). The decoding finds the labels with the largest sum of log-odds, from the leaves
+to the roots, under which nothing inside code is markup and the parts of one whole share its label.
 """
 
 from __future__ import annotations
@@ -27,9 +28,7 @@ from vitrine.llm.boost import BoostedTrees
 from vitrine.scratch import spread
 
 #: Texts that the classifier is trained on.
-TRAIN_TEXTS = 4_000
-#: Rounds of undoing escapes that a cleaned text may need.
-ESCAPES = 3
+TRAIN_TEXTS = 6_000
 #: Node features of so many fields are scored at once.
 BATCH_FIELDS = 2_000
 
@@ -38,6 +37,8 @@ TAGS = frozenset(
     "a abbr address article aside audio b blockquote body br button caption center cite code col colgroup dd del details dfn div dl dt em figcaption figure font footer form h1 h2 h3 h4 h5 h6 head header hr html i iframe img input ins kbd label li link main mark meta nav nobr nowiki object ol option p pre q ref s samp script section select small source span strike strong style sub summary sup table tbody td textarea tfoot th thead time title tr tt u ul var video wbr".split()
 )
 VOID = frozenset("br hr img input meta link col source wbr".split())
+#: Attribute names of HTML.
+ATTRIBUTES = ("class", "id", "style", "href", "src", "alt", "title", "width", "height", "align", "border", "color", "size", "face", "lang", "dir", "name", "target", "rel", "type", "value", "colspan", "rowspan", "cellpadding", "cellspacing", "bgcolor")
 BLOCK = frozenset("p div section article header footer table ul ol dl tr blockquote figure address main aside nav form center caption br hr".split())
 #: Common commands of LaTeX.
 COMMANDS = frozenset("item section subsection subsubsection chapter paragraph emph textbf textit texttt textsc underline href url frac sqrt cdot times mathrm mathbf text label ref cite footnote caption centering hline par newline noindent today LaTeX".split())
@@ -52,11 +53,11 @@ _NODE = re.compile(
   | (?P<raw><(?P<rawname>script|style)\b[^<>]*>.*?</(?P=rawname)\s*>)
   | (?P<tag></?[A-Za-z][A-Za-z0-9:-]*(?:\s[^<>]*)?/?>?)
   | (?P<entity>&(?:\#\d{1,7}|\#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});?)
-  | (?P<fence>(?:^|(?<=\n))\s*```[^\n`]*\n.*?(?:```|\Z))
+  | (?P<fence>```[^\n`]*\n.*?(?:```|\Z))
   | (?P<code>(?<!`)`[^`\n]+`(?!`))
-  | (?P<link>!?\[[^\[\]\n]*\]\([^()\s]*(?:\s"[^"\n]*")?\))
+  | (?P<link>!?\[[^\[\]\n]*\]\()
   | (?P<wikilink>\[\[[^\[\]\n]+\]\])
-  | (?P<template>\{\{[^{}]*\}\})
+  | (?P<template>\{\{)
   | (?P<wikitable>\{\|.*?(?:\n\|\}|\Z))
   | (?P<wikihead>^(?P<eq>={2,6})[ ]*[^=\n][^\n]*?(?P=eq)[ ]*$)
   | (?P<head>^\#{1,6}[ ]+\S[^\n]*$)
@@ -70,76 +71,137 @@ _NODE = re.compile(
   | (?P<env>\\(?:begin|end)\{[A-Za-z*]+\})
   | (?P<display>\\\[.*?\\\]|\\\(.*?\\\))
   | (?P<verb>\\verb(?P<vd>[^\sA-Za-z]).*?(?P=vd))
-  | (?P<command>\\[A-Za-z]+\*?(?:\[[^\]\n]*\])?(?:\{[^{}]*\})*)
+  | (?P<command>\\[A-Za-z]+\*?(?:\[[^\]\n]*\])?)
   | (?P<escape>\\[%&$\#_{}~^,;!\\])
-  | (?P<math>\$[^$\n]{1,300}\$)
+  | (?P<math>\$[^$\n]+\$)
   | (?P<tie>(?<=\S)~(?=\S))
   | (?P<bullet>^[ ]*(?:[-*+•‣]|\d{1,3}[.)])[ ]+)
   | (?P<sign>[<>&*_\#$~^{}\[\]|=\\`]+)
     """,
     re.X | re.S | re.M,
 )
-_OPAQUE = frozenset("comment raw fence code verb display math".split())
+#: Where a node can begin; the pattern above is tried only there.
+_BEGIN = re.compile(r"[<>&`!\[\]{}|*_~'\\$\#=^]|(?:^|(?<=\n))(?:[ ]*(?:[-+•‣]|\d{1,3}[.)])[ ]|-{3}|[ ]+[|*])")
+_SIGNS = re.compile(r"[<>&`\[\]{}|*_~'\\$\#=^]|(?:^|\n)-{3}")
 _INNER = frozenset("wikihead head row quote strong emph strike wikiemph link wikilink wikitable template command".split())
 _PART = frozenset("row under".split())
+_CODE = frozenset("pre code nowiki tt kbd samp".split())
+_TAG_NAME, _COMMAND_NAME = re.compile(r"</?([A-Za-z0-9:-]+)"), re.compile(r"\\([A-Za-z]+)")
+_ATTRIBUTE = re.compile(r"\s([A-Za-z][A-Za-z0-9:-]*)\s*(=\s*[\"'])?")
+_LETTERS = re.compile(r"[^\W\d_]+")
 
 
 class Node:
-    __slots__ = ("kind", "start", "end", "name", "closing", "depth", "parent", "kids", "pair", "siblings", "markup")
+    """A candidate. ``tail`` is where its subtree ends, ``args`` the ranges of its braces."""
+
+    __slots__ = ("kind", "start", "end", "name", "closing", "depth", "parent", "kids", "pair", "siblings", "place", "tail", "args", "markup")
 
     def __init__(self, kind: str, start: int, end: int, depth: int, parent: int) -> None:
         self.kind, self.start, self.end, self.depth, self.parent = kind, start, end, depth, parent
-        self.name, self.closing, self.kids, self.pair, self.siblings, self.markup = "", False, [], -1, 0, False
+        self.name, self.closing, self.kids, self.pair, self.siblings, self.place, self.tail, self.args, self.markup = "", False, [], -1, 0, 0, end, (), False
+
+
+def _closed(text: str, at: int, hi: int, left: str, right: str, stop: str = "") -> int:
+    """The place after the ``right`` that closes the ``left`` at ``at``, or -1; none of ``stop`` may lie between."""
+    depth = 0
+    while at < hi:
+        c = text[at]
+        if c == left:
+            depth += 1
+        elif c == right:
+            depth -= 1
+            if not depth:
+                return at + 1
+        elif c in stop:
+            return -1
+        at += 1
+    return -1
+
+
+def _extent(text: str, kind: str, m: re.Match, hi: int) -> tuple[str, int, tuple[tuple[int, int], ...]]:
+    """(kind, end, ranges of the arguments) of a match; what does not close is a bare sign."""
+    end = m.end()
+    if kind == "command":
+        args = []
+        while end < hi and text[end] == "{" and (to := _closed(text, end, hi, "{", "}")) > 0:
+            args.append((end + 1, to - 1))
+            end = to
+        return kind, end, tuple(args)
+    if kind == "template":
+        to = _closed(text, m.start(), hi, "{", "}")
+        return (kind, to, ()) if to > 0 and text[to - 2] == "}" else ("sign", end, ())
+    if kind == "link":
+        to = _closed(text, end - 1, hi, "(", ")", "\n")
+        inside = text[end : to - 1]
+        if to > 0 and re.fullmatch(r'\S*(?:\s"[^"]*")?', inside):
+            return kind, to, ((text.index("[", m.start()) + 1, end - 2),)
+        return "sign", m.start() + (2 if text[m.start()] == "!" else 1), ()
+    return kind, end, ()
 
 
 def parse(text: str) -> list[Node]:
-    """The nodes in order. Spans nest; HTML tags nest by their pairs."""
+    """The nodes in order, parents before their parts. Spans nest; HTML tags nest by their pairs."""
     nodes: list[Node] = []
-
-    def scan(lo: int, hi: int, depth: int, parent: int) -> None:
+    if not _SIGNS.search(text):
+        return nodes
+    todo = [(0, len(text), 0, -1)]
+    while todo:
+        lo, hi, depth, parent = todo.pop()
         open_: list[int] = []
+        named: dict[str, list[int]] = {}  # places in open_ of the open elements of each name
         at = lo
         while at < hi:
-            m = _NODE.search(text, at, hi)
+            begin = _BEGIN.search(text, at, hi)
+            if begin is None:
+                break
+            m = _NODE.match(text, begin.start(), hi)
             if m is None:
-                return
+                at = begin.start() + 1
+                continue
             kind = m.lastgroup if m.lastgroup in _NUM else next(k for k in KINDS if m.group(k) is not None)
+            kind, end, args = _extent(text, kind, m, hi)
             top = open_[-1] if open_ else parent
-            node = Node(kind, m.start(), m.end(), depth + len(open_), top)
+            node = Node(kind, m.start(), end, depth + len(open_), top)
+            node.args = args
             index = len(nodes)
             nodes.append(node)
             if top >= 0:
+                node.place = len(nodes[top].kids)
                 nodes[top].kids.append(index)
-            body = m.group(kind)
+            body = text[m.start() : end]
             if kind == "tag":
                 node.closing = body.startswith("</")
-                node.name = re.match(r"</?([A-Za-z0-9:-]+)", body).group(1).lower()
+                node.name = _TAG_NAME.match(body).group(1).lower()
                 if node.closing:
-                    for k in range(len(open_) - 1, -1, -1):
-                        if nodes[open_[k]].name == node.name:
-                            node.pair, nodes[open_[k]].pair = open_[k], index
-                            node.depth = nodes[open_[k]].depth
-                            del open_[k:]
-                            break
-                elif body.endswith(">") and not body.endswith("/>") and node.name in TAGS and node.name not in VOID and len(open_) < 64:
+                    if named.get(node.name):
+                        k = named[node.name][-1]
+                        node.pair, nodes[open_[k]].pair = open_[k], index
+                        node.depth, nodes[open_[k]].tail = nodes[open_[k]].depth, end
+                        for i in open_[k:]:
+                            named[nodes[i].name].pop()
+                        del open_[k:]
+                elif body.endswith(">") and not body.endswith("/>") and node.name in TAGS and node.name not in VOID:
+                    named.setdefault(node.name, []).append(len(open_))
                     open_.append(index)
             elif kind == "env":
                 node.name = body[body.index("{") + 1 : -1]
                 node.closing = body.startswith("\\end")
             elif kind == "command":
-                node.name = re.match(r"\\([A-Za-z]+)", body).group(1)
+                node.name = _COMMAND_NAME.match(body).group(1)
             elif kind == "raw":
                 node.name = m.group("rawname")
             elif kind == "entity":
                 node.name = body.strip("&;")
-            at = m.end()
-            if kind in _INNER and depth < 8:
-                lead = len(body) - len(body.lstrip(" ![*_~'#=>|{\\"))
-                inner = (m.start() + max(lead, 1), m.end())
-                if inner[0] < inner[1] - 1:
-                    scan(inner[0], inner[1] - 1, depth + len(open_) + 1, index)
-
-    scan(0, len(text), 0, -1)
+            at = end
+            if kind in _INNER:
+                if kind == "command":
+                    inner = args
+                elif kind == "link":
+                    inner = args[:1]
+                else:
+                    lead = len(body) - len(body.lstrip(" ![*_~'#=>|{"))
+                    inner = ((m.start() + max(lead, 1), end - 1),)
+                todo += [(i, j, node.depth + 1, index) for i, j in inner if i < j]
     seen: dict[tuple[int, str], int] = {}
     for n in nodes:
         seen[(n.parent, n.kind)] = seen.get((n.parent, n.kind), 0) + 1
@@ -149,6 +211,8 @@ def parse(text: str) -> list[Node]:
 
 
 _ENTITIES = frozenset(k.rstrip(";") for k in html.entities.html5)
+#: Features besides the kind: of the node, of its attributes, of its siblings, of its subtree.
+WIDTH = len(KINDS) + 35
 
 
 def _class(c: str) -> float:
@@ -157,56 +221,95 @@ def _class(c: str) -> float:
 
 
 def features(text: str, nodes: list[Node]) -> np.ndarray:
-    out = np.zeros((len(nodes), len(KINDS) + 22))
-    total = max(len(text), 1)
+    out = np.zeros((len(nodes), WIDTH))
+    if not nodes:
+        return out
+    total, base = len(text), len(KINDS)
+    # nodes of every subtree, counted from the last node to the first
+    below, inside_chars = [0] * len(nodes), [0] * len(nodes)
+    for r in range(len(nodes) - 1, -1, -1):
+        p = nodes[r].parent
+        if p >= 0:
+            below[p] += below[r] + 1
+            inside_chars[p] += nodes[r].end - nodes[r].start
+    pairs: dict[int, int] = {}
+    for n in nodes:
+        if n.pair >= 0:
+            pairs[n.parent] = pairs.get(n.parent, 0) + 1
+    tops = sum(n.parent < 0 for n in nodes)
     for r, n in enumerate(nodes):
         body = text[n.start : n.end]
-        out[r, _NUM[n.kind]] = 1.0
+        size = n.end - n.start
         inside = body[1:-1]
-        letters = sum(c.isalpha() for c in body)
-        before, after = text[n.start - 1 : n.start], text[n.end : n.end + 1]
-        line = text.rfind("\n", 0, n.start) + 1
-        kids = sum(text[nodes[k].end - 1] != "" for k in n.kids)
-        out[r, len(KINDS) :] = (
-            min(len(body), 400),
-            _class(before),
+        after = text[n.end : n.end + 1]
+        known = unknown = quoted = 0
+        flags = [0.0, 0.0, 0.0, 0.0]
+        if n.kind == "tag" and not n.closing:
+            for name, value in _ATTRIBUTE.findall(body):
+                low = name.lower()
+                if low in ATTRIBUTES:
+                    known += 1
+                    flags[min(ATTRIBUTES.index(low), 3)] = 1.0
+                else:
+                    unknown += 1
+                quoted += bool(value)
+        tree = n.tail - n.start
+        up = nodes[n.parent] if n.parent >= 0 else None
+        brothers = len(up.kids) if up is not None else tops
+        letters = sum(map(len, _LETTERS.findall(body)))
+        row = out[r]
+        row[_NUM[n.kind]] = 1.0
+        row[base:] = (
+            min(size, 400),
+            _class(text[n.start - 1] if n.start else ""),
             _class(after),
-            float(n.start == line),
-            float(text[n.end : n.end + 1] in ("", "\n")),
+            float(not n.start or text[n.start - 1] == "\n"),
+            float(after in ("", "\n")),
             float(body.endswith(">")),
             float(n.name in TAGS) if n.kind == "tag" else 2.0 * float(n.name in COMMANDS),
             float(n.name in _ENTITIES or n.name.startswith("#")),
             float(body.endswith(";")),
             float(n.closing),
             float(n.pair >= 0),
-            float(len(re.findall(r"\s[A-Za-z-]+=", body)) if n.kind == "tag" else 0),
             float(n.depth),
-            min(n.siblings, 20),
-            min(kids, 20),
-            letters / max(len(body), 1),
+            letters / max(size, 1),
             _class(inside[:1]),
             _class(inside[-1:]),
             float("\\" in inside or "^" in inside or ("{" in inside and n.kind != "sign")),
             float(body.count("|")),
             float("=" in inside) + 2.0 * float("+" in inside),
+            # attribute tokens
+            known,
+            unknown,
+            quoted,
+            *flags,
+            # siblings
+            min(n.siblings, 20),
+            min(n.place, 20),
+            min(brothers, 40),
+            pairs.get(n.parent, 0) / max(brothers, 1),
+            _NUM[up.kind] if up is not None else -1.0,
+            float(up.pair >= 0) if up is not None else -1.0,
+            # the subtree
+            min(len(n.kids), 20),
+            min(below[r] / max(tree, 1) * 100, 50.0),
+            inside_chars[r] / max(tree, 1),
             min(len(nodes) / total * 100, 50.0),
         )
     return out
 
 
 def decode(nodes: list[Node], odds: np.ndarray) -> None:
-    """Sets ``markup`` of each node: the most likely labels that do not contradict the tree."""
-    dead = np.zeros(len(nodes), dtype=bool)
-    code = np.zeros(len(nodes), dtype=bool)
-    for i, n in enumerate(nodes):  # parents come first
-        p = n.parent
-        if p >= 0:
-            dead[i] = dead[p] or (code[p] and not (n.closing and n.pair == p) and not (nodes[p].name == "pre" and n.name == "code"))
-        code[i] = n.kind == "tag" and n.name in ("pre", "code", "nowiki", "tt", "kbd", "samp") and not n.closing and odds[i] > 0
-    groups: dict[object, list[int]] = {}
+    """Sets ``markup`` of each node: of all labellings that do not contradict the tree, the one with the largest sum of
+    log-odds. Nothing below code that is markup is markup (but for a ``code`` right below ``pre``), and the parts of one
+    whole (tag and closing tag, rows of a table, an environment with its items) share a label.
+
+    The sum is made from the leaves to the roots: a whole is worth its own odds with its parts as markup, and what
+    lies below adds its best; code adds nothing from below. Bullets never are markup.
+    """
+    group: list[int] = []
+    first: dict[object, int] = {}
     for i, n in enumerate(nodes):
-        if dead[i]:
-            continue
         if n.pair >= 0:
             key: object = ("pair", min(i, n.pair))
         elif n.kind in _PART:
@@ -215,11 +318,43 @@ def decode(nodes: list[Node], odds: np.ndarray) -> None:
             key = ("env", n.parent)
         else:
             key = i
-        groups.setdefault(key, []).append(i)
-    for members in groups.values():  # the parts of one whole share a label
-        value = float(np.sum(odds[members])) > 0
-        for i in members:
-            nodes[i].markup = value
+        group.append(first.setdefault(key, i))
+    own = np.zeros(len(nodes))
+    for i, g in enumerate(group):
+        own[g] += -1e9 if nodes[i].kind == "bullet" else odds[i]
+    code = [n.kind == "tag" and n.name in _CODE and not n.closing for n in nodes]
+
+    def above(g: int) -> int:
+        """The group over a group. A closing tag lies beside what it closes."""
+        p = nodes[g].parent
+        return -1 if p < 0 else group[p]
+
+    free = [0.0] * len(nodes)  # the best of what lies below each group, if it may be markup
+    inner = [0.0] * len(nodes)  # of that, what stays allowed below code
+    as_markup = [False] * len(nodes)
+    for g in range(len(nodes) - 1, -1, -1):
+        if group[g] != g:
+            continue
+        yes = own[g] + (inner[g] if code[g] else free[g])
+        as_markup[g] = yes > free[g]
+        best = max(yes, free[g])
+        up = above(g)
+        if up >= 0 and up != g:
+            free[up] += best
+            if nodes[up].name == "pre" and nodes[g].name == "code":
+                inner[up] += max(own[g] + inner[g], 0.0)
+    inside = [False] * len(nodes)  # below code that is markup
+    for g in range(len(nodes)):
+        if group[g] == g:
+            up, dead = above(g), False
+            if up >= 0 and up != g:
+                below_code = code[up] and nodes[up].markup
+                inside[g] = dead = inside[up] or below_code
+                if below_code and not inside[up] and nodes[up].name == "pre" and nodes[g].name == "code":
+                    dead, as_markup[g] = False, own[g] + inner[g] > 0
+            nodes[g].markup = as_markup[g] and not dead
+        else:
+            nodes[g].markup = nodes[group[g]].markup
 
 
 # --- training ------------------------------------------------------------------------------------------------
@@ -281,6 +416,11 @@ def _made_text(rng: random.Random) -> list[tuple[str, bool]]:
             lambda: f"\\textbf{{{some()}}}",
             lambda: f"\\verb|{some(1, 1)}|",
             lambda: r"\[ V = \frac{\pi d^2 h}{4} \]",
+            lambda: f"\\textbf{{{some(1, 2)} \\emph{{{some(1, 2)}}} {some(1, 2)}}}",
+            lambda: f"[**{some(1, 2)}**](https://a.example/x_({rng.randint(1, 9)}))",
+            lambda: f"{{{{{some(1, 1)}|{{{{{some(1, 1)}}}}}|{some(1, 2)}}}}}",
+            lambda: f"<div><div><p>{some()}</p><span>{some(1, 2)}</span></div></div>",
+            lambda: "$" + " + ".join(f"x_{{{k}}}^2" for k in range(rng.randint(2, 90))) + "$",
             lambda: rng.choice([r"$P = U \cdot I$", r"$50\,\mathrm{W}$", "$x^2$", "$E = mc^2$", r"$a_1 + b$", r"\(a^2\)"]),
             lambda: rng.choice([r"15\%", r"energy \& time", r"60\,cm~wide", r"5~kg", r"\#1"]),
         ]
@@ -351,7 +491,7 @@ def classifier(texts: int = TRAIN_TEXTS, seed: int = 11) -> BoostedTrees:
         rows.append(features(text, nodes))
         labels += [0.0 if n.kind == "bullet" else float(marks[n.start : n.end].mean() > 0.5) for n in nodes]
     x, y = np.concatenate(rows), np.array(labels)
-    return BoostedTrees().fit(x, y)
+    return BoostedTrees(trees=80, depth=5).fit(x, y)
 
 
 # --- rendering -----------------------------------------------------------------------------------------------
@@ -414,11 +554,12 @@ def render(text: str, nodes: list[Node]) -> str:
         if n.kind == "verb":
             return "`" + body[6:-1] + "`"
         if n.kind == "link":
-            return body[body.index("[") + 1 : body.index("](")]
+            return span(*n.args[0], n.kids)
         if n.kind == "wikilink":
             return body[2:-2].rsplit("|", 1)[-1]
         if n.kind == "template":
-            head, *rest = body[2:-2].split("|")
+            parts = [k for k in n.kids if nodes[k].kind != "sign"]
+            head, *rest = span(n.start + 2, n.end - 2, parts).split("|")
             return f"{head}: {'; '.join(p.replace('=', ': ', 1) for p in rest)}" if rest else head
         if n.kind == "wikitable":
             rows = [r.strip("|! ") for r in re.split(r"\n\|-[^\n]*\n?|\n", body.removesuffix("|}"))[1:]]
@@ -445,7 +586,7 @@ def render(text: str, nodes: list[Node]) -> str:
         if n.kind == "command":
             if n.name == "item":
                 return "\n- "
-            arg = re.findall(r"\{([^{}]*)\}", body)
+            arg = [span(i, j, [k for k in n.kids if nodes[k].start >= i and nodes[k].end <= j]) for i, j in n.args]
             level = {"chapter": 1, "section": 1, "subsection": 2, "subsubsection": 3}.get(n.name)
             return f"\n{'#' * level} {arg[-1]}\n" if level and arg else " ".join(arg)
         if n.kind == "escape":
@@ -461,7 +602,8 @@ def render(text: str, nodes: list[Node]) -> str:
             if out and out[-1]:
                 out[-1] = "# " + out[-1]
             continue
-        line = "".join(c if c.isprintable() else " " for c in line)
+        if not line.isprintable():
+            line = "".join(c if c.isprintable() else " " for c in line)
         out.append(line.rstrip() if fenced else " ".join(line.split()))
     joined = re.sub(r"(?<=\|)\n\n+(?=\|)", "\n", "\n".join(out))
     return re.sub(r"\n{3,}", "\n\n", re.sub(r"\n\s*\n(?=- )", "\n", joined)).strip()
@@ -481,10 +623,11 @@ def judge(texts: list[str | None], model: BoostedTrees) -> list[tuple[bool, list
 
 
 def clean_texts(texts: list[str | None], model: BoostedTrees) -> list[tuple[str | None, bool]]:
-    """(clean text, did it hold markup?); escaped markup is undone and cleaned in turn."""
+    """(clean text, did it hold markup?); escaped markup is undone and cleaned in turn, however often it was escaped:
+    every round makes the text shorter, so there is an end."""
     result: list[tuple[str | None, bool]] = [(t, False) for t in texts]
     todo = list(range(len(texts)))
-    for _ in range(ESCAPES):
+    while todo:
         again = []
         for i, (found, nodes) in zip(todo, judge([result[i][0] for i in todo], model), strict=True):
             text = result[i][0]
@@ -493,13 +636,11 @@ def clean_texts(texts: list[str | None], model: BoostedTrees) -> list[tuple[str
             escaped = found and any(n.markup and n.kind == "entity" and n.name.lower() in ("lt", "gt", "amp", "#60", "#62", "#38") for n in nodes)
             if found:
                 result[i] = (render(text, nodes), True)
-                if escaped:
+                if escaped and len(result[i][0]) < len(text):
                     again.append(i)
             elif not result[i][1]:
                 result[i] = (render(text, []), False)
         todo = again
-        if not todo:
-            break
     return result
 
 
