@@ -444,7 +444,7 @@ def test_piles_and_honest_pages(spark):
     keys = "cheap sale buy lamp lamp lamp online deal".split()
     pile = lambda sep, n=150: sep.join(rng.choice(keys) for _ in range(n))
     docs = {f"prose{i}": prose(rng, rng.randint(1, 25)) for i in range(200)}
-    docs |= {"piled": pile(" "), "menu": pile(" > "), "tags": "#" + pile(" #"), "lines": pile("\n"), "half": prose(rng, 2) + "\n" + pile(", ", 200)}
+    docs |= {"piled": pile(" "), "menu": pile(" > "), "tags": "#" + pile(" #"), "lines": pile("\n"), "semicolons": pile("; "), "half": prose(rng, 2) + "\n" + pile(", ", 200)}
     docs["links"] = "\n".join(f"lamp {k} - https://x{rng.randint(1, 9999)}.example/{rng.randint(1, 9999)}" for k in range(40))
     docs["stuffed"] = " ".join(f"Our lamp is the best lamp for every lamp buyer. Buy lamp {rng.choice(keys)} lamp, lamp and more lamp." for _ in range(12))
     honest = {
@@ -459,7 +459,7 @@ def test_piles_and_honest_pages(spark):
     df = frame(spark, [(k, t, rng.choice(["en", None]), 1) for k, t in docs.items()] + [("piled", docs["piled"], "en", 1)], "doc_id string, text string, lang string, spam int")
     got = spam.find_piles(df, "doc_id", "text", "lang").collect()
     assert len(got) == len(docs) + 1
-    assert Counter(r.doc_id for r in got if r.spam) == {"piled": 2, "menu": 1, "tags": 1, "lines": 1, "half": 1, "links": 1, "stuffed": 1}
+    assert Counter(r.doc_id for r in got if r.spam) == {"piled": 2, "menu": 1, "tags": 1, "lines": 1, "semicolons": 1, "half": 1, "links": 1, "stuffed": 1}
     assert spam.find_piles(df.limit(0), "doc_id", "text", "lang").count() == 0
 
 

@@ -3,8 +3,8 @@
 A text is cut into pieces at line ends and sentence ends; runs of pieces of one kind (closed by sentence
 punctuation or not) form blocks, long runs are cut into blocks of bounded length, and every block is
 compressed on its own. Its ratio is divided by what sentence blocks of the same language and length reach in
-the whole collection. A block is a pile if that quotient is low and a confirmation holds: hardly any sentence
-or statement punctuation outside links. A block of sentences is one only if the quotient is extreme (keywords
+the whole collection. A block is a pile if that quotient is extreme, or if it is low and a confirmation holds: hardly
+any sentence or statement punctuation outside links. A block of sentences is one only if the quotient is extreme (keywords
 stuffed into sentence frames), or if it is extreme with all repetitions and what is repeated is redundant
 itself (a few stuffed sentences said again and again). A document is spam if piles make up its larger part.
 """
@@ -24,7 +24,9 @@ from vitrine.scratch import materialize, spread
 LINE_CHARS = 300
 #: Longer runs are cut into blocks of at most this many characters.
 BLOCK_CHARS = 2_000
-#: A pile compresses to less than this part of what sentences of its length and language compress to.
+#: A block that compresses to less than this part of what sentences of its length and language compress to is a pile.
+EXTREME = 0.62
+#: So is one below this part that has few statement marks.
 REDUNDANT = 0.89
 #: Sentences are a pile, marks or not, if they compress to less than this part even when repeated ones count once,
 #: or with all repetitions if, counted once, they still are below REDUNDANT and tell words again as below.
@@ -162,7 +164,7 @@ def find_piles(docs: DataFrame, doc_id: str, text: str, lang: str) -> DataFrame:
     judged = judged.join(again, ["_lang", "_whole_size"], "left").join(again_size, "_whole_size", "left")
     usual = F.coalesce("_mean", "_mean_size", "_mean_all", F.lit(0.7))
     usual_whole = F.coalesce("_again", "_again_size", "_mean_all", F.lit(0.7))
-    piled = ~F.col("sentence") & (F.col("ratio") < REDUNDANT * usual) & (F.col("marks") < MARKS)
+    piled = ~F.col("sentence") & ((F.col("ratio") < EXTREME * usual) | ((F.col("ratio") < REDUNDANT * usual) & (F.col("marks") < MARKS)))
     repeated = (F.col("whole") < STUFFED * usual_whole) & (F.col("ratio") < REDUNDANT * usual) & (F.col("again") > TOLD_AGAIN)
     pile = piled | (F.col("sentence") & ((F.col("ratio") < STUFFED * usual) | repeated))
     shares = judged.groupBy("_row").agg(F.sum("chars").alias("_chars"), F.sum(F.when(pile, F.col("chars")).otherwise(0)).alias("_piled"))
