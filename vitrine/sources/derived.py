@@ -29,8 +29,9 @@ def fingerprint(spark: SparkSession, paths: Sequence[str]) -> str:
     return seen.hexdigest()
 
 
-def derived(spark: SparkSession, name: str, inputs: Sequence[str], build: Callable[[], DataFrame], bucket_by: str | None = None) -> DataFrame:
-    """The table ``name`` of ``inputs``: read if it is there, else built, written and read. It is removed with the session."""
+def derived(spark: SparkSession, name: str, inputs: Sequence[str], build: Callable[[], DataFrame], bucket_by: str | None = None, write: Callable[[DataFrame, str], None] | None = None) -> DataFrame:
+    """The table ``name`` of ``inputs``: read if it is there, else built, written (by ``write`` if it is given) and read.
+    It is removed with the session."""
     place = f"{shared_dir(spark)}/vitrine-{name}-{fingerprint(spark, inputs)[:24]}"
     target, fs = _fs(spark, place)
     if not fs.exists(target):
@@ -38,7 +39,10 @@ def derived(spark: SparkSession, name: str, inputs: Sequence[str], build: Callab
         df = build()
         if bucket_by:
             df = df.repartition(bucket_by).sortWithinPartitions(bucket_by)
-        df.write.option("compression", "zstd").parquet(draft)
+        if write:
+            write(df, draft)
+        else:
+            df.write.option("compression", "zstd").parquet(draft)
         source, _ = _fs(spark, draft)
         if not fs.exists(target):
             fs.rename(source, target)
