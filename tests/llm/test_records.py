@@ -40,7 +40,7 @@ def topn_rows():
 def test_top_n_equals_brute_force(spark):
     rows = topn_rows()
     df = frame(spark, rows, "g string, p string, s double, b int").withColumn("rank", F.lit("clash"))
-    got = topn.top_n_per_group(df, ["g"], "p", "s", ["b"], n=5, row_group_bytes=2_000)
+    got = topn.top_n_per_group(df, ["g"], "p", "s", ["b"], n=5, row_group_rows=100)
     assert got.columns == ["g", "p", "s", "b", "rank_in_group"]
     assert {(r.g, r.p, r.rank_in_group) for r in got.collect()} == best(rows, 5)
 
@@ -61,9 +61,33 @@ def test_top_n_skips_row_groups(spark, tmp_path):
     raw = bytearray(file.read_bytes())
     raw[meta.data_page_offset : meta.data_page_offset + meta.total_compressed_size] = b"\xff" * meta.total_compressed_size
     file.write_bytes(bytes(raw))
-    kind = spark.createDataFrame([], "g string, p string, s double").schema
-    got = topn.top_n_from_layout(kind, spark, f"file://{path}", ["g"], "p", "s", [], 3)
+    layout = spark.read.schema("g string, p string, s double").parquet(f"file://{path}")
+    got = topn.top_n_from_layout(layout, ["g"], "p", "s", [], 3)
     assert sorted(r.p for r in got.collect()) == ["p0000", "p0001", "p0002"]
+    assert [(r.row_groups_read, r.row_groups_skipped) for r in topn.skips(got).collect()] == [(1, 1)]
+
+
+def test_top_n_layout_is_kept_and_skips_most_row_groups(spark, tmp_path):
+    rows = [(f"g{i % 5}", f"p{i}", float(i)) for i in range(20_000)]
+    frame(spark, rows, "g string, p string, s double").write.parquet(f"{tmp_path}/in")
+    df = spark.read.parquet(f"{tmp_path}/in")
+    call = {"groups": ["g"], "item": "p", "score": "s", "n": 3, "row_group_rows": 200, "inputs": [f"{tmp_path}/in"]}
+    told = topn.skips(topn.partial_top_n(df, **call))
+    one = {(r.file, r.row_groups_read) for r in told.collect()}
+    assert told.selectExpr("sum(row_groups_skipped) > 10 * sum(row_groups_read) AS most").first().most
+    assert {(r.file, r.row_groups_read) for r in topn.skips(topn.partial_top_n(df, **call)).collect()} == one  # the same files
+    assert {(r.g, r.p) for r in topn.top_n_per_group(df, **call).collect()} == {(f"g{i % 5}", f"p{i}") for i in range(20_000 - 15, 20_000)}
+
+
+def test_top_n_rows_in_any_order():
+    rng = random.Random(9)
+    rows = [(f"g{rng.randint(0, 3)}", f"p{rng.randint(0, 60)}", rng.random()) for _ in range(3000)]
+    best_ = topn._Best(4)
+    for g, p, s in rows:
+        best_.add((g,), p, (-s, False, p.encode()), (g, p, s))
+    best_.settle({(g,) for g, *_ in rows})
+    want = best([(g, p, s, None) for g, p, s in rows], 4)
+    assert {(g, p) for g, p, _ in best_.rows()} == {(g, p) for g, p, _ in want}
 
 
 def test_top_n_of_nothing(spark):

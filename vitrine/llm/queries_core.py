@@ -10,13 +10,31 @@ def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{table}.parquet")
 
 
+_P1 = {"groups": ["ranking", "query_id"], "item": "product_id", "score": "score", "ties": ["best_source_rank"], "n": 10}
+
+
+def _p1_rows(spark: SparkSession, sf: str) -> DataFrame:
+    hybrid = _read(spark, sf, "candidates").select(F.lit("hybrid").alias("ranking"), "query_id", "product_id", F.col("rrf_score").alias("score"), "best_source_rank")
+    models = _read(spark, sf, "predictions").select(F.col("model_id").alias("ranking"), "query_id", "product_id", "score", F.lit(None).cast("int").alias("best_source_rank"))
+    return hybrid.unionByName(models)
+
+
+def _p1_inputs(sf: str) -> list[str]:
+    return [f"{sf}/candidates.parquet", f"{sf}/predictions.parquet"]
+
+
 def p1_rankings(spark: SparkSession, sf: str) -> DataFrame:
     """Ten best products of every query of candidates and of every model and query of predictions, with rank."""
     from vitrine.llm.topn import top_n_per_group
 
-    hybrid = _read(spark, sf, "candidates").select(F.lit("hybrid").alias("ranking"), "query_id", "product_id", F.col("rrf_score").alias("score"), "best_source_rank")
-    models = _read(spark, sf, "predictions").select(F.col("model_id").alias("ranking"), "query_id", "product_id", "score", F.lit(None).cast("int").alias("best_source_rank"))
-    return top_n_per_group(hybrid.unionByName(models), ["ranking", "query_id"], "product_id", "score", ["best_source_rank"], n=10)
+    return top_n_per_group(_p1_rows(spark, sf), **_P1, inputs=_p1_inputs(sf))
+
+
+def p1_skips(spark: SparkSession, sf: str) -> DataFrame:
+    """Row groups that each file of the layout had read and skipped for the rankings."""
+    from vitrine.llm.topn import partial_top_n, skips
+
+    return skips(partial_top_n(_p1_rows(spark, sf), **_P1, inputs=_p1_inputs(sf))).drop("file")
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -33,7 +51,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY ranking, query_id ORDER BY
   FROM once WHERE k = 1)
 """
 
-QUERIES = {"p1_found": p1_found, "p1_rankings": p1_rankings}
+QUERIES = {"p1_found": p1_found, "p1_rankings": p1_rankings, "p1_skips": p1_skips}
 SQL = {
     "p1_found": P1_SQL + "SELECT ranking, query_id, product_id FROM ranked WHERE rank_in_group <= 10",
     "p1_rankings": P1_SQL + "SELECT ranking, query_id, product_id, score, best_source_rank, CAST(rank_in_group AS INTEGER) AS rank_in_group FROM ranked WHERE rank_in_group <= 10",
