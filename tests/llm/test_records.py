@@ -251,7 +251,7 @@ def test_pigeonhole_join_equals_all_pairs(spark, monkeypatch, edits):
 def test_entered_brands_and_colors(spark):
     brands = frame(spark, [(1, "Quarifuthum"), (2, "Yorajell Trading"), (3, "Peluvack & Orm"), (4, "Quarifuthums")], "brand_id long, brand_name string")
     written = {
-        "QUARIFUTHUM ": 1, "Quarifuthum®": 1, "Visit the Quarifuthum Store": 1, "Q U A R I F U T H U M": 1, "Qurifuthum": 1, "Ｑｕａｒｉｆｕｔｈｕｍ": 1, "Quarifuthums": 4,
+        "QUARIFUTHUM ": 1, "Quarifuthum®": 1, "Visit the Quarifuthum Store": 1, "Q U A R I F U T H U M": 1, "Y O R A J E L L T R A D I N G": 2, "Yoraajell Tradinng": 2, "Qurifuthum": 1, "Ｑｕａｒｉｆｕｔｈｕｍ": 1, "Quarifuthums": 4,
         "Trading, Yorajell": 2, "Y0rajell Trading": 2, "Marca: Yorajell Trading Co., Ltd.": 2, "Peluvack and Orm": 3, "Peluvack &amp; Orm": 3, "Galosoft": 0, "-": 0, "N/A": 0, "": 0,
     }
     rows = frame(spark, [(f"p{i}", b, "clash") for i, b in enumerate(written)] + [("none", None, "x")], "product_id string, brand string, entry_id string")
@@ -264,6 +264,13 @@ def test_entered_brands_and_colors(spark):
     assert got == shades
 
 
+def test_ambiguous_values_are_told(spark):
+    brands = frame(spark, [(1, "Yoreinexter"), (2, "Yoreinexteris"), (3, "Galosoft")], "brand_id long, brand_name string")
+    rows = frame(spark, [("p1", "Yoreinexteri"), ("p2", "yoreinexteri"), ("p3", "Yoreinexter"), ("p4", "Galosft"), ("p5", None)], "product_id string, brand string")
+    got = canonical.ambiguous(rows, "brand", canonical.brand_key_sql, canonical.brand_reference(brands)).collect()
+    assert {(r.val, tuple(r.entries), r.edits, r.rows_entered) for r in got} == {("Yoreinexteri", (1, 2), 1, 1), ("yoreinexteri", (1, 2), 1, 1)}
+
+
 def test_hot_values_map_like_others(spark):
     colors = frame(spark, [(10, "gray", ["grey"])], "color_id long, color_name string, other_names array<string>")
     rows = frame(spark, [(f"p{i}", "grey") for i in range(500)] + [("q", "gray "), ("r", "zzz")], "product_id string, color string")

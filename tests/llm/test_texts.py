@@ -396,7 +396,7 @@ TARGETS = "source string, target_share double, max_repeats int"
 
 
 def mixed(spark, docs, targets, **kw):
-    chosen, report = mixing.mix_sources(frame(spark, docs, "doc_id long, source string, text string, tokens int"), frame(spark, targets, TARGETS), "doc_id", "source", "text", **kw)
+    chosen, report = mixing.mix_sources(frame(spark, docs, "doc_id long, source string, text string, tokens int"), frame(spark, targets, TARGETS), "doc_id", "source", "text", "/opt/tokenizers/byte_bpe_50k.json", **kw)
     return chosen.collect(), {r.source: r for r in report.collect()}
 
 

@@ -13,7 +13,7 @@ import unicodedata
 from pyspark.sql import DataFrame, SparkSession
 
 #: A value may differ from a reference string in so many edits: (from this many characters on, edits).
-EDITS = ((0, 0), (4, 1))
+EDITS = ((0, 0), (4, 1), (12, 2))
 #: Values that make up more than 1 / HEAVY of the rows are joined by broadcast; there are fewer than HEAVY of them.
 HEAVY = 5_000
 
@@ -73,7 +73,9 @@ COLOR_TAIL = r"([ ]+(matte|satin|glossy|metallic|brushed|solid)|[ ]*\([0-9]+ pac
 def brand_key_sql(x: str, spark: bool = True) -> str:
     """The brand without labels, legal forms and marks, as letters and digits only; a zero counts as an o."""
     y = _sub(_sub(_sub(fold_sql(x, spark), BRAND_LEAD, "", spark), BRAND_TAIL, "", spark), BRAND_TAIL, "", spark)
-    y = _sub(y, BRAND_AND, " ", spark)
+    # letters set apart are one word, in which a y is no "and"
+    apart = f"regexp_like({y}, '^(\\\\S )+\\\\S$')" if spark else f"regexp_matches({y}, '^(\\S )+\\S$')"
+    y = f"CASE WHEN {apart} THEN {y} ELSE {_sub(y, BRAND_AND, ' ', spark)} END"
     return f"translate({squash_sql(y, spark)}, '0', 'o')"
 
 
@@ -108,16 +110,18 @@ spots AS (
 pairs AS (
   SELECT DISTINCT p.val_key, c.entry_id, c.ref_key, c.k
   FROM spots p JOIN cuts c ON c.rlen = p.rlen AND c.i = p.i AND substring(c.ref_key, c.at + 1, c.width) = p.piece),
-near AS (SELECT val_key, entry_id, min(levenshtein(val_key, ref_key)) AS edits FROM pairs WHERE levenshtein(val_key, ref_key) <= k GROUP BY val_key, entry_id)
-SELECT val_key, min_by(entry_id, struct(edits, entry_id)) AS entry_id, min(edits) AS edits FROM near GROUP BY val_key
+near AS (SELECT val_key, entry_id, min(levenshtein(val_key, ref_key)) AS edits FROM pairs WHERE levenshtein(val_key, ref_key) <= k GROUP BY val_key, entry_id),
+best AS (SELECT val_key, min_by(entry_id, struct(edits, entry_id)) AS entry_id, min(edits) AS edits, array_sort(collect_list(struct(edits, entry_id))) AS all_near FROM near GROUP BY val_key)
+SELECT val_key, entry_id, edits, transform(filter(all_near, x -> x.edits = edits), x -> x.entry_id) AS entries FROM best
 """
 
 
 def match_values(entered: DataFrame, reference: DataFrame) -> DataFrame:
-    """(val_key, entry_id, edits): the closest reference entry of each distinct key, where there is one.
+    """(val_key, entry_id, edits, entries): the closest reference entry of each distinct key, where there is one.
 
     ``entered`` has ``val_key``, ``reference`` has ``entry_id`` and ``ref_key`` (an entry may have several).
-    Closest is fewest edits, then the smallest id. Empty and null keys match nothing. The allowed edits grow
+    Closest is fewest edits, then the smallest id; ``entries`` has all that are as close, so a key with several is
+    ambiguous. Empty and null keys match nothing. The allowed edits grow
     with the length of the reference string (:data:`EDITS`).
     """
     k_max = max(k for _, k in EDITS)
@@ -163,6 +167,14 @@ def map_column(rows: DataFrame, id_column: str, column: str, key_sql, reference:
     )
 
 
+def ambiguous(rows: DataFrame, column: str, key_sql, reference: DataFrame) -> DataFrame:
+    """(val, edits, entries, rows_entered): entered values to which several entries are equally close."""
+    spark = rows.sparkSession
+    entered = run_sql(spark, f"SELECT {column} AS val, {key_sql(column)} AS val_key, count(*) AS rows_entered FROM {{rows}} WHERE {column} IS NOT NULL GROUP BY ALL", rows=rows)
+    matched = match_values(entered, reference)
+    return run_sql(spark, "SELECT e.val, m.edits, m.entries, e.rows_entered FROM {entered} e JOIN {matched} m ON m.val_key = e.val_key WHERE size(m.entries) > 1", entered=entered, matched=matched)
+
+
 def brand_reference(brands: DataFrame) -> DataFrame:
     """Each brand by its key and, for names of two words, by the key with the words swapped."""
     swapped = _sub("brand_name", r"^(\S+)\s+(?:&\s+)?(\S+)$", "$2 $1", True)

@@ -11,21 +11,23 @@ from pyspark.sql import functions as F
 from vitrine.operators.grouprank import DEFAULT_LIMIT, running_before
 from vitrine.scratch import materialize, spread
 
-#: A vocabulary file of the ``tokenizers`` library, at the same place on every executor.
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+#: The setting that names a vocabulary file of the ``tokenizers`` library.
+TOKENIZER_KEY = "spark.vitrine.tokenizer"
 
 
-def token_count(text: Column | str, tokenizer: str = TOKENIZER) -> Column:
-    """Tokens of the whole text; null and empty texts have 0."""
+def token_count(text: Column | str, tokenizer: str) -> Column:
+    """Tokens of the whole text; null and empty texts have 0. ``tokenizer`` is the path of a vocabulary file at the same
+    place on every executor, or the name of one that was shipped with ``SparkContext.addFile``."""
 
     @F.pandas_udf("long")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from pyspark import SparkFiles
         from tokenizers import Tokenizer
 
-        model = Tokenizer.from_file(tokenizer)
+        model = Tokenizer.from_file(tokenizer if os.path.exists(tokenizer) else SparkFiles.get(tokenizer))
         model.encode_special_tokens = True
         for s in batches:
             out = []
@@ -43,9 +45,9 @@ def mix_sources(
     doc_id: str,
     source: str,
     text: str,
+    tokenizer: str,
     total_tokens: int | None = None,
     seed: int = 17,
-    tokenizer: str = TOKENIZER,
     limit: int | None = DEFAULT_LIMIT,
 ) -> tuple[DataFrame, DataFrame]:
     """(selection, report) for ``targets`` (``source``, ``target_share``, ``max_repeats``).

@@ -80,6 +80,17 @@ def p4_unmatched(spark: SparkSession, sf: str) -> DataFrame:
     return _p4_mapping(spark, sf).filter("entry_id = 0").groupBy("field_name", "val").agg(F.count(F.lit(1)).alias("rows_entered"))
 
 
+def p4_ambiguous(spark: SparkSession, sf: str) -> DataFrame:
+    """Entered values to which several entries are equally close; p4_found takes the one with the smallest id."""
+    from vitrine.llm import canonical as C
+
+    products = _read(spark, sf, "products")
+    brand = C.ambiguous(products, "brand", C.brand_key_sql, C.brand_reference(_read(spark, sf, "canonical_brands"))).withColumn("field_name", F.lit("brand"))
+    color = C.ambiguous(products, "color", C.color_key_sql, C.color_reference(_read(spark, sf, "canonical_colors"))).withColumn("field_name", F.lit("color"))
+    both = brand.unionByName(color)
+    return both.select("field_name", "val", "edits", F.array_join(F.transform("entries", lambda x: x.cast("string")), ",").alias("entries"), "rows_entered")
+
+
 def _p4_sql() -> str:
     from vitrine.llm import canonical as C
 
@@ -103,11 +114,15 @@ mapped AS (SELECT e.product_id, e.field_name, e.val, coalesce(b.entry_id, 0) AS
 """
 
 
-QUERIES |= {"p4_found": p4_found, "p4_unmatched": p4_unmatched}
+QUERIES |= {"p4_found": p4_found, "p4_unmatched": p4_unmatched, "p4_ambiguous": p4_ambiguous}
 SQL |= {
     "p4_found": _p4_sql()
     + """SELECT product_id, field_name, CAST(entry_id AS BIGINT) AS entry_id FROM mapped
 WHERE NOT (field_name = 'brand' AND val IN (SELECT brand_name FROM canonical_brands)) AND NOT (field_name = 'color' AND val IN (SELECT color_name FROM canonical_colors))""",
+    "p4_ambiguous": _p4_sql()
+    + """, close AS (SELECT n.field_name, n.val_key, n.edits, string_agg(CAST(n.entry_id AS VARCHAR), ',' ORDER BY n.entry_id) AS entries, count(*) AS c FROM near n
+  JOIN (SELECT field_name, val_key, min(edits) AS edits FROM near GROUP BY ALL) m ON m.field_name = n.field_name AND m.val_key = n.val_key AND m.edits = n.edits GROUP BY ALL)
+SELECT e.field_name, e.val, CAST(c.edits AS INTEGER) AS edits, c.entries, count(*) AS rows_entered FROM entered e JOIN close c ON c.field_name = e.field_name AND c.val_key = e.val_key AND c.c > 1 GROUP BY ALL""",
     "p4_unmatched": _p4_sql() + "SELECT field_name, val, count(*) AS rows_entered FROM mapped WHERE entry_id = 0 GROUP BY field_name, val",
 }
 

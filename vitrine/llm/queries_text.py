@@ -10,9 +10,10 @@ def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
 
 
 def _p9(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    from vitrine.llm.mixing import mix_sources
+    from vitrine.llm.mixing import TOKENIZER_KEY, mix_sources
 
-    return mix_sources(_read(spark, sf, "documents"), _read(spark, sf, "source_targets"), "doc_id", "source", "text")
+    vocabulary = spark.conf.get(TOKENIZER_KEY, "/opt/tokenizers/byte_bpe_50k.json")
+    return mix_sources(_read(spark, sf, "documents"), _read(spark, sf, "source_targets"), "doc_id", "source", "text", vocabulary)
 
 
 def p9_selection(spark: SparkSession, sf: str) -> DataFrame:
