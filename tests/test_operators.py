@@ -163,23 +163,61 @@ def test_lambda_gradients_against_all_pairs(spark):
                 assert got[(q, p)] == (pytest.approx(lam), pytest.approx(hes))
 
 
-def test_lambdamart_learns_and_repeats(spark):
+def learning_rows(queries, seed):
     import random
 
-    rng = random.Random(9)
-    rows = []
-    for q in range(30):
+    rng, rows = random.Random(seed), []
+    for q in queries:
         for i in range(8):
             x, y = rng.random(), rng.random()
             label = int(min(3, x * 4))
             rows.append((q, f"p{i}", label, (0.0, 0.01, 0.1, 1.0)[label], x, y))
-    data = frame(spark, rows, "query_id long, product_id string, label_id int, gain double, x double, y double")
-    model = ltr.fit_lambdamart(data, ["x", "y"], rounds=3)
-    assert model.history[-1] > 0.8 and model.importance()["x"] > model.importance()["y"]
-    again = ltr.fit_lambdamart(data.orderBy("product_id"), ["x", "y"], rounds=3)
-    assert again.history == pytest.approx(model.history)
-    pointwise = ltr.fit_pointwise(data, ["x", "y"], trees=5)
-    assert 0 < ltr.best_prefix(pointwise, data, ["x", "y"]) <= 5
+    return rows
+
+
+LEARNING = "query_id long, product_id string, label_id int, gain double, x double, y double"
+
+
+def test_rankers_learn_stop_and_repeat(spark):
+    import numpy as np
+
+    from vitrine.operators.boosting import Trees
+
+    train, held = frame(spark, learning_rows(range(60), 9), LEARNING), frame(spark, learning_rows(range(100, 120), 10), LEARNING)
+    for fit in (ltr.fit_pointwise, ltr.fit_lambdamart):
+        model = fit(train, held, ["x", "y"])
+        assert max(model.history) > 0.95 and len(model.trees) == int(np.argmax(np.array(model.history) > max(model.history) - 1e-12)) + 1
+        assert len(model.history) == 300 or len(model.history) == len(model.trees) + 30
+        told = {f: (g, n) for f, g, n in ltr.importance(model, ["x", "y"])}
+        assert told["x"][0] > told["y"][0] and told["x"][1] >= 1
+        again = fit(train.orderBy("product_id"), held.orderBy("product_id"), ["x", "y"])
+        assert again.to_json() == model.to_json()
+        x = np.random.default_rng(1).random((50, 2))
+        assert Trees.from_json(model.to_json()).predict(x).tolist() == model.predict(x).tolist()
+        assert model.contributions(x).sum(axis=1) == pytest.approx(model.predict(x))
+        scored = {(r.query_id, r.product_id): r.score for r in ltr.predict(model, held, ["x", "y"]).collect()}
+        rows = held.toPandas()
+        assert [scored[k] for k in zip(rows.query_id, rows.product_id)] == pytest.approx(model.predict(rows[["x", "y"]].to_numpy()))  # noqa: B905
+
+
+def test_gradients_of_a_sample_are_those_of_the_plan(spark):
+    rows = learning_rows(range(5), 3) + learning_rows([9] * 6, 4)
+    rows = [(q, f"p{n:03}", *r) for n, (q, _, *r) in enumerate(rows)]
+    data = frame(spark, rows, LEARNING)
+    lists = ltr._Lists(data.toPandas())
+    grad, bend = lists.lambdas(lists.frame["y"].to_numpy())
+    want = {(r.query_id, r.product_id): (r["lambda"], r.hessian) for r in ltr.lambda_gradients(data.withColumnRenamed("y", "score")).collect()}
+    for q, p, g, h in zip(lists.frame.query_id, lists.frame.product_id, grad, bend):  # noqa: B905
+        assert want[(q, p)] == (pytest.approx(g), pytest.approx(h))
+
+
+def test_fitting_takes_whole_queries_up_to_its_bound(spark):
+    data = frame(spark, learning_rows(range(40), 2), LEARNING)
+    kept = ltr.bounded(data, 100).groupBy("query_id").count().collect()
+    assert len(kept) == 12 and {r["count"] for r in kept} == {8}
+    assert ltr.bounded(data, 320).count() == 320
+    empty = ltr.fit_lambdamart(data.limit(0), data.limit(0), ["x", "y"], rounds=2)
+    assert empty.trees == [] and ltr.predict(empty, data, ["x", "y"]).filter("score = 0").count() == 320
 
 
 def test_bm25_ties_and_empty_texts(spark):

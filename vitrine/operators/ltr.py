@@ -1,28 +1,29 @@
 """Learning to rank: the training population, a pointwise ranker, lambda gradients and LambdaMART.
 
-Trees are grown by MLlib on the cluster. LambdaMART is functional boosting: each round ranks the current
-scores, sums pairwise gradients inside every query, grows a regression tree on them and gives every leaf its
-Newton step. The state of a round is a table in the shared folder.
+The audit, the features and the gradients of a table are plans. The rankers themselves are small: they are fitted
+on at most TRAIN_ROWS rows of whole queries (chosen by hash where there are more) with at most VALIDATION_ROWS rows
+to stop by, and their trees are sent to the tasks that score.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor, GBTRegressionModel, GBTRegressor
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.operators.grouprank import row_number
-from vitrine.operators.metrics import ndcg, ranked_pool
+from vitrine.operators.boosting import ROUNDS, Trees, boost
+from vitrine.operators.grouprank import row_number, running_over_all
 from vitrine.scratch import materialize
 
-#: Settings of both rankers; the first five are those that the method is usually run with here.
-RATE, MAX_BINS, LEAST_LEAF, LAMBDA_L2, MAX_DEPTH = 0.05, 64, 20, 1.0, 5
+#: Bounds of what a ranker is fitted on.
+TRAIN_ROWS, VALIDATION_ROWS = 500_000, 200_000
 #: Pairs count if one of the two items is among the first so many, so a query has at most this many per item.
 TRUNCATION = 30
+#: Fixed value: the cutoff of the NDCG that boosting stops by.
+CUTOFF = 10
 
 
 def training_population(matrix: DataFrame, query_id: str = "query_id", label: str = "label_id", least_rows: int = 2, least_labels: int = 2) -> tuple[DataFrame, DataFrame]:
@@ -61,80 +62,94 @@ def lambda_gradients(scored: DataFrame, truncation: int = TRUNCATION) -> DataFra
     return scored.select("query_id", "product_id").join(sums, ["query_id", "product_id"], "left").select("query_id", "product_id", F.coalesce("lambda", zero).alias("lambda"), F.coalesce("hessian", zero).alias("hessian"))
 
 
-def _vector(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    return VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="error").transform(df)
-
-
-def fit_pointwise(train: DataFrame, features: Sequence[str], trees: int = 20, seed: int = 42) -> GBTRegressionModel:
-    """Boosted regression of the label."""
-    data = _vector(train.withColumn("_y", F.col("label_id").cast("double")), features)
-    return GBTRegressor(featuresCol="_features", labelCol="_y", maxIter=trees, stepSize=RATE * 2, maxDepth=MAX_DEPTH, maxBins=MAX_BINS, minInstancesPerNode=LEAST_LEAF, seed=seed).fit(data)
-
-
-def best_prefix(model: GBTRegressionModel, validation: DataFrame, features: Sequence[str], cutoff: int = 10) -> int:
-    """The number of trees whose sum has the best mean NDCG on the validation rows; fewer on ties."""
-    data = materialize(_vector(validation, features), "validation")
-    score, best = F.lit(0.0), (-1.0, 0)
-    data = data.withColumn("_s", score)
-    for n, (tree, weight) in enumerate(zip(model.trees, model.treeWeights, strict=True), start=1):
-        data = tree.setPredictionCol("_p").transform(data).withColumn("_s", F.col("_s") + F.col("_p") * weight).drop("_p")
-        if n % 5 == 0 or n == len(model.treeWeights):
-            data = materialize(data, "prefix")
-            pool = data.select("query_id", "product_id", "label_id", "gain", F.col("_s").alias("model"))
-            mean = ndcg(ranked_pool(pool, ["model"]), pool, [cutoff]).agg(F.avg("ndcg").alias("m")).first()["m"] or 0.0
-            if mean > best[0] + 1e-12:
-                best = (mean, n)
-    return best[1]
-
-
-def predict_pointwise(model: GBTRegressionModel, df: DataFrame, features: Sequence[str]) -> DataFrame:
-    return model.setPredictionCol("score").transform(_vector(df, features)).drop("_features")
-
-
-@dataclass
-class LambdaMart:
-    """Trees with a value per leaf; a score is the sum over trees of RATE * value."""
-
-    features: list[str]
-    trees: list[tuple[DecisionTreeRegressionModel, dict[float, float]]]
-    history: list[float]
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        data = _vector(df, self.features).withColumn("score", F.lit(0.0))
-        for tree, values in self.trees:
-            data = tree.setPredictionCol("_p").setLeafCol("_leaf").transform(data)
-            data = data.withColumn("score", F.col("score") + F.lit(RATE * 4) * _leaf_value(values)).drop("_p", "_leaf")
-        return data.drop("_features")
-
-    def importance(self) -> dict[str, float]:
-        """Mean share of each feature in the gain of the trees."""
-        total = [0.0] * len(self.features)
-        for tree, _ in self.trees:
-            for i, v in enumerate(tree.featureImportances.toArray()):
-                total[i] += float(v) / max(len(self.trees), 1)
-        return dict(zip(self.features, total, strict=True))
-
-
-def _leaf_value(values: dict[float, float]):
-    pairs = [x for leaf, v in values.items() for x in (F.lit(float(leaf)), F.lit(v))]
-    return F.coalesce(F.element_at(F.create_map(*pairs), F.col("_leaf")), F.lit(0.0)) if pairs else F.lit(0.0)
-
-
-def fit_lambdamart(train: DataFrame, features: Sequence[str], rounds: int = 10, seed: int = 42, cutoff: int = 10) -> LambdaMart:
-    """Boost regression trees on lambda gradients; ``history`` has the training NDCG after each round."""
-    data = materialize(_vector(train, features).withColumn("score", F.lit(0.0)), "lambda")
-    model = LambdaMart(list(features), [], [])
-    for n in range(rounds):
-        grads = lambda_gradients(data.select("query_id", "product_id", "gain", "score"))
-        current = materialize(data.join(grads, ["query_id", "product_id"]), "gradients")
-        grower = DecisionTreeRegressor(featuresCol="_features", labelCol="lambda", maxDepth=MAX_DEPTH, maxBins=MAX_BINS, minInstancesPerNode=LEAST_LEAF, seed=seed + n)
-        tree = grower.fit(current).setPredictionCol("_p").setLeafCol("_leaf")
-        leaves = tree.transform(current)
-        steps = leaves.groupBy("_leaf").agg((F.sum("lambda") / (F.sum("hessian") + LAMBDA_L2 * 1e-3)).alias("v"))
-        values = {float(r["_leaf"]): float(r["v"]) for r in steps.collect()}  # at most 2 ** MAX_DEPTH leaves
-        model.trees.append((tree, values))
-        moved = leaves.withColumn("score", F.col("score") + F.lit(RATE * 4) * _leaf_value(values))
-        data = materialize(moved.drop("_p", "_leaf", "lambda", "hessian"), "lambda")
-        pool = data.select("query_id", "product_id", "label_id", "gain", F.col("score").alias("model"))
-        model.history.append(float(ndcg(ranked_pool(pool, ["model"]), pool, [cutoff]).agg(F.avg("ndcg").alias("m")).first()["m"] or 0.0))
-    return model
+def bounded(rows: DataFrame, most: int, query_id: str = "query_id") -> DataFrame:
+    """``rows`` if there are at most ``most``; else the rows of whole queries, by hash, that fit into them."""
+    sizes = materialize(rows.groupBy(query_id).agg(F.count(F.lit(1)).alias("_n")), "sizes")
+    if (sizes.agg(F.sum("_n")).first()[0] or 0) <= most:
+        return rows
+    placed = running_over_all(sizes.withColumn("_size", F.col("_n")), [F.xxhash64(query_id), F.col(query_id)], "_size", "_before")
+    return rows.join(placed.filter(F.col("_before") + F.col("_n") <= most).select(query_id), query_id, "left_semi")
+
+
+class _Lists:
+    """Rows of a bounded sample by query, with what NDCG and its gradients need."""
+
+    def __init__(self, frame: pd.DataFrame) -> None:
+        frame = frame.sort_values(["query_id", "product_id"], kind="stable")
+        self.frame = frame
+        self.query = pd.factorize(frame["query_id"])[0].astype(np.int64)
+        self.gain = frame["gain"].to_numpy(dtype=float)
+        self.sizes = np.bincount(self.query) if len(frame) else np.zeros(0, dtype=np.int64)
+        self.first = np.append(0, np.cumsum(self.sizes))[:-1] if len(frame) else np.zeros(0, dtype=np.int64)
+        by = np.lexsort((-self.gain, self.query))
+        place = np.arange(len(frame)) - np.repeat(self.first, self.sizes)
+        self.ideal = np.bincount(self.query, self.gain[by] / np.log2(place + 2), len(self.sizes)) if len(frame) else np.zeros(0)
+        head = place < CUTOFF
+        self.ideal_cut = np.bincount(self.query[head], (self.gain[by] / np.log2(place + 2))[head], len(self.sizes)) if len(frame) else np.zeros(0)
+
+    def matrix(self, features: Sequence[str]) -> np.ndarray:
+        return self.frame[list(features)].to_numpy(dtype=float)
+
+    def ranks(self, score: np.ndarray) -> np.ndarray:
+        """1, 2, ... in each query, by the rounded score, then product_id (the order of the rows)."""
+        by = np.lexsort((np.arange(len(score)), -np.round(score, 9), self.query))
+        rank = np.empty(len(score), dtype=np.int64)
+        rank[by] = np.arange(len(score)) - np.repeat(self.first, self.sizes) + 1
+        return rank
+
+    def ndcg(self, score: np.ndarray) -> float:
+        rank = self.ranks(score)
+        head = rank <= CUTOFF
+        dcg = np.bincount(self.query[head], self.gain[head] / np.log2(rank[head] + 1.0), len(self.sizes))
+        return float(np.where(self.ideal_cut > 0, dcg / np.where(self.ideal_cut > 0, self.ideal_cut, 1.0), 0.0).mean())
+
+    def lambdas(self, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Gradients and curvatures as :func:`lambda_gradients` defines them: every row with the head of its query."""
+        n, rank = len(score), self.ranks(score)
+        heads = np.minimum(self.sizes, TRUNCATION)
+        by = np.lexsort((rank, self.query))
+        count = heads[self.query]
+        i = np.repeat(np.arange(n), count)
+        j = by[self.first[self.query[i]] + np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)]
+        keep = (rank[i] > rank[j]) & (self.gain[i] != self.gain[j]) & (self.ideal[self.query[i]] > 0)
+        i, j = i[keep], j[keep]
+        change = np.abs(self.gain[i] - self.gain[j]) * np.abs(1 / np.log2(rank[i] + 1.0) - 1 / np.log2(rank[j] + 1.0)) / self.ideal[self.query[i]]
+        sign = np.where(self.gain[i] > self.gain[j], 1.0, -1.0)
+        rho = 1 / (1 + np.exp(sign * (score[i] - score[j])))
+        grad = np.bincount(i, sign * change * rho, n) - np.bincount(j, sign * change * rho, n)
+        bend = change * rho * (1 - rho)
+        return grad, np.bincount(i, bend, n) + np.bincount(j, bend, n)
+
+
+def _lists(rows: DataFrame, features: Sequence[str], most: int) -> _Lists:
+    return _Lists(bounded(rows, most).select("query_id", "product_id", "label_id", "gain", *features).toPandas())
+
+
+def fit_pointwise(train: DataFrame, validation: DataFrame, features: Sequence[str], rounds: int = ROUNDS) -> Trees:
+    """Boosted regression of the label, stopped by the NDCG of the validation queries."""
+    own, held = _lists(train, features, TRAIN_ROWS), _lists(validation, features, VALIDATION_ROWS)
+    label = own.frame["label_id"].to_numpy(dtype=float)
+    base = float(label.mean()) if len(label) else 0.0
+    return boost(own.matrix(features), lambda s: (label - s, np.ones(len(s))), held.matrix(features), held.ndcg, base, rounds)
+
+
+def fit_lambdamart(train: DataFrame, validation: DataFrame, features: Sequence[str], rounds: int = ROUNDS) -> Trees:
+    """Boosted trees on lambda gradients, stopped by the NDCG of the validation queries."""
+    own, held = _lists(train, features, TRAIN_ROWS), _lists(validation, features, VALIDATION_ROWS)
+    return boost(own.matrix(features), own.lambdas, held.matrix(features), held.ndcg, 0.0, rounds)
+
+
+def predict(model: Trees, rows: DataFrame, features: Sequence[str]) -> DataFrame:
+    """``rows`` with ``score``, over Arrow batches in as many tasks as the rows have."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)  # at most ROUNDS trees of a few leaves
+
+    @F.pandas_udf("double")
+    def run(x: pd.Series) -> pd.Series:
+        return pd.Series(shared.value.predict(np.stack(x.to_numpy()).astype(float)) if len(x) else [], dtype=float)
+
+    return rows.withColumn("score", run(F.array(*[F.col(f).cast("double") for f in features])))
+
+
+def importance(model: Trees, features: Sequence[str]) -> list[tuple[str, float, int]]:
+    """(feature, gain, splits)."""
+    return [(f, g, int(n)) for f, g, n in zip(features, model.importance("gain"), model.importance("split"), strict=True)]

@@ -30,28 +30,39 @@ def lambda_gradients(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("query_id", "product_id", F.round("lambda", 6).alias("lambda"), F.round("hessian", 6).alias("hessian"))
 
 
-def _split(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+def _split(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(training, validation, all held-out) rows of the matrix."""
     rows = materialize(feature_matrix(spark, sf), "matrix")
     held = B.assign_splits(table(spark, sf, "query_records")).select("query_id", "project_split")
-    rows = rows.join(held, "query_id")
+    rows = materialize(rows.join(held, "query_id"), "splits")
     train, _ = L.training_population(rows.filter("project_split = 'train'"))
-    return materialize(train.drop("project_split"), "train"), materialize(rows.filter("project_split <> 'train'").drop("project_split"), "held")
+    validation, _ = L.training_population(rows.filter("project_split = 'validation'"))
+    return train.drop("project_split"), validation.drop("project_split"), rows.filter("project_split <> 'train'").drop("project_split")
 
 
 def _ranked(df: DataFrame) -> DataFrame:
     from vitrine.operators.grouprank import row_number
 
-    return row_number(df, ["query_id"], [F.round("score", 9).desc(), F.col("product_id")], "rank").select("query_id", "product_id", "label_id", F.round("score", 6).alias("score"), "rank")
+    rows = materialize(df.select("query_id", "product_id", "label_id", "score"), "scored")
+    return row_number(rows, ["query_id"], [F.round("score", 9).desc(), F.col("product_id")], "rank").withColumn("score", F.round("score", 6))
 
 
 def pointwise_gbt_scores(spark: SparkSession, sf: str) -> DataFrame:
-    train, held = _split(spark, sf)
-    return _ranked(L.predict_pointwise(L.fit_pointwise(train, FEATURES), held, FEATURES))
+    """Held-out pairs ranked by a regression of the label: up to 300 rounds, stopped after 30 without gain on validation."""
+    train, validation, held = _split(spark, sf)
+    return _ranked(L.predict(L.fit_pointwise(train, validation, FEATURES), held, FEATURES))
 
 
 def lambdamart_scores(spark: SparkSession, sf: str) -> DataFrame:
-    train, held = _split(spark, sf)
-    return _ranked(L.fit_lambdamart(train, FEATURES, rounds=8).transform(held))
+    """Held-out pairs ranked by LambdaMART with the same settings."""
+    train, validation, held = _split(spark, sf)
+    return _ranked(L.predict(L.fit_lambdamart(train, validation, FEATURES), held, FEATURES))
+
+
+def ranker_importance(spark: SparkSession, sf: str) -> DataFrame:
+    """Gain and number of splits of every feature in the LambdaMART ranker."""
+    train, validation, _ = _split(spark, sf)
+    return spark.createDataFrame(L.importance(L.fit_lambdamart(train, validation, FEATURES), FEATURES), "feature string, gain double, splits int")
 
 
 def _found(spark: SparkSession, sf: str) -> DataFrame:
@@ -83,7 +94,7 @@ def display_hits(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (training_population_audit, lambda_gradients, pointwise_gbt_scores, lambdamart_scores, search_modes, mode_rank_changes, list_metrics, title_ild, display_hits)
+    for f in (training_population_audit, lambda_gradients, pointwise_gbt_scores, lambdamart_scores, ranker_importance, search_modes, mode_rank_changes, list_metrics, title_ild, display_hits)
 }
 
 _FOUND = """
