@@ -125,6 +125,19 @@ def _bound(ids: np.ndarray, order: np.ndarray, wanted: np.ndarray, width: int, u
         hi[open_] = np.where(less, hi[open_], mid)
 
 
+def _order(*keys: np.ndarray) -> np.ndarray:
+    """The order by the keys, the first one foremost; as one number where that has the room."""
+    packed, room = np.zeros(len(keys[0]), dtype=np.int64), 1
+    for k in keys:
+        low = int(k.min())
+        width = int(k.max()) - low + 1
+        room *= width
+        if room >= 2**62:
+            return np.lexsort(keys[::-1])
+        packed = packed * width + (k - low)
+    return np.argsort(packed, kind="stable")
+
+
 def matches(items: TestItems, texts: list[np.ndarray]) -> np.ndarray:
     """Rows (document, item, place in the item, place in the document, words) of all maximal verbatim matches of at
     least START words between the texts of a shard and the items, with all their places."""
@@ -152,7 +165,7 @@ def matches(items: TestItems, texts: list[np.ndarray]) -> np.ndarray:
     item, i = items.item[suffix], items.place[suffix]
     doc = np.searchsorted(offset, at, side="right") - 1
     j = at - offset[doc]
-    by = np.lexsort((j, j - i, item, doc))
+    by = _order(doc, item, j - i, j)
     doc, item, i, j = doc[by], item[by], i[by], j[by]
     # neighbours on a diagonal are one match
     starts = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (j[1:] != j[:-1] + 1) | (i[1:] != i[:-1] + 1)))
@@ -209,7 +222,8 @@ def held(found: list[tuple[int, int, int, int, int]]) -> int:
 
 def leaking(items: TestItems, texts: list[np.ndarray], want: Want) -> list[tuple[int, int, int]]:
     """(document, item, words held) of the pairs that count. Pairs whose matches together are too short are left out
-    before anything is chained, as gaps add at most STEP words for each of them."""
+    before anything is chained: passages hold only places of the item that lie in matches, or in the STEP words before a match
+    that begins within STEP words of another one's end."""
     rows = matches(items, texts)
     if not len(rows):
         return []
@@ -217,7 +231,18 @@ def leaking(items: TestItems, texts: list[np.ndarray], want: Want) -> list[tuple
     ends = np.append(starts[1:], len(rows))
     sizes = np.array([len(w) for w in items.words])
     least = np.array([want.least(int(n)) for n in sizes])
-    most = np.add.reduceat(rows[:, 4], starts) + STEP * (ends - starts - 1)
+    group = np.repeat(np.arange(len(starts)), ends - starts)
+    wide = int((rows[:, 3] + rows[:, 4]).max()) + STEP + 2
+    stops = np.sort(group * wide + rows[:, 3] + rows[:, 4] + STEP)
+    begin = group * wide + rows[:, 3] + STEP
+    follows = np.searchsorted(stops, begin, side="right") > np.searchsorted(stops, begin - STEP, side="left")
+    # the item's places that lie in matches or in such gaps, each once
+    by = np.lexsort((rows[:, 2] - STEP * follows, group))
+    width = int(sizes.max()) + STEP + 1
+    lo = group[by] * width + np.maximum(rows[by, 2] - STEP * follows[by], 0)
+    hi = group[by] * width + rows[by, 2] + rows[by, 4]
+    until = np.append(-1, np.maximum.accumulate(hi)[:-1])
+    most = np.add.reduceat(np.maximum(hi - np.maximum(lo, until), 0), starts)
     out = []
     for g in np.flatnonzero(most >= least[rows[starts, 1]]).tolist():
         d, n = rows[starts[g], :2].tolist()
