@@ -48,13 +48,20 @@ _SCRIPT = re.compile(r"[぀-ヿ㐀-鿿]+|[^぀-ヿ㐀-鿿]+")
 _KANA = re.compile(r"[぀-ヿ㐀-鿿]")
 _STATE = re.compile(r"[;:()；：（）](?=\s|$|[)\]\"'])|[(（]")
 _ENUM = re.compile(r"^\s*\d{1,3}[.)]\s+")
-_END = re.compile(r"[.!?。！？…][\"')\]]*\s*$")
+_ENDS = frozenset(".!?。！？…")
 
 BLOCK = "array<struct<sentence:boolean,chars:double,packed:int,ratio:double,marks:double,whole_packed:int,whole:double,again:double>>"
 
 
+def _unlinked(text: str) -> str:
+    """The text with each address as one word; the addresses of links differ at random."""
+    return _LINK.sub(" link ", text) if "://" in text or "www." in text.lower() else text
+
+
 def _words(text: str) -> float:
     """Words; Japanese characters count as half a word each, as it has no blanks."""
+    if text.isascii():
+        return len(_WORD.findall(text))
     kana = len(_KANA.findall(text))
     return len(_WORD.findall(_KANA.sub(" ", text))) + kana / 2
 
@@ -83,11 +90,12 @@ def _pieces(text: str):
             group += 1
         listed = bool(_ENUM.match(line))
         parts = [p for p in _CUT.split(_ENUM.sub("", line)) if p and not p.isspace()]
-        sizes = [_words(_LINK.sub(" link ", p)) for p in parts]
+        bare = [_unlinked(p) for p in parts]
+        sizes = [_words(p) for p in bare]
         prose = sum(sizes) >= SENTENCE_LEAST * len(parts)
-        for n, (part, size) in enumerate(zip(parts, sizes, strict=True)):
-            closed = prose and size <= SENTENCE_WORDS and bool(_END.search(_LINK.sub(" link ", part)))
-            yield part, closed, len(_STATE.findall(_LINK.sub(" link ", part))) + (listed and n == 0), group
+        for n, (part, size, plain) in enumerate(zip(parts, sizes, bare, strict=True)):
+            closed = prose and size <= SENTENCE_WORDS and plain.rstrip().rstrip("\"')]")[-1:] in _ENDS
+            yield part, closed, len(_STATE.findall(plain)) + (listed and n == 0), group
         group += len(line) >= LINE_CHARS
 
 
@@ -118,10 +126,9 @@ def blocks_of(text: str) -> list[tuple[bool, float, int, float, float, int, floa
     out = []
     for closed, pieces, marks in runs:
         chars = sum(map(len, pieces))
-        # the addresses of links differ at random; what repeats is that they are links
-        body = _LINK.sub(" link ", "\n".join(dict.fromkeys(pieces) if closed else pieces))
+        body = _unlinked("\n".join(dict.fromkeys(pieces) if closed else pieces))
         per_word = sum(marks) / max(_words(body), 1.0)
-        whole = _LINK.sub(" link ", "\n".join(pieces))
+        whole = _unlinked("\n".join(pieces)) if closed else body
         again = _bounded(whole) if len(whole) > len(body) else []
         all_ratio = sum(_ratio(b) * len(b) for b in again) / len(whole) if again else 0.0
         told = _told_again(list(dict.fromkeys(pieces))) if again else 0.0
