@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vitrine.functions.text import tokens_sql
 from vitrine.operators.skewjoin import heavy_light_join
-from vitrine.scratch import materialize
+from vitrine.scratch import materialize, spread
 
 #: Weight of the prior in terms: the collection counts scaled to this sum.
 PRIOR = 500.0
@@ -27,7 +27,7 @@ def term_scores(records: DataFrame, ids: list[str], text: str, prior: float = PR
     collection is one term, the z-score is 0. Whole texts are read, however long.
     """
     # terms are found once; the three passes below read them back
-    listed = records.filter(F.col(text).isNotNull()).select(*ids, F.expr(tokens_sql(text)).alias("_terms"))
+    listed = spread(records.filter(F.col(text).isNotNull()).select(*ids, text)).select(*ids, F.expr(tokens_sql(text)).alias("_terms"))
     listed = materialize(listed, "tokens")
     totals = listed.select(F.explode("_terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("_rows"))
     totals = materialize(totals, "terms")
