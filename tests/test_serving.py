@@ -12,6 +12,14 @@ def test_request_bounds():
             serving.Request(**bad)
 
 
+def test_only_small_requests_from_here():
+    for host in ("localhost", "localhost:8000", "127.0.0.1:80", "[::1]:80", "::1"):
+        serving.accept(host, b"{}")
+    for host, body in (("example.org", b""), ("10.0.0.1:80", b""), ("127.0.0.1", b"x" * 20_000), ("", b"")):
+        with pytest.raises(ValueError):
+            serving.accept(host, body)
+
+
 def test_gates():
     ticks = iter(range(100))
     assert serving.measure(lambda: None, 1, 3, lambda: next(ticks)) == [1000.0] * 3

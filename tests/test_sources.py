@@ -1,5 +1,6 @@
 import io
 import urllib.error
+from collections import Counter
 
 import pytest
 
@@ -80,6 +81,14 @@ def test_files_round_trip(spark, tmp_path):
     seen = {}
     for row in readers.parquet(spark, f"{tmp_path}/grouped", ["g", "i"]).selectExpr("g", "input_file_name() AS f").distinct().collect():
         assert seen.setdefault(row.g, row.f) == row.f
+    sizes = {0: 1, 1: 7, 2: 3, 3: 10, 4: 2, 5: 6, 6: 5, 7: 5, 8: 1}
+    many = spark.createDataFrame([(g, i) for g, n in sizes.items() for i in range(n)] + [(None, 1)], "g long, i long")
+    sinks.grouped_parquet(many, f"{tmp_path}/bounded", "g", ["i"], 10)
+    files = readers.parquet(spark, f"{tmp_path}/bounded").selectExpr("g", "i", "input_file_name() AS f").collect()
+    assert len(files) == 41 and max(Counter(r.f for r in files).values()) <= 10
+    assert all(len({r.f for r in files if r.g == g}) == 1 for g in (*sizes, None))
+    with pytest.raises(ValueError, match="more than 9"):
+        sinks.grouped_parquet(many, f"{tmp_path}/over", "g", ["i"], 9)
     sinks.ordered_parquet(df, f"{tmp_path}/ordered", ["i"], 7)
     assert readers.parquet(spark, f"{tmp_path}/ordered").count() == 30
     sinks.report_csv(df, f"{tmp_path}/csv", ["i"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ipaddress
 import time
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
@@ -11,7 +12,21 @@ from pyspark.sql import functions as F
 
 from vitrine.operators.search import MODES
 
-MOST_CHARS, MOST_K = 512, 50
+MOST_CHARS, MOST_K, MOST_BODY = 512, 50, 16_384
+
+
+def accept(host: str, body: bytes, most: int = MOST_BODY) -> None:
+    """A ValueError unless ``host`` (with or without a port) is this machine itself and ``body`` is small enough."""
+    name = host.rsplit(":", 1)[0] if host.count(":") == 1 or host.startswith("[") and "]:" in host else host
+    name = name.strip("[]")
+    try:
+        here = ipaddress.ip_address(name).is_loopback
+    except ValueError:
+        here = name.lower() == "localhost"
+    if not here:
+        raise ValueError(f"{host} is not this machine")
+    if len(body) > most:
+        raise ValueError(f"a request has at most {most} bytes")
 
 
 @dataclass(frozen=True)

@@ -11,6 +11,9 @@ from xml.sax.saxutils import escape
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vitrine.operators.grouprank import running_over_all
+from vitrine.scratch import materialize
+
 
 def parquet(df: DataFrame, path: str, order: Sequence[str] = (), mode: str = "errorifexists") -> None:
     """Zstandard Parquet, sorted inside the files."""
@@ -23,9 +26,23 @@ def ordered_parquet(df: DataFrame, path: str, order: Sequence[str], rows_per_fil
     ranged.write.mode(mode).option("compression", "zstd").option("maxRecordsPerFile", rows_per_file).parquet(path)
 
 
-def grouped_parquet(df: DataFrame, path: str, group: str, order: Sequence[str] = (), mode: str = "errorifexists") -> None:
-    """Files that never split a group: ranges of the group key, one file each."""
-    df.repartitionByRange(group).sortWithinPartitions(group, *order).write.mode(mode).option("compression", "zstd").parquet(path)
+def grouped_parquet(df: DataFrame, path: str, group: str, order: Sequence[str] = (), rows_per_file: int = 100_000, mode: str = "errorifexists") -> None:
+    """Files, each in a folder ``part=n``, that never split a group and have at most ``rows_per_file`` rows.
+
+    Groups of more than half a file get one of their own; the others, in the order of their keys, go where their
+    first row falls in steps of half a file, so none is overfull. A group that fits no file is an error.
+    """
+    half = max(rows_per_file // 2, 1)
+    sizes = materialize(df.groupBy(group).agg(F.count(F.lit(1)).alias("_n")), "sizes")
+    if not sizes.filter(F.col("_n") > rows_per_file).isEmpty():
+        raise ValueError(f"a group has more than {rows_per_file} rows")
+    placed = running_over_all(sizes.withColumn("_w", F.when(F.col("_n") > half, 0).otherwise(F.col("_n"))), [F.col(group).asc_nulls_first()], "_w", "_at")
+    big = running_over_all(placed.withColumn("_one", (F.col("_n") > half).cast("int")), [F.col(group).asc_nulls_first()], "_one", "_bigs").select(group, "_n", "_at", "_bigs")
+    # large groups are numbered below zero, the others from zero on
+    part = F.when(F.col("_n") > half, -1 - F.col("_bigs")).otherwise(F.floor(F.col("_at") / half)).cast("long")
+    parts = big.select(F.col(group).alias("_g"), part.alias("part"))
+    rows = df.join(parts, F.col(group).eqNullSafe(F.col("_g"))).drop("_g").repartition("part").sortWithinPartitions("part", group, *order)
+    rows.write.mode(mode).option("compression", "zstd").partitionBy("part").parquet(path)
 
 
 def report_csv(df: DataFrame, path: str, order: Sequence[str], most_rows: int = 1_000_000) -> None:
