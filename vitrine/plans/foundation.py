@@ -12,6 +12,7 @@ from vitrine.operators import foundation as B
 from vitrine.operators import validate as V
 from vitrine.plans.common import GAIN, JUDGED, LABEL, table
 from vitrine.plans.parsing import digest_sql
+from vitrine.scratch import spread
 
 COHORTS = {"development": 200, "portfolio": 400}
 DISTRACTORS = 500
@@ -139,11 +140,11 @@ def judged_pools(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def clean_product_text(spark: SparkSession, sf: str) -> DataFrame:
-    return B.clean_products(table(spark, sf, "products"))
+    return B.clean_products(spread(table(spark, sf, "products")))
 
 
 def product_document(spark: SparkSession, sf: str) -> DataFrame:
-    return B.product_documents(B.clean_products(table(spark, sf, "products"))).select("product_id", "document_sha256", "document_chars", "document_bytes")
+    return B.product_documents(B.clean_products(spread(table(spark, sf, "products")))).select("product_id", "document_sha256", "document_chars", "document_bytes")
 
 
 def catalog_exclusions(spark: SparkSession, sf: str) -> DataFrame:

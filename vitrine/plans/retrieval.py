@@ -22,7 +22,7 @@ def _docs(spark: SparkSession, sf: str) -> DataFrame:
 
 def index(spark: SparkSession, sf: str) -> sparse.Index:
     """The BM25 index of the catalogue, built once."""
-    return sparse.open_index(spark, [f"{sf}/products.parquet"], lambda: _docs(spark, sf), "product_id", "text")
+    return sparse.open_index(spark, [f"{sf}/products.parquet"], lambda: spread(_docs(spark, sf)), "product_id", "text")
 
 
 def product_vectors(spark: SparkSession, sf: str) -> DataFrame:

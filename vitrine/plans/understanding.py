@@ -17,7 +17,7 @@ from vitrine.plans.evaluation import _FUSED, CLOSED, closed_matrix, closed_sql,
 from vitrine.plans.foundation import _CLEANED
 from vitrine.plans.parsing import ENTITIES, PARSED, digest_sql, parsed_queries
 from vitrine.plans.retrieval import rrf_hybrid, specificity
-from vitrine.scratch import materialize
+from vitrine.scratch import materialize, spread
 from vitrine.sources.derived import derived
 
 
@@ -66,7 +66,7 @@ def category_codes_train_only(spark: SparkSession, sf: str) -> DataFrame:
 def _view(spark: SparkSession, sf: str) -> DataFrame:
     """Cleaned products with their token lists and category codes, built once."""
     inputs = [f"{sf}/{t}.parquet" for t in ("products", "examples", "query_records")]
-    return derived(spark, "view", inputs, lambda: X.product_view(B.clean_products(table(spark, sf, "products"))).join(category_codes_train_only(spark, sf), "product_id").drop("locale"))
+    return derived(spark, "view", inputs, lambda: X.product_view(B.clean_products(spread(table(spark, sf, "products")))).join(category_codes_train_only(spark, sf), "product_id").drop("locale"))
 
 
 def _asked(spark: SparkSession, sf: str) -> DataFrame:
