@@ -193,8 +193,10 @@ def p6_ranking(spark: SparkSession, sf: str) -> DataFrame:
 
 def _p7_records(spark: SparkSession, sf: str) -> DataFrame:
     from vitrine.functions.text import strip_tags_sql
+    from vitrine.scratch import spread
 
-    products = _read(spark, sf, "products").select(F.lit("product").alias("kind"), F.col("product_id").alias("record_id"), F.expr(strip_tags_sql("concat_ws(' ', title, bullets)")).alias("text"))
+    # each table on its own, as their union has files enough to pass for spread
+    products = spread(_read(spark, sf, "products").select("product_id", "title", "bullets")).select(F.lit("product").alias("kind"), F.col("product_id").alias("record_id"), F.expr(strip_tags_sql("concat_ws(' ', title, bullets)")).alias("text"))
     asked = _read(spark, sf, "query_records").select(F.lit("query").alias("kind"), F.col("query_id").cast("string").alias("record_id"), F.col("query").alias("text"))
     return products.unionByName(asked)
 
