@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -92,11 +93,13 @@ def _read_file(uri: str, names: list[str], groups: list[str], item: str, score:
                     continue
             read += 1
             touched = set()
-            for row in zip(*[file_column.to_pylist() for file_column in file.read_row_group(i, columns=names).select(names).columns], strict=True):
-                group, value = tuple(row[k] for k in gpos), row[spos]
-                if value < best.nth.get(group, float("-inf")):
-                    continue
-                last = row[ipos]
+            part = file.read_row_group(i, columns=names).select(names)
+            # only rows that can still count are taken apart; most of a later row group cannot
+            inside = zip(*[part.column(g).to_pylist() for g in groups], strict=True)
+            floor = np.fromiter((best.nth.get(g, float("-inf")) for g in inside), dtype=float, count=part.num_rows)
+            part = part.take(np.flatnonzero(part.column(score).to_numpy() >= floor))
+            for row in zip(*[column.to_pylist() for column in part.columns], strict=True):
+                group, value, last = tuple(row[k] for k in gpos), row[spos], row[ipos]
                 key = (-value, *((row[k] is None, row[k] if row[k] is not None else 0) for k in tpos), last is None, last.encode() if isinstance(last, str) else last or 0)
                 best.add(group, last, key, row)
                 touched.add(group)
