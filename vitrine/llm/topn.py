@@ -130,7 +130,7 @@ def top_n_from_layout(layout: DataFrame, groups: Sequence[str], item: str, score
 
     if not files:
         return spark.createDataFrame([], schema)
-    listed = spark.createDataFrame([(f,) for f in files], "file string").repartition(len(files), "file")
+    listed = spark.createDataFrame([(f,) for f in files], "file string").repartitionByRange(len(files), "file")  # a hash would put several files into one task
     return listed.mapInArrow(reader, schema)
 
 
