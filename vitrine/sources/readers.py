@@ -47,4 +47,4 @@ def checksums(spark: SparkSession, path: str, chunk: int = 1 << 20) -> DataFrame
                 digests.append(seen.hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.string())], names=["path", "bytes", "sha256"])
 
-    return files.repartition(max(1, min(10_000, files.count())), "path").mapInArrow(run, "path string, bytes bigint, sha256 string")
+    return files.repartitionByRange(max(1, min(10_000, files.count())), "path").mapInArrow(run, "path string, bytes bigint, sha256 string")
