@@ -220,6 +220,56 @@ def test_fitting_takes_whole_queries_up_to_its_bound(spark):
     assert empty.trees == [] and ltr.predict(empty, data, ["x", "y"]).filter("score = 0").count() == 320
 
 
+def many_rows(spark, queries, first=0):
+    rows = spark.range(first * 8, (first + queries) * 8).select(F.expr("id div 8").alias("query_id"), F.col("id").cast("string").alias("product_id"), F.expr("cast(pmod(xxhash64(id), 4) as int)").alias("label_id"), F.col("id").cast("double").alias("x"))
+    return rows.withColumn("gain", F.expr("array(0.0D, 0.01D, 0.1D, 1.0D)[label_id]")).withColumn("y", F.expr("pmod(xxhash64(x, 1), 9) + label_id").cast("double"))
+
+
+@pytest.fixture(scope="module")
+def many(spark):
+    """More training and validation rows than half a million and 200,000."""
+    return many_rows(spark, 65_000), many_rows(spark, 26_000, 65_000)
+
+
+def held_ndcg(model, held):
+    """Mean over all validation queries, by a sort of the whole table."""
+    import numpy as np
+
+    rows = held.select("query_id", "product_id", "gain", "x", "y").toPandas()
+    rows["score"] = np.round(model.predict(rows[["x", "y"]].to_numpy()), 9)
+    dcg = lambda by, up: rows.sort_values(by, ascending=up).assign(n=lambda r: r.groupby("query_id").cumcount()).pipe(lambda r: r.gain / np.log2(r.n + 2)).groupby(rows.query_id).sum()
+    ideal = dcg(["query_id", "gain"], [True, False])
+    return float((dcg(["query_id", "score", "product_id"], [True, False, True]) / ideal.where(ideal > 0, 1.0)).mean())
+
+
+def quantiles(n):
+    import numpy as np
+
+    return np.unique(np.quantile(np.arange(n, dtype=float), np.linspace(0, 1, 64)[1:-1], method="lower")).tolist()
+
+
+def test_lambdamart_takes_all_rows(spark, many):
+    train, held = many
+    model = ltr.fit_lambdamart(train, held, ["x", "y"], rounds=1)
+    assert model.edges[0] == quantiles(520_000)
+    assert model.history == [pytest.approx(held_ndcg(model, held), abs=1e-9)]
+
+
+def test_lambdamart_does_not_depend_on_tasks(spark):
+    train, held = frame(spark, learning_rows(range(60), 9), LEARNING), frame(spark, learning_rows(range(100, 120), 10), LEARNING)
+    for objective in (ltr._Lambda(), ltr._Pointwise()):
+        one, three = (ltr._fit(train, held, ["x", "y"], objective, 12, tasks) for tasks in (1, 3))
+        assert one.to_json() == three.to_json() and one.trees
+
+
+def test_lambdamart_rows_stay_with_the_tasks(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    train = frame(spark, learning_rows(range(20), 9), LEARNING)
+    monkeypatch.setattr(DataFrame, "toPandas", lambda self: pytest.fail("rows came to the driver"))
+    assert ltr.fit_lambdamart(train, train.limit(0), ["x", "y"], rounds=2).trees
+
+
 def test_bm25_ties_and_empty_texts(spark):
     docs = frame(spark, [("b", "red shoe"), ("a", "red shoe"), ("c", None), ("d", "")], "id string, text string")
     asked = frame(spark, [(1, "red"), (2, "nothing"), (3, None)], "q long, t string")

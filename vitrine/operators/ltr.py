@@ -1,29 +1,29 @@
 """Learning to rank: the training population, a pointwise ranker, lambda gradients and LambdaMART.
 
-The audit, the features and the gradients of a table are plans. The rankers themselves are small: they are fitted
-on at most TRAIN_ROWS rows of whole queries (chosen by hash where there are more) with at most VALIDATION_ROWS rows
-to stop by, and their trees are sent to the tasks that score.
+The audit, the features and the gradients of a table are plans. The rankers are fitted on all training rows and
+stopped by all validation rows, dealt out by query over the tasks of one barrier stage (:mod:`boosting`); only the
+trees come to the driver, and are sent to the tasks that score.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.operators.boosting import ROUNDS, Trees, boost
+from vitrine.operators.boosting import ROUNDS, Objective, Rows, Trees, boost
 from vitrine.operators.grouprank import row_number, running_over_all
 from vitrine.scratch import materialize
 
-#: Bounds of what a ranker is fitted on.
-TRAIN_ROWS, VALIDATION_ROWS = 500_000, 200_000
 #: Pairs count if one of the two items is among the first so many, so a query has at most this many per item.
 TRUNCATION = 30
 #: Fixed value: the cutoff of the NDCG that boosting stops by.
 CUTOFF = 10
+#: Rows of whole queries that gradients are found for at once; a query with more is alone.
+PIECE = 1 << 14
 
 
 def training_population(matrix: DataFrame, query_id: str = "query_id", label: str = "label_id", least_rows: int = 2, least_labels: int = 2) -> tuple[DataFrame, DataFrame]:
@@ -63,7 +63,8 @@ def lambda_gradients(scored: DataFrame, truncation: int = TRUNCATION) -> DataFra
 
 
 def bounded(rows: DataFrame, most: int, query_id: str = "query_id") -> DataFrame:
-    """``rows`` if there are at most ``most``; else the rows of whole queries, by hash, that fit into them."""
+    """``rows`` if there are at most ``most``; else the rows of whole queries, by hash, that fit into them. For looking at
+    large tables; no ranker and no query takes this."""
     sizes = materialize(rows.groupBy(query_id).agg(F.count(F.lit(1)).alias("_n")), "sizes")
     if (sizes.agg(F.sum("_n")).first()[0] or 0) <= most:
         return rows
@@ -72,23 +73,28 @@ def bounded(rows: DataFrame, most: int, query_id: str = "query_id") -> DataFrame
 
 
 class _Lists:
-    """Rows of a bounded sample by query, with what NDCG and its gradients need."""
+    """Rows by query, with what NDCG and its gradients need."""
 
     def __init__(self, frame: pd.DataFrame) -> None:
-        frame = frame.sort_values(["query_id", "product_id"], kind="stable")
-        self.frame = frame
-        self.query = pd.factorize(frame["query_id"])[0].astype(np.int64)
-        self.gain = frame["gain"].to_numpy(dtype=float)
-        self.sizes = np.bincount(self.query) if len(frame) else np.zeros(0, dtype=np.int64)
-        self.first = np.append(0, np.cumsum(self.sizes))[:-1] if len(frame) else np.zeros(0, dtype=np.int64)
-        by = np.lexsort((-self.gain, self.query))
-        place = np.arange(len(frame)) - np.repeat(self.first, self.sizes)
-        self.ideal = np.bincount(self.query, self.gain[by] / np.log2(place + 2), len(self.sizes)) if len(frame) else np.zeros(0)
-        head = place < CUTOFF
-        self.ideal_cut = np.bincount(self.query[head], (self.gain[by] / np.log2(place + 2))[head], len(self.sizes)) if len(frame) else np.zeros(0)
-
-    def matrix(self, features: Sequence[str]) -> np.ndarray:
-        return self.frame[list(features)].to_numpy(dtype=float)
+        self.frame = frame.sort_values(["query_id", "product_id"], kind="stable")
+        self._index(np.bincount(pd.factorize(self.frame["query_id"])[0]) if len(frame) else np.zeros(0, dtype=np.int64), self.frame["gain"].to_numpy(dtype=float))
+
+    @classmethod
+    def of(cls, sizes: np.ndarray, gain: np.ndarray) -> _Lists:
+        """Of queries with so many rows, in order."""
+        out = cls.__new__(cls)
+        out._index(sizes, gain)
+        return out
+
+    def _index(self, sizes: np.ndarray, gain: np.ndarray) -> None:
+        self.sizes, self.gain = sizes, gain
+        self.query = np.repeat(np.arange(len(sizes)), sizes)
+        self.first = np.append(0, np.cumsum(sizes))[:-1]
+        by = np.lexsort((-gain, self.query))
+        place = np.arange(len(gain)) - np.repeat(self.first, sizes)
+        part, head = gain[by] / np.log2(place + 2), place < CUTOFF
+        self.ideal = np.bincount(self.query, part, len(sizes))
+        self.ideal_cut = np.bincount(self.query[head], part[head], len(sizes))
 
     def ranks(self, score: np.ndarray) -> np.ndarray:
         """1, 2, ... in each query, by the rounded score, then product_id (the order of the rows)."""
@@ -97,46 +103,97 @@ class _Lists:
         rank[by] = np.arange(len(score)) - np.repeat(self.first, self.sizes) + 1
         return rank
 
-    def ndcg(self, score: np.ndarray) -> float:
+    def ndcg(self, score: np.ndarray) -> np.ndarray:
+        """Of each query."""
         rank = self.ranks(score)
         head = rank <= CUTOFF
         dcg = np.bincount(self.query[head], self.gain[head] / np.log2(rank[head] + 1.0), len(self.sizes))
-        return float(np.where(self.ideal_cut > 0, dcg / np.where(self.ideal_cut > 0, self.ideal_cut, 1.0), 0.0).mean())
+        return np.where(self.ideal_cut > 0, dcg / np.where(self.ideal_cut > 0, self.ideal_cut, 1.0), 0.0)
 
     def lambdas(self, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Gradients and curvatures as :func:`lambda_gradients` defines them: every row with the head of its query."""
         n, rank = len(score), self.ranks(score)
+        grad, hess = np.zeros(n), np.zeros(n)
         heads = np.minimum(self.sizes, TRUNCATION)
         by = np.lexsort((rank, self.query))
-        count = heads[self.query]
-        i = np.repeat(np.arange(n), count)
-        j = by[self.first[self.query[i]] + np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)]
-        keep = (rank[i] > rank[j]) & (self.gain[i] != self.gain[j]) & (self.ideal[self.query[i]] > 0)
-        i, j = i[keep], j[keep]
-        change = np.abs(self.gain[i] - self.gain[j]) * np.abs(1 / np.log2(rank[i] + 1.0) - 1 / np.log2(rank[j] + 1.0)) / self.ideal[self.query[i]]
-        sign = np.where(self.gain[i] > self.gain[j], 1.0, -1.0)
-        rho = 1 / (1 + np.exp(sign * (score[i] - score[j])))
-        grad = np.bincount(i, sign * change * rho, n) - np.bincount(j, sign * change * rho, n)
-        bend = change * rho * (1 - rho)
-        return grad, np.bincount(i, bend, n) + np.bincount(j, bend, n)
-
-
-def _lists(rows: DataFrame, features: Sequence[str], most: int) -> _Lists:
-    return _Lists(bounded(rows, most).select("query_id", "product_id", "label_id", "gain", *features).toPandas())
+        for at in range(0, n, PIECE):
+            rows = np.arange(at, min(at + PIECE, n))
+            count = heads[self.query[rows]]
+            i = np.repeat(rows, count)
+            j = by[self.first[self.query[i]] + np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)]
+            keep = (rank[i] > rank[j]) & (self.gain[i] != self.gain[j]) & (self.ideal[self.query[i]] > 0)
+            i, j = i[keep], j[keep]
+            change = np.abs(self.gain[i] - self.gain[j]) * np.abs(1 / np.log2(rank[i] + 1.0) - 1 / np.log2(rank[j] + 1.0)) / self.ideal[self.query[i]]
+            sign = np.where(self.gain[i] > self.gain[j], 1.0, -1.0)
+            rho = 1 / (1 + np.exp(sign * (score[i] - score[j])))
+            pull, bend = sign * change * rho, change * rho * (1 - rho)
+            grad += np.bincount(i, pull, n) - np.bincount(j, pull, n)
+            hess += np.bincount(i, bend, n) + np.bincount(j, bend, n)
+        return grad, hess
+
+
+def _by_queries(rows: Rows) -> Iterator[tuple[slice, _Lists]]:
+    """Whole queries with up to PIECE rows together; where one begins depends on no other."""
+    sizes = np.diff(rows.starts)
+    k = 0
+    while k < len(sizes):
+        end = max(int(np.searchsorted(rows.starts, rows.starts[k] + PIECE, side="right")) - 1, k + 1)
+        s = slice(int(rows.starts[k]), int(rows.starts[end]))
+        yield s, _Lists.of(sizes[k:end], np.asarray(rows.gain[s]))
+        k = end
+
+
+class _Pointwise:
+    """Regression of the label, judged by NDCG."""
+
+    def base(self, labels: float, rows: int) -> float:
+        return labels / rows if rows else 0.0
+
+    def step(self, rows: Rows) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+        for at in range(0, len(rows.score), PIECE):
+            s = slice(at, at + PIECE)
+            yield s, rows.label[s] - rows.score[s], np.ones(len(rows.score[s]))
+
+    def quality(self, rows: Rows) -> Iterator[np.ndarray]:
+        for s, lists in _by_queries(rows):
+            yield lists.ndcg(np.asarray(rows.score[s]))
+
+
+class _Lambda(_Pointwise):
+    """Lambda gradients, judged by NDCG."""
+
+    def base(self, labels: float, rows: int) -> float:
+        return 0.0
+
+    def step(self, rows: Rows) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+        for s, lists in _by_queries(rows):
+            yield s, *lists.lambdas(np.asarray(rows.score[s]))
+
+
+def _fit(train: DataFrame, validation: DataFrame, features: Sequence[str], objective: Objective, rounds: int, tasks: int | None = None) -> Trees:
+    """All rows, dealt out by query over ``tasks`` (as many as run at once), each ordered by query and product."""
+    spark, m = train.sparkSession, len(features)
+    if tasks is None:
+        context = spark.sparkContext._jsc.sc()
+        tasks = max(context.maxNumConcurrentTasks(context.resourceProfileManager().defaultResourceProfile()), 1)
+    numbers = ["label_id", "gain", *features]
+    rows = None
+    for part, held in ((train, False), (validation, True)):
+        own = part.select(F.lit(held).alias("_held"), "query_id", "product_id", *[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(numbers)])
+        rows = own if rows is None else rows.unionByName(own)
+    laid = rows.repartition(tasks, "query_id").sortWithinPartitions("_held", "query_id", "product_id", *[f"_{i}" for i in range(len(numbers))]).drop("product_id")
+    told = laid.mapInArrow(lambda batches: boost(batches, m, objective, rounds), "model string", barrier=True).collect()
+    return Trees.from_json(told[0].model) if told else Trees([[] for _ in features], objective.base(0.0, 0))
 
 
 def fit_pointwise(train: DataFrame, validation: DataFrame, features: Sequence[str], rounds: int = ROUNDS) -> Trees:
     """Boosted regression of the label, stopped by the NDCG of the validation queries."""
-    own, held = _lists(train, features, TRAIN_ROWS), _lists(validation, features, VALIDATION_ROWS)
-    label = own.frame["label_id"].to_numpy(dtype=float)
-    base = float(label.mean()) if len(label) else 0.0
-    return boost(own.matrix(features), lambda s: (label - s, np.ones(len(s))), held.matrix(features), held.ndcg, base, rounds)
+    return _fit(train, validation, features, _Pointwise(), rounds)
 
 
 def fit_lambdamart(train: DataFrame, validation: DataFrame, features: Sequence[str], rounds: int = ROUNDS) -> Trees:
     """Boosted trees on lambda gradients, stopped by the NDCG of the validation queries."""
-    own, held = _lists(train, features, TRAIN_ROWS), _lists(validation, features, VALIDATION_ROWS)
-    return boost(own.matrix(features), own.lambdas, held.matrix(features), held.ndcg, 0.0, rounds)
+    return _fit(train, validation, features, _Lambda(), rounds)
 
 
 def predict(model: Trees, rows: DataFrame, features: Sequence[str]) -> DataFrame:
