@@ -255,6 +255,13 @@ def test_lambdamart_takes_all_rows(spark, many):
     assert model.history == [pytest.approx(held_ndcg(model, held), abs=1e-9)]
 
 
+def test_pointwise_takes_all_rows(spark, many):
+    train, held = many
+    model = ltr.fit_pointwise(train, held, ["x", "y"], rounds=1)
+    assert model.base == train.selectExpr("sum(label_id) / count(*)").first()[0] and model.edges[0] == quantiles(520_000)
+    assert model.history == [pytest.approx(held_ndcg(model, held), abs=1e-9)]
+
+
 def test_lambdamart_does_not_depend_on_tasks(spark):
     train, held = frame(spark, learning_rows(range(60), 9), LEARNING), frame(spark, learning_rows(range(100, 120), 10), LEARNING)
     for objective in (ltr._Lambda(), ltr._Pointwise()):
