@@ -262,6 +262,21 @@ def test_pointwise_takes_all_rows(spark, many):
     assert model.history == [pytest.approx(held_ndcg(model, held), abs=1e-9)]
 
 
+def test_importance_counts_all_rows(spark, many):
+    import numpy as np
+
+    train, held = many
+    model = ltr.fit_lambdamart(train, held.limit(0), ["x"], rounds=1)
+    (_, gain, splits), = ltr.importance(model, ["x"])
+    rows = train.select("query_id", "product_id", "gain", "x").toPandas().sort_values(["query_id", "product_id"])
+    lists = ltr._Lists(rows)
+    grad, hess = lists.lambdas(np.zeros(len(rows)))
+    x = lists.frame["x"].to_numpy()
+    score = lambda m: grad[m].sum() ** 2 / (hess[m].sum() + 1.0)
+    best = max(score(x <= e) + score(x > e) - score(x >= 0) for e in quantiles(520_000))
+    assert splits >= 1 and model.trees[0][0][5] == pytest.approx(best, rel=1e-6) and gain >= best * (1 - 1e-6)
+
+
 def test_lambdamart_does_not_depend_on_tasks(spark):
     train, held = frame(spark, learning_rows(range(60), 9), LEARNING), frame(spark, learning_rows(range(100, 120), 10), LEARNING)
     for objective in (ltr._Lambda(), ltr._Pointwise()):
