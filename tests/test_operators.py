@@ -292,6 +292,43 @@ def test_lambdamart_rows_stay_with_the_tasks(spark, monkeypatch):
     assert ltr.fit_lambdamart(train, train.limit(0), ["x", "y"], rounds=2).trees
 
 
+def broadcast_keys(df):
+    """Keys of the joins that the planner makes a broadcast of tables by query, product or term."""
+    import re
+
+    return re.findall(r"BroadcastHashJoin \[(?:query_id|product_id|term)#", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_lambdamart_scores_tables_by_query_are_no_broadcasts(spark):
+    """Pair scores, means and features join tables with a row per query, term or product by shuffles, however small they are."""
+    from vitrine.plans.understanding import feature_matrix
+
+    docs = frame(spark, [("b", "red shoe"), ("a", "red shoe")], "product_id string, text string")
+    asked = frame(spark, [(1, "red"), (2, "shoe")], "query_id long, t string")
+    index = sparse.build_index(docs, "product_id", "text")
+    scored = sparse.score_pairs(index, asked, asked.select("query_id", F.lit("a").alias("product_id")), "product_id", "query_id", "t")
+    mean = sparse.lexical_specificity(index, asked, "query_id", "t")
+    assert scored.filter("score > 0").count() == 2 and mean.filter("specificity > 0").count() == 2
+    for df in (scored, mean, feature_matrix(spark, "/root/testdata/sf0.001")):
+        assert broadcast_keys(df) == []
+
+
+def test_pointwise_gbt_scores_splits_are_no_broadcasts(spark, monkeypatch):
+    from vitrine.plans import learning
+
+    seen = []
+    monkeypatch.setattr(learning, "materialize", lambda df, label: seen.append(broadcast_keys(df)) or df)
+    learning._split(spark, "/root/testdata/sf0.001")
+    assert seen == [[], []]
+
+
+def test_ranker_importance_population_is_no_broadcast(spark):
+    from vitrine.scratch import materialize
+
+    kept, _ = ltr.training_population(materialize(frame(spark, learning_rows(range(3), 9), LEARNING)))
+    assert kept.count() == 24 and broadcast_keys(kept) == []
+
+
 def test_bm25_ties_and_empty_texts(spark):
     docs = frame(spark, [("b", "red shoe"), ("a", "red shoe"), ("c", None), ("d", "")], "id string, text string")
     asked = frame(spark, [(1, "red"), (2, "nothing"), (3, None)], "q long, t string")

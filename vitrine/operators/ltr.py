@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from vitrine.operators.boosting import ROUNDS, Objective, Rows, Trees, boost
 from vitrine.operators.grouprank import row_number, running_over_all
+from vitrine.operators.skewjoin import shuffled
 from vitrine.scratch import materialize
 
 #: Pairs count if one of the two items is among the first so many, so a query has at most this many per item.
@@ -35,7 +36,7 @@ def training_population(matrix: DataFrame, query_id: str = "query_id", label: st
     counts = known.groupBy(query_id).agg(F.count(F.lit(1)).alias("rows"), F.countDistinct(label).alias("labels"))
     why = F.when(F.col("rows") < least_rows, "too_few_rows").when(F.col("labels") < least_labels, "single_label")
     audit = counts.withColumn("excluded", why)
-    return known.join(audit.filter("excluded IS NULL").select(query_id), query_id, "left_semi"), audit
+    return known.join(shuffled(audit.filter("excluded IS NULL").select(query_id)), query_id, "left_semi"), audit
 
 
 def lambda_gradients(scored: DataFrame, truncation: int = TRUNCATION) -> DataFrame:

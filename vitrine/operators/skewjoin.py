@@ -1,4 +1,5 @@
-"""Equi-joins against a table with unique keys where a few left keys may hold most of the rows."""
+"""Equi-joins against a table with unique keys where a few left keys may hold most of the rows, or that must not be
+a broadcast."""
 
 from __future__ import annotations
 
@@ -11,6 +12,12 @@ from pyspark.sql import functions as F
 HEAVY = 5_000
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` for a join that shuffles both sides. The planner goes by the bytes of files, which are a tenth or less of
+    what a broadcast takes in the driver, so tables with a row per query, term or product are never left to it."""
+    return df.hint("merge")
+
+
 def heavy_light_join(left: DataFrame, right: DataFrame, keys: Sequence[str], rows: str, heavy: int = HEAVY) -> DataFrame:
     """Left join of ``left`` with ``right``, whose ``keys`` are unique and whose column ``rows`` says how many
     left rows have the key. Heavy keys (fewer than ``heavy`` of them, by pigeonhole) are broadcast; only left

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from vitrine.functions.text import tokens_sql
 from vitrine.operators.grouprank import SLICES
+from vitrine.operators.skewjoin import shuffled
 from vitrine.scratch import materialize
 from vitrine.sources.derived import derived
 
@@ -113,14 +114,14 @@ def score_pairs(index: Index, queries: DataFrame, pairs: DataFrame, key: str, qu
     """Every (query_id, key) of ``pairs`` with its score, 0 where nothing matches."""
     asked = materialize(query_terms(queries, query_id, query_text), "asked")
     wanted = pairs.select(query_id, key).distinct()
-    rated = asked.join(_rated(index).select("term", "idf", "mean_length"), "term")
-    hits = wanted.join(rated, query_id).join(index.postings, ["term", key])
+    rated = shuffled(asked).join(_rated(index).select("term", "idf", "mean_length"), "term")
+    hits = wanted.join(shuffled(rated), query_id).join(shuffled(index.postings), ["term", key])
     total = hits.groupBy(query_id, key).agg(F.sum(term_score()).alias("score"))
-    return wanted.join(total, [query_id, key], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    return wanted.join(shuffled(total), [query_id, key], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
 def lexical_specificity(index: Index, queries: DataFrame, query_id: str, query_text: str) -> DataFrame:
     """``query_id``, ``specificity``: mean idf of the query's known terms, 0 if it has none."""
     asked = query_terms(queries, query_id, query_text)
-    mean = asked.join(index.terms, "term").groupBy(query_id).agg(F.avg("idf").alias("specificity"))
-    return queries.select(query_id).join(mean, query_id, "left").withColumn("specificity", F.coalesce("specificity", F.lit(0.0)))
+    mean = asked.join(shuffled(index.terms), "term").groupBy(query_id).agg(F.avg("idf").alias("specificity"))
+    return queries.select(query_id).join(shuffled(mean), query_id, "left").withColumn("specificity", F.coalesce("specificity", F.lit(0.0)))

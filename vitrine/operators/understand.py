@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from vitrine.functions.text import TOKEN, fold_sql, sql_literal
 from vitrine.operators.foundation import content_digest
+from vitrine.operators.skewjoin import shuffled
 from vitrine.scratch import materialize
 from vitrine.sources.sinks import json_digest
 
@@ -156,7 +157,7 @@ def parse(queries: DataFrame, query_id: str, text: str, products: DataFrame) ->
     parsed = materialize(parse_tokens(queries, query_id, text), "parsed")
     found = longest_matches(parsed, query_id, materialize(entries(products), "entries"), ("brand", "color", "alias"))
     found = found.withColumnsRenamed({"color": "_catalog", "alias": "_alias"})
-    out = parsed.join(found, query_id, "left")
+    out = parsed.join(shuffled(found), query_id, "left")
     source = F.when(F.col("_catalog").isNotNull(), "catalog").when(F.col("_alias").isNotNull(), "alias")
     confidence = F.when(F.col("_catalog").isNotNull(), 1.0).when(F.col("_alias").isNotNull(), 0.9).otherwise(0.0)
     return out.withColumns(

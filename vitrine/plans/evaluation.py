@@ -10,6 +10,7 @@ from vitrine.functions.vectors import dot
 from vitrine.operators import foundation as B
 from vitrine.operators import fusion, sparse
 from vitrine.operators import metrics as M
+from vitrine.operators.skewjoin import shuffled
 from vitrine.plans.common import GAIN, JUDGED, LABEL, table
 from vitrine.plans.retrieval import BM25, DENSE, index, product_vectors, query_vectors
 from vitrine.scratch import materialize
@@ -38,8 +39,8 @@ def pair_scores(spark: SparkSession, sf: str, pairs: DataFrame) -> DataFrame:
     """``pairs`` with ``bm25``, ``dense`` and ``rrf``, ranks recomputed inside each query's pairs."""
     queries = table(spark, sf, "query_records").select("query_id", F.col("query").alias("asked_text"))
     bm25 = sparse.score_pairs(index(spark, sf), queries, pairs, "product_id", "query_id", "asked_text").withColumnRenamed("score", "bm25")
-    rows = pairs.join(bm25, ["query_id", "product_id"], "left")
-    rows = rows.join(query_vectors(spark, sf).withColumnRenamed("vector", "_q"), "query_id", "left").join(product_vectors(spark, sf).withColumnRenamed("vector", "_p"), "product_id", "left")
+    rows = pairs.join(shuffled(bm25), ["query_id", "product_id"], "left")
+    rows = rows.join(shuffled(query_vectors(spark, sf).withColumnRenamed("vector", "_q")), "query_id", "left").join(shuffled(product_vectors(spark, sf).withColumnRenamed("vector", "_p")), "product_id", "left")
     rows = rows.withColumns({"bm25": F.coalesce("bm25", F.lit(0.0)), "dense": F.coalesce(dot("_q", "_p"), F.lit(0.0))}).drop("_q", "_p")
     out = fusion.closed_rrf(materialize(rows, "scores"), "query_id", "product_id", ["bm25", "dense"]).withColumnRenamed("closed_rrf", "rrf")
     return out.select(*pairs.columns, "bm25", "dense", "rrf")

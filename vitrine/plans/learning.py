@@ -10,6 +10,7 @@ from vitrine.operators import features as X
 from vitrine.operators import foundation as B
 from vitrine.operators import ltr as L
 from vitrine.operators import search as S
+from vitrine.operators.skewjoin import shuffled
 from vitrine.plans.common import table
 from vitrine.plans.evaluation import CLOSED, closed_matrix
 from vitrine.plans.retrieval import rrf_hybrid
@@ -34,7 +35,7 @@ def _split(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFram
     """(training, validation, all held-out) rows of the matrix."""
     rows = materialize(feature_matrix(spark, sf), "matrix")
     held = B.assign_splits(table(spark, sf, "query_records")).select("query_id", "project_split")
-    rows = materialize(rows.join(held, "query_id"), "splits")
+    rows = materialize(rows.join(shuffled(held), "query_id"), "splits")
     train, _ = L.training_population(rows.filter("project_split = 'train'"))
     validation, _ = L.training_population(rows.filter("project_split = 'validation'"))
     return train.drop("project_split"), validation.drop("project_split"), rows.filter("project_split <> 'train'").drop("project_split")

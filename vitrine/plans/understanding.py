@@ -12,6 +12,7 @@ from vitrine.operators import foundation as B
 from vitrine.operators import fusion
 from vitrine.operators import understand as U
 from vitrine.operators import validate as V
+from vitrine.operators.skewjoin import shuffled
 from vitrine.plans.common import JUDGED, table
 from vitrine.plans.evaluation import _FUSED, CLOSED, closed_matrix, closed_sql, pair_scores
 from vitrine.plans.foundation import _CLEANED
@@ -52,8 +53,8 @@ def parsed_query_hash(spark: SparkSession, sf: str) -> DataFrame:
 
 def _train_products(spark: SparkSession, sf: str) -> DataFrame:
     train = B.assign_splits(table(spark, sf, "query_records")).filter("project_split = 'train'").select("query_id")
-    keys = B.collapse_judgments(table(spark, sf, "examples")).join(train, "query_id", "left_semi").select("product_id").distinct()
-    return table(spark, sf, "products").join(keys, "product_id", "left_semi")
+    keys = B.collapse_judgments(table(spark, sf, "examples")).join(shuffled(train), "query_id", "left_semi").select("product_id").distinct()
+    return table(spark, sf, "products").join(shuffled(keys), "product_id", "left_semi")
 
 
 def category_codes_train_only(spark: SparkSession, sf: str) -> DataFrame:
@@ -66,7 +67,7 @@ def category_codes_train_only(spark: SparkSession, sf: str) -> DataFrame:
 def _view(spark: SparkSession, sf: str) -> DataFrame:
     """Cleaned products with their token lists and category codes, built once."""
     inputs = [f"{sf}/{t}.parquet" for t in ("products", "examples", "query_records")]
-    return derived(spark, "view", inputs, lambda: X.product_view(B.clean_products(spread(table(spark, sf, "products")))).join(category_codes_train_only(spark, sf), "product_id").drop("locale"))
+    return derived(spark, "view", inputs, lambda: X.product_view(B.clean_products(spread(table(spark, sf, "products")))).join(shuffled(category_codes_train_only(spark, sf)), "product_id").drop("locale"))
 
 
 def _asked(spark: SparkSession, sf: str) -> DataFrame:
@@ -80,13 +81,13 @@ def _asked(spark: SparkSession, sf: str) -> DataFrame:
         F.col("color").alias("q_color"),
         F.col("color_confidence").alias("q_color_confidence"),
     )
-    return parts.join(specificity(spark, sf), "query_id")
+    return parts.join(shuffled(specificity(spark, sf)), "query_id")
 
 
 def _features(spark: SparkSession, sf: str, pool: DataFrame, keys: list[str]) -> DataFrame:
     """``keys`` and the 44 features of scored pairs of usable text."""
     pool = fusion.rank_fractions(pool, ["query_id"], {"bm25": "bm25_fraction", "dense": "dense_fraction", "rrf": "rrf_fraction"}, "product_id")
-    return X.compute(pool.join(_asked(spark, sf), "query_id").join(_view(spark, sf), "product_id"), keys)
+    return X.compute(pool.join(shuffled(_asked(spark, sf)), "query_id").join(shuffled(_view(spark, sf)), "product_id"), keys)
 
 
 def feature_matrix(spark: SparkSession, sf: str) -> DataFrame:
