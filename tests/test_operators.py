@@ -322,6 +322,19 @@ def test_pointwise_gbt_scores_splits_are_no_broadcasts(spark, monkeypatch):
     assert seen == [[], []]
 
 
+def test_pointwise_gbt_scores_groups_and_codes_are_no_broadcasts(spark):
+    """Mixed groups and category codes grow with the tables, too."""
+    from vitrine.operators import features, foundation
+
+    rows = frame(spark, [(1, "train", "g"), (2, "test", "g"), (3, "train", "h"), (4, "train", None)], "query_id long, official_split string, normalized_query_sha256 string")
+    split = foundation.assign_splits(rows)
+    assert {r.query_id: r.quarantine_reason for r in split.collect() if r.project_split == "quarantine"} == {1: "normalized_query_occurs_in_official_test"}
+    coded = features.with_code(frame(spark, [("a",), ("c",), (None,)], "b string"), frame(spark, [("a", 2), ("b", 3)], "b string, code int"), "b", "n")
+    assert {r.b: r.n for r in coded.collect()} == {"a": 2, "c": 1, None: 0}
+    for df in (split, coded):
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_ranker_importance_population_is_no_broadcast(spark):
     from vitrine.scratch import materialize
 

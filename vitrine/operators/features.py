@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from vitrine.functions.text import tokens_sql
 from vitrine.operators.grouprank import running_over_all
+from vitrine.operators.skewjoin import shuffled
 
 #: A word that is a model number, in the tokenizer's terms.
 MODEL = "^[a-z0-9]+([-_.][a-z0-9]+)*$"
@@ -108,7 +109,7 @@ def category_codes(products: DataFrame, column: str) -> DataFrame:
 
 
 def with_code(df: DataFrame, codes: DataFrame, column: str, out: str) -> DataFrame:
-    joined = df.join(codes.withColumnRenamed("code", "_code"), column, "left")
+    joined = df.join(shuffled(codes.withColumnRenamed("code", "_code")), column, "left")
     return joined.withColumn(out, F.when(F.col(column).isNull(), 0).otherwise(F.coalesce("_code", F.lit(1)))).drop("_code")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vitrine.functions.clean import FIELD_LIMITS, attribute, clean
 from vitrine.functions.hashing import hash_bucket, hash_key
 from vitrine.operators.grouprank import row_number, running_over_all
+from vitrine.operators.skewjoin import shuffled
 from vitrine.operators.validate import strict_map
 
 #: Label codes and gains.
@@ -28,7 +29,7 @@ def assign_splits(queries: DataFrame) -> DataFrame:
     keyed = queries.select("query_id", "official_split", F.coalesce("normalized_query_sha256", F.concat(F.lit("q:"), F.col("query_id").cast("string"))).alias("group_key"))
     mixed = keyed.groupBy("group_key").agg((F.countDistinct("official_split") > 1).alias("mixed")).filter("mixed")
     bucket = hash_bucket(hash_key(F.lit(SPLIT_VERSION), F.lit(str(SEED)), F.lit("us"), "group_key"))
-    out = keyed.withColumn("bucket", bucket).join(mixed, "group_key", "left")
+    out = keyed.withColumn("bucket", bucket).join(shuffled(mixed), "group_key", "left")
     held = F.coalesce("mixed", F.lit(False)) & (F.col("official_split") == "train")
     split = F.when(F.col("official_split") == "test", "test").when(held, "quarantine").when(F.col("bucket") < TRAIN_BASIS_POINTS, "train").otherwise("validation")
     return out.select("query_id", "group_key", "bucket", split.alias("project_split"), F.when(held, "normalized_query_occurs_in_official_test").alias("quarantine_reason"))
