@@ -342,6 +342,19 @@ def test_ranker_importance_population_is_no_broadcast(spark):
     assert kept.count() == 24 and broadcast_keys(kept) == []
 
 
+def test_ranker_importance_parser_entries_are_no_broadcasts(spark):
+    """The parser's entries grow with the brands and colours of the catalogue."""
+    from vitrine.operators import understand
+
+    known = frame(spark, [("brand", "red star", 2, "Red Star"), ("color", "red", 1, "red")], "kind string, gram string, width int, value string")
+    found = understand.longest_matches(frame(spark, [(1, ["red", "star"]), (2, ["red"])], "query_id long, tokens array<string>"), "query_id", known, ("brand", "color"))
+    assert {r.query_id: (r.brand, r.color) for r in found.collect()} == {1: ("Red Star", "red"), 2: (None, "red")}
+    alias = understand.alias_entries(frame(spark, [("navy",), ("gray",), (None,)], "c string"), "c")
+    assert {r.gram for r in alias.collect()} == {"charcoal", "grey", "navy blue"}
+    for df in (found, alias):
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_bm25_ties_and_empty_texts(spark):
     docs = frame(spark, [("b", "red shoe"), ("a", "red shoe"), ("c", None), ("d", "")], "id string, text string")
     asked = frame(spark, [(1, "red"), (2, "nothing"), (3, None)], "q long, t string")

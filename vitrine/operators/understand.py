@@ -139,7 +139,7 @@ def longest_matches(parsed: DataFrame, query_id: str, known: DataFrame, kinds: S
         f"flatten(transform(sequence(1, greatest(1, least({widest}, size(tokens)))), w -> CASE WHEN w > size(tokens) THEN array() ELSE transform(sequence(0, size(tokens) - w), s -> named_struct('gram', array_join(slice(tokens, s + 1, w), ' '), 'start', s)) END))"
     )
     exploded = parsed.select(query_id, F.explode(grams).alias("g")).select(query_id, "g.gram", "g.start")
-    hits = exploded.join(known, "gram")
+    hits = exploded.join(shuffled(known), "gram")
     best = lambda kind: F.min_by(F.when(F.col("kind") == kind, F.col("value")), F.when(F.col("kind") == kind, F.struct((-F.col("width")).alias("w"), F.col("start"))))
     return hits.groupBy(query_id).agg(*[best(k).alias(k) for k in kinds])
 
@@ -148,7 +148,7 @@ def alias_entries(colors: DataFrame, color: str) -> DataFrame:
     """Alias entries whose canonical colour is in the catalog."""
     spark = colors.sparkSession
     rows = spark.createDataFrame([(a, len(a.split()), c) for a, c in COLOR_ALIASES.items()], "gram string, width int, value string")
-    return rows.join(colors.select(F.col(color).alias("value")).distinct(), "value", "left_semi").select("gram", "width", "value")
+    return rows.join(shuffled(colors.select(F.col(color).alias("value")).distinct()), "value", "left_semi").select("gram", "width", "value")
 
 
 def parse(queries: DataFrame, query_id: str, text: str, products: DataFrame) -> DataFrame:
